@@ -102,3 +102,20 @@ def arrow_schema(ddl: str) -> pa.Schema:
 def record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def bounded_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
+    """The rows with the ``bound`` smallest hashes of ``key`` (ties may add some); alike on every run."""
+    from pyspark.sql import functions as F
+
+    hashed = rows.withColumn("__h", F.xxhash64(F.lit(17), key))
+    top = hashed.select("__h").orderBy("__h").limit(bound).agg(F.max("__h"), F.count("__h")).first()
+    if top[1] < bound:
+        return rows
+    return hashed.where(F.col("__h") <= top[0]).drop("__h")
+
+
+def vocabulary(flat: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Codes of the words and the distinct words."""
+    coded = flat.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary

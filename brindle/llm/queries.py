@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import merkle, quality
+from brindle.llm import langid, merkle, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": quality.op2,
+    "op3_langid": langid.op3,
     "op5_merkle": merkle.op5,
 }
 
