@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import langid, merkle, quality
+from brindle.llm import langid, merkle, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": quality.op2,
     "op3_langid": langid.op3,
     "op5_merkle": merkle.op5,
+    "op10_toxicity": toxicity.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {
