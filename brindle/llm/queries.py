@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import langid, merkle, quality, toxicity
+from brindle.llm import html, langid, merkle, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html": html.op1,
+    "op7_warc": warc.op7,
     "op2_quality": quality.op2,
     "op3_langid": langid.op3,
     "op5_merkle": merkle.op5,
@@ -16,5 +18,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_warc": warc.ORACLE,
     "op2_quality": quality.ORACLE,
 }
