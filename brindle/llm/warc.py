@@ -19,6 +19,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,8 @@ MIN_REVISIT = 100
 MAGIC, VERSION, END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
 #: A gzip member of no bytes (a fixed value of that format).
 EMPTY_MEMBER = "\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
+#: Bytes that are inflated at once.
+STEP = 1 << 12
 #: Most bytes that a header may take.
 HEADER_MAX = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
@@ -99,14 +102,17 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
 
 
 def _inflated(data: bytes, at: int) -> tuple[bytes, int]:
-    z = zlib.decompressobj(31)
+    z, view, got = zlib.decompressobj(31), memoryview(data), []
     try:
-        got = z.decompress(memoryview(data)[at:])
+        # by steps, since what a step leaves over is copied
+        while not z.eof and at < len(data):
+            got.append(z.decompress(view[at : at + STEP]))
+            at += min(STEP, len(data) - at)
     except zlib.error as e:
         raise Damaged("inflation") from e
     if not z.eof:
         raise Damaged("truncated member")
-    return got, len(data) - len(z.unused_data)
+    return b"".join(got), at - len(z.unused_data)
 
 
 def _take(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
@@ -125,22 +131,23 @@ def _take(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int
 def salvage(data: bytes) -> tuple[list[tuple[int, dict[str, str], bytes]], list[tuple[int, int, str]]]:
     """(offset, headers, block) of every record that passes, and (start, end, reason) of the gaps between."""
     records, gaps, at, size = [], [], 0, len(data)
+    marks = {MAGIC: -1, VERSION: -1}
     while at < size:
         try:
             found, end = _take(data, at)
         except Damaged as e:
             reason, end = str(e), at + 1
             while end < size:
-                starts = [x for x in (data.find(MAGIC, end), data.find(VERSION, end)) if x >= 0]
-                if not starts:
-                    end = size
-                    break
-                end = min(starts)
-                try:
-                    _take(data, end)
-                    break
-                except Damaged:
-                    end += 1
+                for mark, known in marks.items():
+                    if known < end:
+                        marks[mark] = k if (k := data.find(mark, end)) >= 0 else size
+                end = min(marks.values())
+                if end < size:
+                    try:
+                        _take(data, end)
+                        break
+                    except Damaged:
+                        end += 1
             gaps.append((at, min(end, size), reason))
         else:
             records += [(at, head, block) for head, block in found]
@@ -180,7 +187,7 @@ def _payload(block: bytes) -> bytes:
     return block.partition(END)[2]
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], with_payload: bool = True) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema(RECORD)
     for batch in batches:
         for i in range(batch.num_rows):
@@ -194,8 +201,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     size, digest = int(head.get("x-payload-length") or 0), head.get("warc-payload-digest", "").partition(":")[2]
                 page, refers = head.get("x-page-id"), head.get("x-refers-to-page-id")
-                rows.append((name, at, int(page) if page else None, head.get("warc-target-uri"), size, digest, kind, int(refers) if refers else None, payload))
-                held += len(payload or b"")
+                rows.append((name, at, int(page) if page else None, head.get("warc-target-uri"), size, digest, kind, int(refers) if refers else None, payload if with_payload else None))
+                held += 500 + len(payload or b"") * with_payload
                 if held > 4 << 20:
                     yield record_batch(rows, schema)
                     rows, held = [], 0
@@ -213,9 +220,9 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of a folder of archives that pass all checks; payload is null for revisits."""
-    return _files(spark, path).mapInArrow(_read, RECORD)
+def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """The records of a folder of archives that pass all checks; payload is null for revisits, or if not asked for."""
+    return _files(spark, path).mapInArrow(partial(_read, with_payload=with_payload), RECORD)
 
 
 def quarantined(spark: SparkSession, path: str) -> DataFrame:
@@ -226,7 +233,7 @@ def quarantined(spark: SparkSession, path: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write(table(spark, sf_dir, "pages"), path)
-    return read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = f"""
