@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import html, idfile, langid, merkle, minhash, packing, quality, toxicity, warc
+from brindle.llm import html, idfile, langid, merkle, minhash, mixing, packing, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": html.op1,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": quality.op2,
     "op3_langid": langid.op3,
     "op5_merkle": merkle.op5,
+    "op4_mixing": mixing.op4,
     "op6_minhash": minhash.op6,
     "op8_idfile": idfile.op8,
     "op9_packing": packing.op9,
