@@ -28,7 +28,7 @@ WEIGHTS, BUDGET, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Documents of a block about; most sources that are broadcast.
 CHUNK, SMALL = 4000, 100_000
 #: Documents of a source, besides two, that the landing decides.
-LANDING = 10
+LANDING = 14
 _SURE = 1e-9
 
 
@@ -82,12 +82,12 @@ def flight(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
 
 
 def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The undecided documents, few, set to 0 or 1: words nearest to the expected while documents are off by one at most."""
+    """The undecided documents, few, set to 0 or 1: words nearest to the expected while documents are off by two at most."""
     p = p.copy()
     open_ = np.flatnonzero((p > 0) & (p < 1))
     if len(open_):
         bits = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
-        off = np.abs(bits.sum(1) - p[open_].sum()) > 1
+        off = np.abs(bits.sum(1) - p[open_].sum()) > 2
         p[open_] = bits[np.lexsort((np.abs(bits @ size[open_] - (p[open_] * size[open_]).sum()), off))[0]]
     return p
 
@@ -103,8 +103,9 @@ def _flown(last: bool):  # noqa: ANN202
         size = batch.column("size").to_numpy()
         draw = (batch.column("key").to_numpy().view(np.uint64) >> np.uint64(11)) / float(1 << 53)
         p = batch.column("p").to_numpy().copy()
-        if last:  # some documents of all lengths stay for the landing
-            p[:-LANDING] = flight(p[:-LANDING], size[:-LANDING], draw[:-LANDING])
+        if last:  # the longest stay for the landing: they can make up for any that the flight leaves
+            fly_ = np.sort(np.argsort(size, kind="stable")[:-LANDING])
+            p[fly_] = flight(p[fly_], size[fly_], draw[fly_])
             p = landing(p, size)
         else:
             p = flight(p, size, draw)
