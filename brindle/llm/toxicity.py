@@ -207,3 +207,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = fit_tables(docs, table(spark, sf_dir, "labels"))
     return score(docs, machine).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def _clean(machine: Machine, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _seen.clear()
+        for batch in chunks(batches):
+            got = machine.scores(*counted(batch.column("text"), machine.known), batch.num_rows)
+            yield batch.filter(pa.array(got < threshold))
+
+    return keep
+
+
+def clean(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score below the threshold, with all their columns."""
+    return docs.mapInArrow(_clean(machine, threshold), docs.schema)
