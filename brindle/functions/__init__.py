@@ -1 +1 @@
-
+"""Column functions: numbers, vectors, names."""

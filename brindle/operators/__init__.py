@@ -1 +1 @@
-
+"""Operators over counts, axes, latents and graphs."""
