@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Pieces that a worker remembers; the longest piece it remembers, in bytes.
-MEMORY, PIECE = 800_000, 64
+MEMORY, PIECE = 400_000, 64
 #: First bytes of UTF-8 sequences that may be blanks beyond ASCII.
 _UNSURE = np.zeros(256, bool)
 _UNSURE[: 0x20 + 1] = True

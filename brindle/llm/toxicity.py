@@ -30,10 +30,11 @@ SAMPLE, BUCKETS, TERMS, RANK = 12_000, 1 << 22, 1500, 6
 PREFIXES = range(4, 9)
 THRESHOLD = 0.3
 #: Words whose terms a worker remembers.
-MEMORY = 400_000
+MEMORY = 200_000
 
 _edges = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _seen: dict[str, np.ndarray] = {}
+_NONE = np.zeros(0, np.int64)
 
 
 def _bucket(term: str) -> int:
@@ -67,13 +68,12 @@ def counted(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarra
         else:
             if len(_seen) > MEMORY:
                 _seen.clear()
+            wanted = set(known.tolist())
             per = []
             for w in vocab.to_pylist():
                 if (x := _seen.get(w)) is None:
-                    t = np.array(terms(w), np.int64)
-                    k = np.searchsorted(known, t)
-                    k[k == len(known)] = 0
-                    x = _seen[w] = t[known[k] == t] if len(t) else t
+                    t = [y for y in terms(w) if y in wanted]
+                    x = _seen[w] = np.array(t, np.int64) if t else _NONE
                 per.append(x)
         values, sizes = _ragged(per)
         used = sizes > 0
@@ -184,6 +184,7 @@ def _scored(machine: Machine) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             row, term, n = counted(batch.column("text"), machine.known)
             got = machine.scores(row, term, n, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(got)], schema=arrow_schema(OUT))
+        _seen.clear()  # the worker may stay while other work needs its memory
 
     return score
 
@@ -215,6 +216,7 @@ def _clean(machine: Machine, threshold: float) -> Callable[[Iterator[pa.RecordBa
         for batch in chunks(batches):
             got = machine.scores(*counted(batch.column("text"), machine.known), batch.num_rows)
             yield batch.filter(pa.array(got < threshold))
+        _seen.clear()
 
     return keep
 
