@@ -1 +1 @@
-
+"""Mergeable summaries kept up by Structured Streaming."""
