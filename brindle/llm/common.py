@@ -119,3 +119,10 @@ def vocabulary(flat: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Codes of the words and the distinct words."""
     coded = flat.dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The rows as one struct column ``row``, so that no column of theirs meets one of an operator's."""
+    from pyspark.sql import functions as F
+
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

@@ -178,10 +178,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
 def mixed(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     """The documents, each as often as the mix takes it; columns stay."""
     key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    taken = mix(docs, key=key, **options).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.sum("copies").cast("int").alias("__copies")).where("__copies > 0")
-    once = docs.withColumn("__row", key).dropDuplicates(["doc_id", "__row"])
-    joined = once.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__key")))
-    return joined.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    taken = mix(docs, key=key, **options).groupBy("doc_id", "key").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
+    once = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), key.alias("hash")).dropDuplicates(["id", "hash"])
+    joined = once.join(taken, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("key")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
