@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from brindle.plans import axes, fits, graphs, links, scores, similar, stats
+from brindle.plans import axes, fits, graphs, layouts, links, scores, similar, stats
 from brindle.plans.base import Query
 
-MODULES = (axes, stats, similar, graphs, scores, links, fits)
+MODULES = (axes, stats, similar, graphs, scores, links, fits, layouts)
 
 
 def queries() -> dict[str, Query]:
