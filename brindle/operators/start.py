@@ -69,7 +69,7 @@ def anchor_prior(profiles: np.ndarray, anchors: list[int], temperature: float =
 
 
 def block_model(w: np.ndarray, depth: int = 3, passes: int = 50, seed: int = 0) -> np.ndarray:
-    """Leaves of a hierarchical block model, ``2 ** (depth - 1)`` of them, by spectral bisection and greedy moves at each split."""
+    """Leaves of a hierarchical block model, ``2 ** (depth - 1)`` of them, by a spectral sweep cut and greedy moves at each split."""
     del seed
     leaf = np.zeros(len(w), int)
     for _ in range(depth - 1):
@@ -81,8 +81,15 @@ def block_model(w: np.ndarray, depth: int = 3, passes: int = 50, seed: int = 0)
             a = w[np.ix_(at, at)]
             d = np.maximum(a.sum(1), 1e-12)
             _, v = np.linalg.eigh(a / np.sqrt(d[:, None] * d[None, :]))
-            side = (v[:, -2] / np.sqrt(d) > 0).astype(int)
-            total = d.sum()
+            # the place along the second eigenvector where the normalized cut is least
+            order = np.argsort(v[:, -2] / np.sqrt(d), kind="stable")
+            b, total = a[np.ix_(order, order)], d.sum()
+            inner = np.cumsum([b[i, :i].sum() * 2 + b[i, i] for i in range(len(at))])
+            size = np.cumsum(d[order])
+            cut = (size - inner)[:-1]
+            at_best = int((cut / np.maximum(np.minimum(size[:-1], total - size[:-1]), 1e-12)).argmin())
+            side = np.ones(len(at), int)
+            side[order[: at_best + 1]] = 0
             for _ in range(passes):
                 gain = np.zeros(len(at))
                 for s in (0, 1):
