@@ -18,7 +18,7 @@ import zlib
 import numpy as np
 
 #: Ids of a block; bits of a table index; bits of a probability; ids between recounts; most lanes.
-BLOCK, TABLE_BITS, PROB, RECOUNT, LANES = 4096, 12, 12, 256, 2048
+BLOCK, TABLE_BITS, PROB, RECOUNT, LANES = 4096, 11, 12, 256, 1024
 _ONE = 1 << PROB
 _RATE = 4
 _U = np.uint64

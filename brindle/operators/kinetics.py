@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,3 +60,81 @@ def time_readout(post: DataFrame, positions: DataFrame) -> DataFrame:
 
 def mass_table(post: DataFrame, least: float = 1e-6) -> DataFrame:
     return post.where(F.col("q") >= least)
+
+
+def _paths(rates: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Levels [genes, positions] from rest at log rates [genes, 3] (alpha, beta, gamma)."""
+    a, b, g = (np.exp(rates[:, i])[:, None] for i in range(3))
+    eb, eg = np.exp(-b * t), np.exp(-g * t)
+    gap = g - b
+    near = np.abs(gap * t) < 1e-6
+    ratio = np.where(near, t * eb, (eb - eg) / np.where(np.abs(gap) < 1e-12, 1e-12, gap))
+    return a / b * (1 - eb), np.maximum(a / g * (1 - eg) - a * ratio, 0)
+
+
+def _log_shares(rates: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    u, s = (x + 1e-9 for x in _paths(rates, t))
+    total = (u + s).sum(0)
+    return np.log(u / total), np.log(s / total)
+
+
+def fit_rates(u: np.ndarray, s: np.ndarray, t: np.ndarray, rounds: int = 15, steps: int = 40, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray, float]:
+    """(log rates [genes, 3], posterior [groups, positions], log-likelihood) of one lineage, groups by genes reads on two tracks.
+
+    Expectation-maximization: the posterior of each group over positions, then Adam on the rates for the expected reads at each
+    position. Starts from the leading axis of log unspliced shares, in both directions; beta's mean is held at 1, which fixes the unit of time.
+    """
+    share = np.log(u + 0.5) - np.log(u + s + 1.0)
+    c = share - share.mean(0)
+    axis = np.linalg.svd(c, full_matrices=False)[0][:, 0] if len(u) > 1 else np.zeros(1)
+    best = None
+    for sign in (1.0, -1.0):
+        place = np.argsort(np.argsort(sign * axis)) / max(len(u) - 1, 1)
+        q = np.exp(-0.5 * ((place[:, None] - np.linspace(0, 1, len(t))[None, :]) / 0.1) ** 2)
+        q /= q.sum(1, keepdims=True)
+        x = np.zeros((u.shape[1], 3))
+        x[:, 0] = np.log(np.maximum((u + s).mean(0), 1e-3))
+        m, v, step = np.zeros_like(x), np.zeros_like(x), 0
+        ll = -np.inf
+        for _ in range(rounds):
+            eu, es = u.T @ q, s.T @ q
+            depth = eu.sum(0) + es.sum(0)
+
+            def loss(r: np.ndarray, eu=eu, es=es, level=None) -> np.ndarray:  # noqa: ANN001
+                a, b = _paths(r, t)
+                return (level * (a + b) - eu * np.log(a * level + 1e-9) - es * np.log(b * level + 1e-9)).sum(1)
+
+            for _ in range(steps):
+                a, b = _paths(x, t)
+                level = depth / np.maximum((a + b).sum(0), 1e-9)
+                g = np.stack([(loss(x + d, level=level) - loss(x - d, level=level)) / 2e-4 for d in 1e-4 * np.eye(3)], 1) / max(depth.sum() / len(x), 1)
+                step += 1
+                m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+                x = x - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+                x = np.clip(x, -6, 12)
+                x[:, 1] -= x[:, 1].mean()
+            lu, ls = _log_shares(x, t)
+            table = u @ lu + s @ ls
+            top = table.max(1, keepdims=True)
+            q = np.exp(table - top)
+            ll = float((top[:, 0] + np.log(q.sum(1)) - np.log(len(t))).sum())
+            q /= q.sum(1, keepdims=True)
+        if np.isfinite(ll) and (best is None or ll > best[2]):  # a start that fails never wins
+            best = (x, q, ll)
+    if best is None:
+        raise FloatingPointError("no start of the fit is finite")
+    return best
+
+
+def fit(tracks: DataFrame, positions: int = 20, span: float = 5.0, most: int = 4096) -> tuple[DataFrame, DataFrame, float]:
+    """(gene, alpha, beta, gamma), (cell_id, pos, q) and the log-likelihood of bounded two-track reads (cell_id: group, gene, u, s)."""
+    from brindle.operators.models import dense
+
+    u, names, genes = dense(tracks.withColumn("u", F.col("u").cast("double")), "cell_id", "gene", "u", most)
+    s, _, _ = dense(tracks.withColumn("s", F.col("s").cast("double")), "cell_id", "gene", "s", most)
+    t = np.linspace(span / positions, span, positions)
+    x, q, ll = fit_rates(u.astype(float), s.astype(float), t)
+    spark = tracks.sparkSession
+    rates = spark.createDataFrame([(g, *map(float, np.exp(r))) for g, r in zip(genes, x, strict=True)], "gene string, alpha double, beta double, gamma double")
+    post = spark.createDataFrame([(int(n), k, float(q[i, k])) for i, n in enumerate(names) for k in range(positions)], "cell_id long, pos int, q double")
+    return rates, post, ll

@@ -49,6 +49,16 @@ def raw_encoder(spark: SparkSession, d: str) -> DataFrame:
     return _encoder(spark, d, head="raw")
 
 
+@R.add("m5_vae")
+def vae(spark: SparkSession, d: str) -> DataFrame:
+    return _encoder(spark, d, head="gaussian")
+
+
+@R.add("m11_kinetic_rates")
+def kinetic_rates(spark: SparkSession, d: str) -> DataFrame:
+    return kinetics.fit(kinetics.split_tracks(_two_tracks(spark, d)), positions=10)[0]
+
+
 _LV = "SELECT *, ln(1 + 10000.0 * value / sum(value) OVER (PARTITION BY cell_id)) AS x FROM counts"
 
 

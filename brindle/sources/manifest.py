@@ -8,7 +8,7 @@ from pathlib import Path
 from typing import Any
 
 VERSION = 2
-#: Cell space and expression model of every kind of run.
+#: Cell space and expression model of every kind of run (fixed values of the format).
 KINDS = {
     "topic": ("log_simplex", "topic"),
     "itopic": ("log_simplex", "topic"),

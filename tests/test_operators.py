@@ -12,7 +12,7 @@ from brindle.functions import names as N
 from brindle.functions import numeric as X
 from brindle.functions import vectors as V
 from brindle.operators import aggregate as A
-from brindle.operators import align, cluster, collapse, filters, graph, incremental, mixtures, models, neighbours, rank, score
+from brindle.operators import align, cluster, collapse, filters, graph, incremental, kinetics, mixtures, models, neighbours, rank, score
 from brindle.sources import counts as S
 from brindle.sources import dense, links, manifest
 from brindle.streaming import sums as streaming
@@ -183,7 +183,7 @@ def test_gibbs_recovers_a_mixture(spark):
     assert mixtures.convergence(d).first().rhat is not None
 
 
-@pytest.mark.parametrize("head", ["softmax", "stick", "raw"])
+@pytest.mark.parametrize("head", ["softmax", "stick", "raw", "gaussian"])
 def test_encoder_learns_two_blocks(head):
     x = np.array([[3 + (c + g) % 4 if (g < 20) == (c < 20) else 0 for g in range(40)] for c in range(40)], float)
     m = models.TopicEncoder(40, 3, 16, head)
@@ -245,3 +245,15 @@ def test_streamed_sums_equal_batch(spark, tmp_path):
 def test_splicing_series_meets_closed_form(spark):
     f = lambda g: spark.range(1).select(X.spliced_level(F.lit(0.5), F.lit(1.0), F.lit(2.0), F.lit(0.7), F.lit(g), F.lit(1.5))).first()[0]
     assert math.isclose(f(0.7), f(0.7 + 1e-5), rel_tol=1e-4)
+
+
+def test_simulated_times_are_recovered():
+    rng = np.random.default_rng(4)
+    t = np.linspace(0.25, 5, 20)
+    rates = np.stack([rng.normal(1, 0.5, 60), rng.normal(0, 0.3, 60), rng.normal(-0.5, 0.5, 60)], 1)
+    true = rng.integers(0, 20, 150)
+    u, s = (x[:, true].T for x in kinetics._paths(rates, t))
+    scale = 3000 / (u + s).sum(1, keepdims=True)
+    x, q, _ = kinetics.fit_rates(rng.poisson(u * scale).astype(float), rng.poisson(s * scale).astype(float), t)
+    tau = q @ np.arange(20)
+    assert np.corrcoef(np.argsort(np.argsort(tau)), np.argsort(np.argsort(true)))[0, 1] > 0.9
