@@ -151,3 +151,33 @@ def ancestors(hierarchy: DataFrame, folder: str, most: int = 64) -> DataFrame:
             return reach
         n = m
     raise RuntimeError(f"the hierarchy didn't settle in {most} passes")
+
+
+def named_relations(pairs: DataFrame) -> DataFrame:
+    """(relation, lhs, rhs, w): one relation for each token of ``name`` (pairs: lhs, rhs, name, w)."""
+    t = pairs.withColumn("relation", F.explode(F.split(F.trim("name"), r"[,;\s]+"))).where("relation != ''")
+    e = t.where("lhs != rhs").select(F.concat(F.lit("gene:gene/"), "relation").alias("relation"), F.least("lhs", "rhs").alias("lhs"), F.greatest("lhs", "rhs").alias("rhs"), F.coalesce("w", F.lit(1.0)).alias("w"))
+    return e.groupBy("relation", "lhs", "rhs").agg(F.max("w").alias("w"))
+
+
+def context_edges(links: DataFrame) -> DataFrame:
+    """(lhs, context, w): what of a link's two ends was seen in which context (links: lhs, rhs, context, w)."""
+    both = links.select("lhs", F.col("context"), "w").union(links.select(F.col("rhs").alias("lhs"), "context", "w")).where("context is not null and context != ''")
+    return both.groupBy("lhs", "context").agg(F.max("w").alias("w"))
+
+
+def override_relations(relations: DataFrame, changes: dict[str, dict]) -> DataFrame:
+    """Relations (relation, weight, repeat, polarity) with named changes; a name that isn't there fails."""
+    known = {r[0] for r in relations.select("relation").distinct().collect()}
+    if unknown := sorted(set(changes) - known):
+        raise ValueError(f"no relation named {', '.join(unknown)}")
+    out = relations
+    for name, change in changes.items():
+        for column, value in change.items():
+            out = out.withColumn(column, F.when(F.col("relation") == name, F.lit(value).cast(dict(relations.dtypes)[column])).otherwise(F.col(column)))
+    return out
+
+
+def export_text(edges: DataFrame, path: str) -> None:
+    """Typed edges as tab-separated lines."""
+    edges.select(F.concat_ws("\t", "lhs_type", "lhs", "rhs_type", "rhs", F.col("w").cast("string")).alias("value")).write.mode("overwrite").text(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators import collapse, kinetics, models
+from brindle.operators import aggregate, collapse, inference, kinetics, models
 from brindle.plans.base import Registry, sql
 from brindle.sources import counts as S
 
@@ -154,3 +154,54 @@ def time_readout(spark: SparkSession, d: str) -> DataFrame:
     g, pos = _grid(spark, d)
     p = kinetics.posterior(kinetics.grid_likelihood(kinetics.split_tracks(_two_tracks(spark, d)), g))
     return kinetics.time_readout(p, pos).select("cell_id", F.round("tau", 5).alias("tau"))
+
+
+@R.add("m6_joint_topic")
+def joint_topic(spark: SparkSession, d: str) -> DataFrame:
+    """One latent for two modalities, their dictionaries one above the other."""
+    c = S.table(spark, d, "lineitem").join(S.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    both = c.groupBy(F.col("o_custkey").alias("cell_id"), F.concat_ws("/", F.col("l_partkey").cast("string"), F.when(F.col("l_returnflag") == "R", "returned").otherwise("kept")).alias("feature_id")).agg(F.sum("l_quantity").alias("value"))
+    pb = both.join(S.customer_cells(spark, d).select("cell_id", F.col("batch").alias("pb")), "cell_id").groupBy("pb", "feature_id").agg(F.sum("value").alias("total"))
+    x, _, columns = models.dense(pb, "pb", "feature_id", "total")
+    m = models.TopicEncoder(len(columns), 5, 32)
+    m.fit(x, 30)
+    return m.transform(both, columns)
+
+
+@R.add("m12_resolved_space")
+def resolved_space(spark: SparkSession, d: str) -> DataFrame:
+    x, _, columns = models.dense(_pb(spark, d), "pb", "feature_id", "total")
+    m = models.TopicEncoder(len(columns), 5, 32)
+    m.fit(x, 30)
+    _, rho, b, _ = inference.resolve_space(m.encode(x), x, 8, 50)
+    return spark.createDataFrame([(int(f), [float(v) for v in rho[i]], float(b[i])) for i, f in enumerate(columns)], "feature_id long, rho array<double>, b double")
+
+
+@R.add(
+    "h15_influence",
+    sql(
+        "SELECT stratum AS role, round(avg(e), 4) AS effect, round(stddev_samp(e) / sqrt(count(*)), 4) AS se FROM (SELECT stratum, cell_id, sum(value * g) - sum(value) * any_value(pg) AS e FROM counts JOIN cells USING (cell_id) JOIN st USING (feature_id), (SELECT sum(share * g) AS pg FROM st) GROUP BY 1, 2) GROUP BY 1",
+        "counts",
+        "cells",
+        "composition",
+        ad="SELECT feature_id, value, cell_id FROM counts JOIN cells USING (cell_id) WHERE batch = 3",
+        st="SELECT c.feature_id, share, (coalesce(x, 0) - (SELECT sum(value) FROM ad) * share) / (SELECT count(DISTINCT cell_id) FROM ad) AS g FROM composition c LEFT JOIN (SELECT feature_id, sum(value) AS x FROM ad GROUP BY 1) USING (feature_id)",
+    ),
+)
+def influence(spark: SparkSession, d: str) -> DataFrame:
+    """What adding the customers of one nation does to each segment's likelihood."""
+    c, cells = S.customer_counts(spark, d), S.customer_cells(spark, d)
+    i = inference.influence(c, aggregate.composition(c), cells.where("batch = 3"), cells.select("cell_id", F.col("stratum").alias("role")))
+    return i.select("role", F.round("effect", 4).alias("effect"), F.round("se", 4).alias("se"))
+
+
+@R.add("h16_hidden_likelihood")
+def hidden_likelihood(spark: SparkSession, d: str) -> DataFrame:
+    c = S.customer_counts(spark, d)
+    rates = c.select("cell_id", "feature_id").join(aggregate.composition(c).withColumnRenamed("share", "rate"), "feature_id")
+    return inference.hidden_likelihood(c, rates)
+
+
+@R.add("d1_archetypes")
+def archetypes(spark: SparkSession, d: str) -> DataFrame:
+    return inference.archetypes(S.latent(spark, d).withColumnRenamed("cell_id", "id"), S.customer_counts(spark, d), (4, 8))

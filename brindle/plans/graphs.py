@@ -174,3 +174,21 @@ def finish(spark: SparkSession, d: str) -> DataFrame:
     e = S.table(spark, d, "part").select(F.lit("type").alias("lhs_type"), F.col("p_type").alias("lhs"), F.lit("brand").alias("rhs_type"), F.col("p_brand").alias("rhs"), F.lit(1.0).alias("w")).distinct()
     _, edges = G.finish(e, ["brand", "type"])
     return edges.select(F.col("lhs_id").cast("long").alias("lhs_id"), F.col("rhs_id").cast("long").alias("rhs_id"), "w")
+
+
+@R.add("g2_named_relations", "SELECT concat('gene:gene/', r) AS relation, least(a, b) AS lhs, greatest(a, b) AS rhs, max(w) AS w FROM (SELECT l_partkey AS a, l_suppkey + 100000 AS b, unnest([l_returnflag, l_linestatus]) AS r, l_quantity AS w FROM lineitem) GROUP BY 1, 2, 3")
+def named_relations(spark: SparkSession, d: str) -> DataFrame:
+    l = S.table(spark, d, "lineitem")
+    return G.named_relations(l.select(F.col("l_partkey").alias("lhs"), (F.col("l_suppkey") + 100000).alias("rhs"), F.concat_ws(", ", "l_returnflag", "l_linestatus").alias("name"), F.col("l_quantity").alias("w")))
+
+
+@R.add("g13_context_edges", "SELECT lhs, context, max(w) AS w FROM (SELECT l_partkey AS lhs, l_returnflag AS context, l_quantity AS w FROM lineitem UNION ALL SELECT l_suppkey + 100000, l_returnflag, l_quantity FROM lineitem) GROUP BY 1, 2")
+def context_edges(spark: SparkSession, d: str) -> DataFrame:
+    l = S.table(spark, d, "lineitem")
+    return G.context_edges(l.select(F.col("l_partkey").alias("lhs"), (F.col("l_suppkey") + 100000).alias("rhs"), F.col("l_returnflag").alias("context"), F.col("l_quantity").alias("w")))
+
+
+@R.add("g17_relation_overrides", "SELECT DISTINCT concat('part:', p_brand) AS relation, CASE WHEN p_brand = 'Brand#11' THEN 3.0 ELSE 1.0 END::DOUBLE AS weight, 1 AS repeat, 1 AS polarity FROM part")
+def relation_overrides(spark: SparkSession, d: str) -> DataFrame:
+    r = S.table(spark, d, "part").select(F.concat(F.lit("part:"), "p_brand").alias("relation"), F.lit(1.0).alias("weight"), F.lit(1).alias("repeat"), F.lit(1).alias("polarity")).distinct()
+    return G.override_relations(r, {"part:Brand#11": {"weight": 3.0}})

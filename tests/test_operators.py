@@ -257,3 +257,31 @@ def test_simulated_times_are_recovered():
     x, q, _ = kinetics.fit_rates(rng.poisson(u * scale).astype(float), rng.poisson(s * scale).astype(float), t)
     tau = q @ np.arange(20)
     assert np.corrcoef(np.argsort(np.argsort(tau)), np.argsort(np.argsort(true)))[0, 1] > 0.9
+
+
+def test_resolved_space_and_kept_preparation(spark, tmp_path):
+    from brindle.operators import inference
+
+    rng = np.random.default_rng(0)
+    theta = rng.dirichlet(np.ones(3), 30)
+    x = rng.poisson(theta @ rng.gamma(0.5, 10, (3, 40))).astype(float)
+    losses = inference.resolve_space(theta, x, 4, 150)[3]
+    assert losses[-1] < losses[0]
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        assert inference.prepared(spark, str(tmp_path), {"b": 1, "a": 2}, build).count() == 3
+    assert len(calls) == 1
+
+
+def test_relation_overrides_refuse_unknown_names(spark, tmp_path):
+    r = spark.createDataFrame([("a", 1.0)], "relation string, weight double")
+    assert graph.override_relations(r, {"a": {"weight": 2}}).first().weight == 2.0
+    with pytest.raises(ValueError, match="b"):
+        graph.override_relations(r, {"b": {"weight": 2}})
+    graph.export_text(spark.createDataFrame([("g", "x", "t", "y", 1.5)], "lhs_type string, lhs string, rhs_type string, rhs string, w double"), str(tmp_path / "e"))
+    assert spark.read.text(str(tmp_path / "e")).first()[0] == "g\tx\tt\ty\t1.5"
