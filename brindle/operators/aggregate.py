@@ -40,7 +40,7 @@ def composition(counts: DataFrame, scored: DataFrame | None = None) -> DataFrame
 
 def cell_statistics(counts: DataFrame, members: DataFrame) -> DataFrame:
     """cell_id, log_total, detected and share of the member features; a null share where the total is 0."""
-    m = F.broadcast(members.select("feature_id").distinct().withColumn("in", F.lit(1)))
+    m = members.select("feature_id").distinct().withColumn("in", F.lit(1))
     c = counts.join(m, "feature_id", "left")
     t = F.sum("value")
     return c.groupBy("cell_id").agg(F.log1p(t).alias("log_total"), F.count_if(F.col("value") > 0).alias("detected"), (F.sum(F.when(F.col("in").isNotNull(), F.col("value")).otherwise(0)) / F.when(t > 0, t)).alias("share"))
@@ -70,7 +70,7 @@ def group_log_means(counts: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, feature_id, mean) of ln(1 + count) over all cells of a group, zeros included."""
     sizes = labels.where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     s = counts.join(labels, "cell_id").where("label is not null").groupBy("label", "feature_id").agg(F.sum(F.log1p("value")).alias("s"))
-    return s.join(F.broadcast(sizes), "label").select("label", "feature_id", (F.col("s") / F.col("n")).alias("mean"))
+    return s.join(sizes, "label").select("label", "feature_id", (F.col("s") / F.col("n")).alias("mean"))
 
 
 def vector_sums(points: DataFrame, by: str) -> DataFrame:
@@ -82,7 +82,7 @@ def batch_shares(cells: DataFrame, groups: DataFrame, batches: DataFrame, weight
     """(pb, batch, share) of all groups and batches, by weight; even for a group without cells."""
     w = F.col(weight) if weight else F.lit(1)
     n = cells.groupBy("pb", "batch").agg(F.sum(w).alias("w"))
-    all_ = groups.select("pb").crossJoin(F.broadcast(batches.select("batch"))).join(n, ["pb", "batch"], "left").withColumn("w", F.coalesce("w", F.lit(0)))
+    all_ = groups.select("pb").crossJoin(batches.select("batch")).join(n, ["pb", "batch"], "left").withColumn("w", F.coalesce("w", F.lit(0)))
     over = Window.partitionBy("pb")
     return all_.select("pb", "batch", F.when(F.sum("w").over(over) > 0, F.col("w") / F.sum("w").over(over)).otherwise(1.0 / F.count(F.lit(1)).over(over)).alias("share"))
 

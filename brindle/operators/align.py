@@ -34,7 +34,7 @@ def align_bulk(bulk: DataFrame, features: DataFrame) -> DataFrame:
     first = features.groupBy(N.match_key("name").alias("key")).agg(F.min("feature_id").alias("feature_id"))
     value = F.when(F.col("value") < 0, F.raise_error(F.lit("a bulk value is negative"))).otherwise(F.col("value"))
     got = bulk.select(N.match_key("name").alias("key"), "sample", value.alias("value")).join(first, "key").groupBy("feature_id", "sample").agg(F.sum("value").alias("value"))
-    axis = features.select("feature_id").join(F.broadcast(bulk.select("sample").distinct()), how="cross")
+    axis = features.select("feature_id").join(bulk.select("sample").distinct(), how="cross")
     return axis.join(got, ["feature_id", "sample"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
@@ -140,7 +140,7 @@ def dense_labels(labels: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     new = ids.withColumn("dense", F.row_number().over(Window.orderBy("label")) - 1)
-    return labels.join(F.broadcast(new), "label").select("cell_id", F.col("dense").alias("label"))
+    return labels.join(new, "label").select("cell_id", F.col("dense").alias("label"))
 
 
 def refuse_recorded(new: DataFrame, recorded: DataFrame, key: str = "path") -> DataFrame:

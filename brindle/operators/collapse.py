@@ -32,7 +32,7 @@ def sign_partition(projection: DataFrame, bits: int, stratum: DataFrame | None =
     code = projection.where(F.col("dim") < bits).groupBy("cell_id").agg(F.sum(F.when(F.col("x") > 0, F.pow(F.lit(2.0), F.col("dim"))).otherwise(0.0)).cast("long").alias("code"))
     s = code.withColumn("stratum", F.lit(0)) if stratum is None else code.join(stratum.select("cell_id", "stratum"), "cell_id", "left").withColumn("stratum", F.coalesce("stratum", F.lit(0)))
     ids = s.select("stratum", "code").distinct().withColumn("pb", F.row_number().over(Window.orderBy("stratum", "code")) - 1)
-    return s.join(F.broadcast(ids), ["stratum", "code"]).select("cell_id", "code", "pb")
+    return s.join(ids, ["stratum", "code"]).select("cell_id", "code", "pb")
 
 
 def levels(partition: DataFrame, depth: int = 3, step: int = 2) -> DataFrame:
@@ -80,7 +80,7 @@ def residual_rates(sums: DataFrame, sizes: DataFrame, mu: DataFrame) -> DataFram
 def dispersion(sums: DataFrame, sizes: DataFrame) -> DataFrame:
     """(feature_id, mean, phi): moment estimate ``phi = mean^2 / (variance - mean)`` over observed pseudobulk rates; null where not overdispersed."""
     n = sizes.agg(F.count(F.lit(1)).alias("pbs"))
-    r = sums.join(F.broadcast(sizes), "pb").withColumn("r", F.col("total") / F.col("n_cells"))
+    r = sums.join(sizes, "pb").withColumn("r", F.col("total") / F.col("n_cells"))
     m = r.groupBy("feature_id").agg(F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("ss")).crossJoin(F.broadcast(n))
     mean = F.col("s") / F.col("pbs")
     var = F.col("ss") / F.col("pbs") - mean * mean
@@ -88,7 +88,7 @@ def dispersion(sums: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def log_rates(sums: DataFrame, sizes: DataFrame) -> DataFrame:
-    return sums.join(F.broadcast(sizes), "pb").select("pb", "feature_id", F.log1p(1e4 * F.col("total") / F.col("n_cells")).alias("x"))
+    return sums.join(sizes, "pb").select("pb", "feature_id", F.log1p(1e4 * F.col("total") / F.col("n_cells")).alias("x"))
 
 
 def singular_vectors(rates: DataFrame, rank: int = 10) -> tuple[np.ndarray, np.ndarray, list]:
@@ -144,7 +144,7 @@ def coarsen(profiles: DataFrame, bin_width: float, score: Column) -> DataFrame:
     """(feature_id, grp): features dealt to bins of a score, bins numbered without gaps."""
     b = profiles.select("feature_id", F.floor(score / bin_width).alias("bin"))
     ids = b.select("bin").distinct().withColumn("grp", F.row_number().over(Window.orderBy("bin")) - 1)
-    return b.join(F.broadcast(ids), "bin").select("feature_id", "grp")
+    return b.join(ids, "bin").select("feature_id", "grp")
 
 
 def expand_dictionary(group_beta: DataFrame, groups: DataFrame, feature_totals: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def kinetic_features(tracks: DataFrame, depth: DataFrame, min_reads: int, top: i
     """
     enough = tracks.groupBy("feature_id").agg(F.sum("u").alias("u"), F.sum("s").alias("s")).where((F.col("u") >= min_reads) & (F.col("s") >= min_reads))
     n = depth.agg(F.count(F.lit(1)).alias("n"))
-    x = tracks.join(enough.select("feature_id"), "feature_id", "left_semi").join(F.broadcast(depth), "pb").withColumn("y", F.log1p(1e4 * (F.col("u") + F.col("s")) / F.col("depth")))
+    x = tracks.join(enough.select("feature_id"), "feature_id", "left_semi").join(depth, "pb").withColumn("y", F.log1p(1e4 * (F.col("u") + F.col("s")) / F.col("depth")))
     v = x.groupBy("feature_id").agg(F.sum("y").alias("y"), F.sum(F.col("y") * F.col("y")).alias("yy")).crossJoin(F.broadcast(n)).withColumn("v", F.col("yy") / F.col("n") - (F.col("y") / F.col("n")) ** 2)
     return v.orderBy(F.desc(F.round("v", 9)), "feature_id").limit(top).select("feature_id").orderBy("feature_id")
 
@@ -72,7 +72,7 @@ def drop_small(labels: DataFrame, least: int) -> DataFrame:
     """Labels with clusters under ``least`` cells unassigned and the others renumbered in their order."""
     kept = labels.where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     new = kept.select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("new_label"))
-    return labels.join(F.broadcast(new), "label", "left").select("cell_id", F.col("new_label").alias("label"))
+    return labels.join(new, "label", "left").select("cell_id", F.col("new_label").alias("label"))
 
 
 def fold_small(labels: DataFrame, points: DataFrame, least: int) -> DataFrame:
@@ -88,10 +88,10 @@ def fold_small(labels: DataFrame, points: DataFrame, least: int) -> DataFrame:
     ranked = sizes.crossJoin(F.broadcast(stat)).withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "label")))
     stay = ranked.where((F.col("n") >= least) | ((F.col("largest") < least) & (F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("cells") / least))))).select("label")
     joined = points.select("cell_id", "vec").join(labels, "cell_id")
-    centroids = vector_mean(joined.join(F.broadcast(stay), "label", "left_semi"), ["label"])
-    moved = joined.join(F.broadcast(stay), "label", "left_anti")
-    near = moved.crossJoin(F.broadcast(centroids.select(F.col("label").alias("to"), F.col("mean").alias("c")))).groupBy("cell_id").agg(F.min_by("to", F.struct(F.round(sq_dist("vec", "c"), 9), F.col("to"))).alias("label"))
-    return joined.join(F.broadcast(stay), "label", "left_semi").select("cell_id", "label").unionByName(near)
+    centroids = vector_mean(joined.join(stay, "label", "left_semi"), ["label"])
+    moved = joined.join(stay, "label", "left_anti")
+    near = moved.crossJoin(centroids.select(F.col("label").alias("to"), F.col("mean").alias("c"))).groupBy("cell_id").agg(F.min_by("to", F.struct(F.round(sq_dist("vec", "c"), 9), F.col("to"))).alias("label"))
+    return joined.join(stay, "label", "left_semi").select("cell_id", "label").unionByName(near)
 
 
 def upper_median(values: DataFrame, value: str) -> DataFrame:
@@ -113,8 +113,8 @@ def winsorize(points: DataFrame, width: float) -> DataFrame:
     """
     mid = lambda v: F.element_at(F.sort_array(F.collect_list(v)), (F.floor(F.count(v) / 2) + 1).cast("int"))
     med = points.groupBy("dim").agg(mid(F.col("value")).alias("med"), F.count("value").alias("n"))
-    with_med = points.join(F.broadcast(med), "dim")
+    with_med = points.join(med, "dim")
     mad = with_med.groupBy("dim").agg(mid(F.abs(F.col("value") - F.col("med"))).alias("mad"))
     reach = F.lit(width * 1.4826) * F.col("mad")
     held = F.least(F.greatest(F.col("value"), F.col("med") - reach), F.col("med") + reach)
-    return with_med.join(F.broadcast(mad), "dim").select("id", "dim", F.when((F.col("n") < 8) | (F.col("mad") <= 1e-12), F.col("value")).otherwise(held).alias("value"))
+    return with_med.join(mad, "dim").select("id", "dim", F.when((F.col("n") < 8) | (F.col("mad") <= 1e-12), F.col("value")).otherwise(held).alias("value"))

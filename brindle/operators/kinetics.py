@@ -28,7 +28,7 @@ def rescaled(tracks: DataFrame, cells: DataFrame, delta: DataFrame) -> DataFrame
 
 def levels(genes: DataFrame, positions: DataFrame) -> DataFrame:
     """(gene, pos, u, s) at times ``t`` of positions, from rest, for rates (gene, alpha, beta, gamma)."""
-    g = genes.crossJoin(F.broadcast(positions))
+    g = genes.crossJoin(positions)
     return g.select("gene", "pos", unspliced_level(F.lit(0.0), "alpha", "beta", "t").alias("u"), spliced_level(F.lit(0.0), F.lit(0.0), "alpha", "beta", "gamma", "t").alias("s"))
 
 
@@ -51,7 +51,7 @@ def time_readout(post: DataFrame, positions: DataFrame) -> DataFrame:
     """(cell_id, tau, sd, low, high): mean, sd and 90 % interval of time."""
     from brindle.operators.rank import grid_quantile
 
-    p = post.join(F.broadcast(positions), "pos")
+    p = post.join(positions, "pos")
     m = p.groupBy("cell_id").agg(F.sum(F.col("q") * F.col("t")).alias("tau"), F.sum(F.col("q") * F.col("t") * F.col("t")).alias("tt"))
     low, high = (grid_quantile(p, ["cell_id"], "t", "q", x).withColumnRenamed("position", n) for x, n in ((0.05, "low"), (0.95, "high")))
     sd = F.sqrt(F.greatest(F.col("tt") - F.col("tau") * F.col("tau"), F.lit(0.0)))

@@ -129,7 +129,7 @@ def critique(views: DataFrame, k: int = 15, far_share: float = 0.25) -> DataFram
     best = d.withColumn("r", F.row_number().over(Window.partitionBy("model", "a").orderBy("d2", "b"))).where(F.col("r") <= k)
     pairs = best.select(F.least("a", "b").alias("pb_a"), F.greatest("a", "b").alias("pb_b")).distinct()
     models = views.select("model").distinct()
-    grid = pairs.crossJoin(F.broadcast(models)).join(ranks, ["model", "pb_a", "pb_b"], "left")
+    grid = pairs.crossJoin(models).join(ranks, ["model", "pb_a", "pb_b"], "left")
     others = grid.select("pb_a", "pb_b", F.col("model").alias("other"), F.col("rank").alias("other_rank")).where("other_rank is not null")
     answer = grid.join(others, ["pb_a", "pb_b"]).where("model != other").groupBy("model", "pb_a", "pb_b").agg(F.median("other_rank").alias("answer"))
     full = grid.join(answer, ["model", "pb_a", "pb_b"], "left")

@@ -35,7 +35,7 @@ def delta_sums(counts: DataFrame, cells: DataFrame, profile: DataFrame, weights:
     obs = mapped.groupBy("batch", "feature_id").agg(F.sum("value").alias("x"))
     p = profile if weights is None else profile.join(weights, "feature_id", "left")
     w = F.lit(1.0) if weights is None else nb_weight("phi", F.coalesce("mu", F.lit(0.0)))
-    grid = p.withColumn("w", w).crossJoin(F.broadcast(lib)).join(obs, ["batch", "feature_id"], "left")
+    grid = p.withColumn("w", w).crossJoin(lib).join(obs, ["batch", "feature_id"], "left")
     return grid.select("batch", "feature_id", (F.col("w") * F.coalesce("x", F.lit(0))).alias("obs"), (F.col("w") * F.col("lib") * F.col("rate")).alias("pred"))
 
 

@@ -16,7 +16,7 @@ def contrasts(sums: DataFrame, rho: DataFrame) -> DataFrame:
     all_ = Window.partitionBy("dim")
     d = sums.select("label", "dim", (F.col("total") / F.col("n") - (F.sum("total").over(all_) - F.col("total")) / F.when(F.sum("n").over(all_) > F.col("n"), F.sum("n").over(all_) - F.col("n"))).alias("gap"))
     r = rho.select("feature_id", F.posexplode("rho").alias("dim", "r"))
-    return r.join(F.broadcast(d), "dim").groupBy("label", "feature_id").agg(F.sum(F.col("r") * F.col("gap")).alias("lfc"))
+    return r.join(d, "dim").groupBy("label", "feature_id").agg(F.sum(F.col("r") * F.col("gap")).alias("lfc"))
 
 
 def union_contrast(sums: DataFrame, labels: list, rho: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def topic_contrast(theta: DataFrame, beta: DataFrame) -> DataFrame:
     """(label, feature_id, lfc) = ln of ``beta . mean theta`` in against out; inputs (label, k, total, n) and (feature_id, k, p)."""
     all_ = Window.partitionBy("k")
     m = theta.select("label", "k", (F.col("total") / F.col("n")).alias("inside"), ((F.sum("total").over(all_) - F.col("total")) / F.when(F.sum("n").over(all_) > F.col("n"), F.sum("n").over(all_) - F.col("n"))).alias("outside"))
-    g = beta.join(F.broadcast(m), "k").groupBy("label", "feature_id").agg(F.sum(F.col("p") * F.col("inside")).alias("a"), F.sum(F.col("p") * F.col("outside")).alias("b"))
+    g = beta.join(m, "k").groupBy("label", "feature_id").agg(F.sum(F.col("p") * F.col("inside")).alias("a"), F.sum(F.col("p") * F.col("outside")).alias("b"))
     return g.select("label", "feature_id", F.log(F.greatest("a", F.lit(FLOOR)) / F.greatest("b", F.lit(FLOOR))).alias("lfc"))
 
 
@@ -78,7 +78,7 @@ def marker_fit(scores: DataFrame, markers: DataFrame) -> DataFrame:
     """(label, type, fit): mean score of a type's markers in a group, a missing one counting 0."""
     n = markers.groupBy("type").agg(F.count_distinct("feature_id").alias("n"))
     s = scores.join(markers.select("type", "feature_id").distinct(), "feature_id").groupBy("label", "type").agg(F.sum("score").alias("s"))
-    return scores.select("label").distinct().crossJoin(F.broadcast(n)).join(s, ["label", "type"], "left").select("label", "type", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("fit"))
+    return scores.select("label").distinct().crossJoin(n).join(s, ["label", "type"], "left").select("label", "type", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("fit"))
 
 
 def nearest_point(points: DataFrame, x: float, y: float) -> DataFrame:
@@ -94,7 +94,7 @@ def place(cells: DataFrame, anchors: DataFrame, k: int = 3, decay: float = 10.0)
     n = nearest(cells, anchors.select("id", "vec"), k)
     reach = F.max("d2").over(Window.partitionBy("a"))
     w = n.withColumn("w", F.exp(-F.pow(F.when(reach > 0, F.col("d2") / reach).otherwise(0.0), decay / 2)))
-    t = w.join(F.broadcast(anchors.select(F.col("id").alias("b"), "x", "y")), "b")
+    t = w.join(anchors.select(F.col("id").alias("b"), "x", "y"), "b")
     return t.groupBy(F.col("a").alias("cell_id")).agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("y"))
 
 

@@ -106,7 +106,7 @@ def mean_rate(spark: SparkSession, d: str) -> DataFrame:
     l = _labels(spark, d)
     sizes = l.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     k = sizes.agg(F.count(F.lit(1)).alias("k"))
-    r = A.grouped_sums(S.customer_counts(spark, d), l).join(F.broadcast(sizes), "label").groupBy("feature_id").agg(F.sum(F.col("total") / F.col("n")).alias("s"))
+    r = A.grouped_sums(S.customer_counts(spark, d), l).join(sizes, "label").groupBy("feature_id").agg(F.sum(F.col("total") / F.col("n")).alias("s"))
     return r.crossJoin(F.broadcast(k)).select("feature_id", F.round(F.col("s") / F.col("k"), 6).alias("mu"))
 
 

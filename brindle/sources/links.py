@@ -83,7 +83,7 @@ def positions(rows: DataFrame) -> DataFrame:
 
 def e2g(predictions: DataFrame, enhancers: DataFrame, cell_types: DataFrame) -> DataFrame:
     """Enhancer to gene of a release's three tables: a relation for each model and cell type."""
-    j = predictions.join(enhancers, "enhancer_id").join(F.broadcast(cell_types), "cell_type_id")
+    j = predictions.join(enhancers, "enhancer_id").join(cell_types, "cell_type_id")
     region = F.concat_ws("", N.bare_chromosome("chr"), F.lit(":"), F.col("start"), F.lit("-"), F.col("end"))
     e = j.select(F.concat_ws("", F.lit("region:gene/"), "model", F.lit("/"), N.group_token("name")).alias("relation"), region.alias("lhs"), N.match_key("gene").alias("rhs"), F.col("score").cast("double").alias("w"))
     return e.groupBy("relation", "lhs", "rhs").agg(F.max("w").alias("w"))

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def grouped_sums(counts: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, feature_id, total) of a stream of counts, labels being static; run it in update or complete mode."""
-    return counts.join(F.broadcast(labels), "cell_id").groupBy("label", "feature_id").agg(F.sum("value").alias("total"))
+    return counts.join(labels, "cell_id").groupBy("label", "feature_id").agg(F.sum("value").alias("total"))
 
 
 def windowed_sums(events: DataFrame, every: str, late: str, by: str = "event_type", value: str = "value") -> DataFrame:
@@ -21,7 +21,7 @@ def carry(counts: DataFrame, labels: DataFrame, path: str, checkpoint: str) -> S
     """Appends each micro-batch's sums under ``path`` as generations of their own; a batch that is run again replaces its own."""
 
     def add(batch: DataFrame, number: int) -> None:
-        sums = batch.join(F.broadcast(labels), "cell_id").groupBy("label", "feature_id").agg(F.sum("value").alias("total"))
+        sums = batch.join(labels, "cell_id").groupBy("label", "feature_id").agg(F.sum("value").alias("total"))
         sums.write.mode("overwrite").parquet(f"{path}/generation={number}")
 
     return counts.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
