@@ -18,7 +18,7 @@ import zlib
 import numpy as np
 
 #: Ids of a block; bits of a table index; bits of a probability; ids between recounts; most lanes.
-BLOCK, TABLE_BITS, PROB, RECOUNT, LANES = 4096, 11, 12, 256, 1024
+BLOCK, TABLE_BITS, PROB, RECOUNT, LANES = 4096, 11, 12, 256, 2048
 _ONE = 1 << PROB
 _RATE = 4
 _U = np.uint64
@@ -39,38 +39,41 @@ class _Models:
         self.prev = np.zeros(n, np.int64)
         self.prev2 = np.zeros(n, np.int64)
         # probabilities of a hit: [decision][by confidence | by last outcomes][lane * 16 + state]
-        self.p = [[np.full(n * 16, _ONE // 4, np.int32) for _ in range(2)] for _ in range(2)]
-        self.w = [np.full(n, 128, np.int32) for _ in range(2)]
+        self.p = [[np.full(n * 16, _ONE // 4) for _ in range(2)] for _ in range(2)]
+        self.w = [np.full(n, 128) for _ in range(2)]
         self.last = np.zeros(n, np.int64)
         self.lane16 = self.lane * 16
         # order-0: high byte, then low byte by class of the high byte (0, 1 to 7, above)
-        self.counts = np.ones((n, 4, 256), np.int32)
+        self.counts = np.ones((n, 4, 256), np.int16)
         self.recount()
 
     def recount(self) -> None:
-        c = np.cumsum(self.counts, axis=2)
-        cdf = np.zeros((self.n, 4, 257), np.int32)
+        c = np.cumsum(self.counts, axis=2, dtype=np.int32)
+        cdf = np.zeros((self.n, 4, 257), np.int16)  # small, since decoding searches it
         # every symbol keeps a share of one at least
         cdf[:, :, 1:] = c * (_ONE - 256) // c[:, :, -1:] + np.arange(1, 257, dtype=np.int32)
         self.cdf = cdf.reshape(-1)
-        if self.counts[0, 0].sum() > 4 * RECOUNT:
-            self.counts = (self.counts + 1) >> 1
+        # each block by its own counts, so that it decodes alone
+        full = c[:, 0, -1] > 4 * RECOUNT
+        if full.any():
+            self.counts[full] = (self.counts[full] + 1) >> 1
 
     def predictions(self) -> tuple[np.ndarray, ...]:
         self.k1 = self.base + ((self.prev * 0x9E3779B1 >> 7) & ((1 << TABLE_BITS) - 1))
         self.k2 = self.base + (((self.prev * 0x2545F491 + self.prev2 * 0x9E3779B1) >> 9) & ((1 << TABLE_BITS) - 1))
         e1, e2 = self.t1[self.k1], self.t2[self.k2]
-        return (e1 & 0xFFFF).astype(np.int64), (e1 >> 16).astype(np.int64), (e2 & 0xFFFF).astype(np.int64), (e2 >> 16).astype(np.int64)
+        e1, e2 = e1.astype(np.int64), e2.astype(np.int64)
+        return e1 & 0xFFFF, e1 >> 16, e2 & 0xFFFF, e2 >> 16
 
-    def chance(self, d: int, at: np.ndarray, conf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def chance(self, d: int, at: np.ndarray | slice, conf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         ia, ib = self.lane16[at] + conf, self.lane16[at] + self.last[at]
         a, b = self.p[d][0][ia], self.p[d][1][ib]
         w = self.w[d][at]
-        return np.clip((w * a + (256 - w) * b) >> 8, 32, _ONE - 32), a, b, ia, ib
+        return np.minimum(np.maximum((w * (a - b) + (b << 8)) >> 8, 32), _ONE - 32), a, b, ia, ib
 
-    def learn(self, d: int, at: np.ndarray, hit: np.ndarray, a: np.ndarray, b: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> None:
-        target = np.where(hit, _ONE, 0).astype(np.int32)
-        self.w[d][at] = np.clip(self.w[d][at] + (np.where(hit, a - b, b - a) >> 7), 16, 240)
+    def learn(self, d: int, at: np.ndarray | slice, hit: np.ndarray, a: np.ndarray, b: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> None:
+        target = hit * _ONE
+        self.w[d][at] = np.minimum(np.maximum(self.w[d][at] + (np.where(hit, a - b, b - a) >> 7), 16), 240)
         self.p[d][0][ia] = a + ((target - a) >> _RATE)
         self.p[d][1][ib] = b + ((target - b) >> _RATE)
 
@@ -86,6 +89,11 @@ class _Models:
             self.recount()
 
 
+def _live(sizes: np.ndarray) -> list[int]:
+    """How many of the blocks, longest first, have an id at each place."""
+    return np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left").tolist()
+
+
 def _class(high: np.ndarray) -> np.ndarray:
     return 1 + (high > 0) + (high > 7)
 
@@ -98,22 +106,22 @@ def _encode_lanes(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     room = int(sizes[0]) * 5 // 4 + 16
     out, pos = np.zeros((n, room), np.uint32), np.zeros(n, np.int64)
 
-    def put(at: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
+    def put(at: np.ndarray | slice, start: np.ndarray, freq: np.ndarray) -> None:
         r = rng[at] >> _U(PROB)
-        lo, ra = low[at] + r * start.astype(_U), r * freq.astype(_U)
+        lo, ra = low[at] + r * start.view(_U), r * freq.view(_U)
         small = np.flatnonzero(ra < _U(1 << 32))
         if len(small):
-            a, s, l, q = at[small], small, lo[small], ra[small]
+            a, s, l, q = small if isinstance(at, slice) else at[small], small, lo[small], ra[small]
             q = np.where((l ^ (l + q - _U(1))) >> _U(32) == 0, q, _U(1 << 32) - (l & _U(0xFFFFFFFF)))
             out[a, pos[a]] = (l >> _U(32)).astype(np.uint32)
             pos[a] += 1
             lo[s], ra[s] = l << _U(32), np.minimum(q, _U(0xFFFFFFFF)) << _U(32)
         low[at], rng[at] = lo, ra
 
-    for t in range(int(sizes[0])):
-        live = int(np.searchsorted(-sizes, -t, side="left"))
-        at, x = m.lane[:live], ids[:live, t].astype(np.int64)
-        p1, c1, p2, c2 = (v[:n] for v in m.predictions())
+    columns = ids.T.astype(np.int64, order="C")
+    for t, live in enumerate(_live(sizes)):
+        at, x = slice(0, live), columns[t, :live]
+        p1, c1, p2, c2 = m.predictions()
         hit = x == p2[:live]
         _decide(m, 0, at, hit, c2[:live], put)
         rest = np.flatnonzero(~hit)
@@ -127,13 +135,13 @@ def _encode_lanes(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
                 high, lo8 = x[lit] >> 8, x[lit] & 255
                 for table, sym in ((np.zeros(len(lit), np.int64), high), (_class(high), lo8)):
                     k = (lit * 4 + table) * 257 + sym
-                    start = m.cdf[k]
+                    start = m.cdf[k].astype(np.int64)
                     put(lit, start, m.cdf[k + 1] - start)
                     m.counts[lit, table, sym] += 8
         m.last[:live] = (m.last[:live] * 3 + outcome) % 9
-        full = np.zeros(n, np.int64)
-        full[:live] = x
-        m.advance(full, p1, c1, p2, c2, t)
+        if live < n:
+            x = np.concatenate([x, np.zeros(n - live, np.int64)])
+        m.advance(x, p1, c1, p2, c2, t)
     codes = []
     for i in range(n):
         tail = np.array([int(low[i]) >> 32, int(low[i]) & 0xFFFFFFFF], np.uint32)
@@ -141,7 +149,7 @@ def _encode_lanes(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     return codes
 
 
-def _decide(m: _Models, d: int, at: np.ndarray, hit: np.ndarray, conf: np.ndarray, put) -> None:  # noqa: ANN001
+def _decide(m: _Models, d: int, at: np.ndarray | slice, hit: np.ndarray, conf: np.ndarray, put) -> None:  # noqa: ANN001
     p, *rest = m.chance(d, at, conf)
     put(at, np.where(hit, 0, p), np.where(hit, p, _ONE - p))
     m.learn(d, at, hit, *rest)
@@ -157,24 +165,24 @@ def _decode_lanes(codes: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
     pos = np.full(n, 2, np.int64)
     code = (data[:, 0].astype(_U) << _U(32)) | data[:, 1].astype(_U)
     low, rng = np.zeros(n, _U), np.full(n, 2**64 - 1, _U)
-    ids = np.zeros((n, int(sizes[0])), np.uint16)
+    ids = np.zeros((int(sizes[0]), n), np.uint16)
 
-    def value(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def value(at: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
         r = rng[at] >> _U(PROB)
-        return r, np.minimum((code[at] - low[at]) // r, _U(_ONE - 1)).astype(np.int64)
+        return r, np.minimum((code[at] - low[at]) // r, _U(_ONE - 1)).view(np.int64)
 
-    def take(at: np.ndarray, r: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        lo, ra = low[at] + r * start.astype(_U), r * freq.astype(_U)
+    def take(at: np.ndarray | slice, r: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
+        lo, ra = low[at] + r * start.view(_U), r * freq.view(_U)
         small = np.flatnonzero(ra < _U(1 << 32))
         if len(small):
-            a, l, q = at[small], lo[small], ra[small]
+            a, l, q = small if isinstance(at, slice) else at[small], lo[small], ra[small]
             q = np.where((l ^ (l + q - _U(1))) >> _U(32) == 0, q, _U(1 << 32) - (l & _U(0xFFFFFFFF)))
             code[a] = (code[a] << _U(32)) | data[a, np.minimum(pos[a], room - 1)].astype(_U)
             pos[a] += 1
             lo[small], ra[small] = l << _U(32), np.minimum(q, _U(0xFFFFFFFF)) << _U(32)
         low[at], rng[at] = lo, ra
 
-    def decided(d: int, at: np.ndarray, conf: np.ndarray) -> np.ndarray:
+    def decided(d: int, at: np.ndarray | slice, conf: np.ndarray) -> np.ndarray:
         p, *rest = m.chance(d, at, conf)
         r, v = value(at)
         hit = v < p
@@ -182,9 +190,8 @@ def _decode_lanes(codes: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
         m.learn(d, at, hit, *rest)
         return hit
 
-    for t in range(int(sizes[0])):
-        live = int(np.searchsorted(-sizes, -t, side="left"))
-        at = m.lane[:live]
+    for t, live in enumerate(_live(sizes)):
+        at = slice(0, live)
         p1, c1, p2, c2 = m.predictions()
         x = p2[:live].copy()
         hit = decided(0, at, c2[:live])
@@ -201,20 +208,20 @@ def _decode_lanes(codes: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
                     table = _class(got) if byte else np.zeros(len(lit), np.int64)
                     r, v = value(lit)
                     k = (lit * 4 + table) * 257
-                    sym = np.zeros(len(lit), np.int64)
+                    sym, small = np.zeros(len(lit), np.int64), v.astype(np.int16)
                     for bit in (128, 64, 32, 16, 8, 4, 2, 1):
-                        sym += bit * (m.cdf[k + sym + bit] <= v)
-                    start = m.cdf[k + sym]
+                        sym += bit * (m.cdf[k + (sym + bit)] <= small)
+                    start = m.cdf[k + sym].astype(np.int64)
                     take(lit, r, start, m.cdf[k + sym + 1] - start)
                     m.counts[lit, table, sym] += 8
                     got = got << 8 | sym
                 x[lit] = got
         m.last[:live] = (m.last[:live] * 3 + outcome) % 9
-        ids[:live, t] = x
-        full = np.zeros(n, np.int64)
-        full[:live] = x
-        m.advance(full, p1, c1, p2, c2, t)
-    return ids
+        ids[t, :live] = x
+        if live < n:
+            x = np.concatenate([x, np.zeros(n - live, np.int64)])
+        m.advance(x, p1, c1, p2, c2, t)
+    return ids.T
 
 
 def encode(ids: np.ndarray) -> list[tuple[int, int, bytes]]:

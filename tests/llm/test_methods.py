@@ -244,6 +244,15 @@ def test_coder_round_trip(n):
                 rangecoder.decode(bad)
 
 
+def test_blocks_decode_alone():
+    rng = np.random.default_rng(9)
+    ids = np.concatenate([np.full(4096, 7), rng.integers(0, 65536, 4096), rng.zipf(1.2, 4096) % 50257, rng.integers(0, 300, 5000)]).astype(np.uint32)
+    blocks = rangecoder.encode(ids)
+    for i in range(len(blocks)):
+        assert np.array_equal(rangecoder.decode(blocks[i : i + 1]), ids[i * 4096 : i * 4096 + blocks[i][0]])
+    assert np.array_equal(rangecoder.decode(blocks[::-1]), np.concatenate([ids[i * 4096 : (i + 1) * 4096] for i in range(len(blocks))][::-1]))
+
+
 def test_coder_learns_repeats():
     ids = np.tile(np.random.default_rng(0).integers(0, 50257, 64), 256).astype(np.uint32)
     assert sum(len(b[2]) for b in rangecoder.encode(ids)) < len(ids) / 2
