@@ -24,19 +24,50 @@ def distances(a: DataFrame, b: DataFrame, same: bool = False) -> DataFrame:
     return met.select("a", "b", F.round(V.sq_dist("va", "vb"), EXACT).alias("d2"))
 
 
+#: Rows of a block of points about.
+BLOCK = 1024
+
+
+def _blocked(points: DataFrame, name: str) -> DataFrame:
+    """Rows of about ``BLOCK`` points each: their ids and vectors, in order of id."""
+    n = points.agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.lit(1)).alias("n"))
+    dealt = points.select("id", "vec").crossJoin(F.broadcast(n)).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("n")))
+    rows = dealt.groupBy("blk").agg(F.sort_array(F.collect_list(F.struct("id", "vec"))).alias("p"))
+    return rows.select(F.transform("p", lambda x: x["id"]).alias(f"{name}_ids"), F.transform("p", lambda x: x["vec"]).alias(f"{name}_vecs"))
+
+
 def nearest(a: DataFrame, b: DataFrame, k: int, same: bool = False) -> DataFrame:
-    """(a, b, d2, rank): the k nearest of ``b`` for each row of ``a``, ties to the lower id.
+    """(a, b, d2, rank): the k nearest of ``b`` for each row of ``a`` (id: long, vec), ties to the lower id.
 
-    The k best of each block of ``b`` are kept before blocks meet, so no row gathers all distances.
+    Blocks of points meet, not rows: distances of two blocks are one matrix product, and each block's k best go on, so
+    no row gathers all distances.
     """
-    blocks = b.select("id", "vec").withColumn("__blk", F.pmod(F.xxhash64("id"), F.lit(16)))
-    left = a.select(F.col("id").alias("a"), F.col("vec").alias("va"))
-    met = left.crossJoin(blocks.select(F.col("id").alias("b"), F.col("vec").alias("vb"), "__blk"))
-    if same:
-        met = met.where("a != b")
-    d = met.select("a", "b", "__blk", F.round(V.sq_dist("va", "vb"), EXACT).alias("d2"))
-    per = d.withColumn("r", F.row_number().over(Window.partitionBy("a", "__blk").orderBy("d2", "b"))).where(F.col("r") <= k)
-    return per.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("d2", "b"))).where(F.col("rank") <= k).select("a", "b", "d2", "rank")
+    import numpy as np
+    import pandas as pd
+
+    def best(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            for ia, va, ib, vb in zip(pdf["a_ids"], pdf["a_vecs"], pdf["b_ids"], pdf["b_vecs"], strict=True):
+                x, y, ia, ib = np.array(va.tolist(), float), np.array(vb.tolist(), float), np.asarray(ia), np.asarray(ib)
+                d2 = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
+                if same:
+                    d2[ia[:, None] == ib[None, :]] = np.inf
+                # a few more than k, then exactly: products round otherwise than differences
+                m = min(k + 8, len(ib))
+                near = np.argpartition(d2, m - 1, axis=1)[:, :m]
+                row = np.repeat(np.arange(len(ia)), m)
+                col = near.ravel()
+                keep = np.isfinite(d2[row, col])
+                row, col = row[keep], col[keep]
+                exact = np.round(((x[row] - y[col]) ** 2).sum(1), EXACT)
+                order = np.lexsort((ib[col], exact, row))
+                row, col, exact = row[order], col[order], exact[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                first = place < k
+                yield pd.DataFrame({"a": ia[row[first]], "b": ib[col[first]], "d2": exact[first]})
+
+    met = _blocked(a, "a").crossJoin(_blocked(b, "b")).mapInPandas(best, "a long, b long, d2 double")
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("d2", "b"))).where(F.col("rank") <= k).select("a", "b", "d2", "rank")
 
 
 def by_direction(a: DataFrame, b: DataFrame, k: int, same: bool = False) -> DataFrame:
