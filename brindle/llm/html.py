@@ -3,8 +3,10 @@
 For each element: characters, characters in links, tags and link tags under it. Its density is the
 characters per tag, adjusted by the share of links (composite text density); its sum is the sum of its
 children's densities. The element with the largest sum is the core of the text. From there the choice
-climbs towards the body, to an enclosing ``article`` or ``main``, or while a parent's other children are
-text of at least the least density on the path from the core to the body. Menus, headers, footers,
+climbs to an enclosing ``article`` or ``main``, or to the body. Of what the ancestors up to the body hold
+beside the core, all text stays (further sections, headings, leads, however short), but for blocks that are
+links for over half of their characters and less dense than every element on the path from the core to
+the body, and for bare links between blocks. Menus, headers, footers,
 sidebars, notices, adverts, forms, comments, scripts and styles are cut before densities are computed, by
 element, role, and words of class and id; such a word does not cut an element that holds the article.
 
@@ -154,8 +156,8 @@ class Dom:
         return out
 
 
-def densities(dom: Dom, out: list[bool], texts: list[str]) -> tuple[list[float], list[float], list[int]]:
-    """Composite density, density sum and characters of each element."""
+def densities(dom: Dom, out: list[bool], texts: list[str]) -> tuple[list[float], list[float], list[int], list[int]]:
+    """Composite density, density sum, characters and characters in links of each element."""
     n = len(dom.tag)
     link = [False] * n
     for i in range(1, n):
@@ -184,32 +186,39 @@ def densities(dom: Dom, out: list[bool], texts: list[str]) -> tuple[list[float],
             density[i] = chars[i] / t * max(math.log(max(chars[i] / lc * t / lt, 1.0)) / math.log(max(base, 1.0 + 1e-9)) if base > 1 + 1e-9 else math.log(max(chars[i] / lc * t / lt, 1.0)), 0.0)
         if i:
             total[dom.parent[i]] += density[i]
-    return density, total, chars
+    return density, total, chars, linked
 
 
-def main_node(dom: Dom, out: list[bool], texts: list[str]) -> int:
-    """The element whose text is the main text."""
-    density, total, chars = densities(dom, out, texts)
-    core = max(range(len(total)), key=lambda i: (total[i], -i))
+def main_nodes(dom: Dom, out: list[bool], texts: list[str]) -> tuple[int, list[bool], list[bool]]:
+    """The element that holds the main text, the elements under it that are no part of it, and those whose text stands loose between blocks."""
+    n = len(dom.tag)
+    density, total, chars, linked = densities(dom, out, texts)
+    none = [False] * n
+    core = max(range(n), key=lambda i: (total[i], -i))
     path = [core]
     while dom.parent[path[-1]] >= 0:
         path.append(dom.parent[path[-1]])
     articles = [i for i in path if dom.tag[i] in _MAIN]
     if articles:
-        return next((i for i in articles if dom.tag[i] == "article"), articles[0])
-    holding = [i for i in range(len(total)) if dom.tag[i] in _MAIN and not out[i]]
+        return next((i for i in articles if dom.tag[i] == "article"), articles[0]), none, none
+    holding = [i for i in range(n) if dom.tag[i] in _MAIN and not out[i]]
     if holding and (best := max(holding, key=lambda i: (chars[i], -i))) and 2 * chars[best] >= chars[core]:
-        return best
+        return best, none, none
     body = next((k for k, i in enumerate(path) if dom.tag[i] == "body"), len(path) - 1)
     least = min(density[i] for i in path[: body + 1])
-    at = core
-    for up in path[1 : body + 1]:
-        rest = chars[up] - chars[at]
-        dense = any(density[i] >= least and not out[i] and 4 * chars[i] >= chars[at] for i in range(up + 1, len(total)) if dom.parent[i] == up and i != at)
-        if not dense and 4 * rest < chars[at]:
-            break
-        at = up
-    return at
+    on, above = set(path), set(path[1 : body + 1])
+    left, loose = [False] * n, [i in above for i in range(n)]
+    for i in range(1, n):
+        p = dom.parent[i]
+        if i in on:
+            continue
+        if p not in above:
+            left[i], loose[i] = left[p], loose[p]
+        elif dom.tag[i] not in BLOCK:
+            loose[i] = True  # judged with the text that it stands in
+        else:
+            left[i] = 2 * linked[i] > chars[i] and (density[i] < least or density[i] == 0)
+    return path[body], left, loose
 
 
 def extract(page: str | None) -> str:
@@ -220,20 +229,27 @@ def extract(page: str | None) -> str:
     out = dom.cut()
     texts = ["" if t is None else _html.unescape(t) if "&" in t else t for _, t in dom.parts]
     measured = [" ".join(t.split()) for t in texts]
-    top = main_node(dom, out, measured)
-    under = [False] * len(dom.tag)
+    top, left, loose = main_nodes(dom, out, measured)
+    under, link = [False] * len(dom.tag), [False] * len(dom.tag)
     under[top] = True
-    for i in range(top + 1, len(under)):
-        under[i] = under[dom.parent[i]]
+    for i in range(1, len(under)):
+        under[i] |= under[dom.parent[i]]
+        link[i] = dom.tag[i] == "a" or link[dom.parent[i]]
     blocks, held = [], []
-    for (node, raw), text in zip(dom.parts, texts, strict=True):
+
+    def flush() -> None:
+        # a menu of bare links between blocks
+        if not all(loose[i] for i, _, _ in held) or 2 * sum(k for i, _, k in held if link[i]) <= sum(k for _, _, k in held):
+            blocks.append("".join(t for _, t, _ in held))
+        held.clear()
+
+    for (node, raw), text, short in zip(dom.parts, texts, measured, strict=True):
         if raw is None:
             if held:
-                blocks.append("".join(held))
-                held = []
-        elif under[node] and not out[node]:
-            held.append(text)
-    blocks.append("".join(held))
+                flush()
+        elif under[node] and not out[node] and not left[node]:
+            held.append((node, text, len(short)))
+    flush()
     return "\n".join(b for b in (" ".join(b.split()) for b in blocks) if b)
 
 

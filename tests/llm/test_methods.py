@@ -49,6 +49,22 @@ def test_densest_subtree_without_article():
     assert text.count("\n") == 5 and "Link number" not in text and "Imprint" not in text
 
 
+def test_sections_headings_and_leads_without_article():
+    texts = lambda name, n: [f"{name} sentence {i} of the main text has a good many words. " * 4 for i in range(n)]
+    paragraphs = lambda found: "".join(f"<p>{t}</p>" for t in found)
+    line = lambda found: [" ".join(t.split()) for t in found]
+    one, two = texts("One", 6), texts("Two", 6)
+    sections = f"<div><h2>One</h2><div>{paragraphs(one)}</div></div><div><h2>Two</h2><div>{paragraphs(two)}</div></div>"
+    want = ["One", *line(one), "Two", *line(two)]
+    assert html.extract(f"<body>{sections}</body>").split("\n") == want
+    # wrappers that add nothing, sections of other sizes, a heading and a lead above all
+    menu = "<div><ul>" + "".join(f"<li><a href=/{i}>Link {i} to elsewhere</a></li>" for i in range(9)) + "</ul></div>"
+    short = texts("Three", 1)
+    third = f"<div><h2>Three</h2><div>{paragraphs(short)}</div></div>"
+    page = f"<body><div>{menu}<div><h1>Title</h1><p>A short lead.</p><div><div>{sections}{third}</div></div></div></div><a href=/>Home</a> | <a href=/x>About us</a><div><a href=x>Imprint</a></div></body>"
+    assert html.extract(page).split("\n") == ["Title", "A short lead.", *want, "Three", *line(short)]
+
+
 def test_script_and_comment_never_closed():
     assert html.extract("<p>a</p><script>if (x < y) {") == "a"
     assert html.extract("<p>a</p><!-- b") == "a"
