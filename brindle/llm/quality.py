@@ -2,9 +2,9 @@
 
 Lines are normalised (lower case, runs of blanks one space, trimmed) and hashed. For each host
 (``source``) the operator counts the distinct documents that hold a line; exact copies of a
-text count once. A line of at most ``max_line_words`` words that stands in more than
-``max(min_docs, share * distinct texts of the host)`` documents is removed; longer lines are
-passages, which duplicate removal handles. A document that loses more than ``max_removed`` of its
+text count once. A line that stands in more than ``max(min_docs, share * distinct texts of the host)``
+documents is removed, however long it is, unless ``max_line_words`` bounds the lines that count (the SQL of
+``op2`` has such a bound, ``MAX_LINE_WORDS``, so the query has it too). A document that loses more than ``max_removed`` of its
 words is depleted and rejected, as is one that fails the base rules (under 50 words, or over
 half of its words in 3-word windows found twice or more).
 
@@ -29,8 +29,9 @@ _BLANK = r"[\\x20\\x09-\\x0D]+"
 _NORMAL = f"lower(trim(regexp_replace(x, '{_BLANK}', ' ')))"
 
 
-def base_features(docs: DataFrame) -> DataFrame:
-    """doc_id, source, digest, the counts of the base rules, and ``lines``: hash and words of each short line."""
+def base_features(docs: DataFrame, max_line_words: int | None = None) -> DataFrame:
+    """doc_id, source, digest, the counts of the base rules, and ``lines``: hash and words of each line, or of each of ``max_line_words`` at most."""
+    counted = "true" if max_line_words is None else f"x.n <= {max_line_words}"
     d = docs.select("doc_id", "source", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     d = d.select("doc_id", "source", "text", F.expr(f"filter(split(text, '{_BLANK}'), x -> x != '')").alias("w"), F.expr("filter(split(text, '\\n', -1), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')").alias("l"))
     d = d.select(
@@ -41,7 +42,7 @@ def base_features(docs: DataFrame) -> DataFrame:
         F.expr(f"cast(length(regexp_replace(text, '{_BLANK}', '')) as long)").alias("word_chars"),
         F.expr("cast(length(regexp_replace(text, '[^#*$%&|<>]+', '')) as long)").alias("n_symbols"),
         F.expr("cast(size(l) - size(array_distinct(l)) as long)").alias("n_dup_lines"),
-        F.expr(f"filter(transform(transform(l, x -> {_NORMAL}), x -> struct(xxhash64(x) as h, cast(size(split(x, ' ')) as long) as n)), x -> x.n <= {MAX_LINE_WORDS})").alias("lines"),
+        F.expr(f"filter(transform(transform(l, x -> {_NORMAL}), x -> struct(xxhash64(x) as h, cast(size(split(x, ' ')) as long) as n)), x -> {counted})").alias("lines"),
         "w",
         # window hash above, position of its first word below, sorted: equal windows stand together
         F.expr(f"case when size(w) > 3 then sort_array(transform(sequence(0, size(w) - 3), i -> (xxhash64(w[i], w[i + 1], w[i + 2]) & {-(1 << _POS)}L) | i)) else cast(array() as array<bigint>) end").alias("g"),
@@ -71,9 +72,9 @@ def frequent_lines(features: DataFrame, min_docs: int = MIN_DOCS, share: float =
     return counts.join(hosts, F.col("source").eqNullSafe(F.col("host"))).where(F.col("n_docs") > F.col("texts") * share).select("source", "h", "n_docs")
 
 
-def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
+def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, max_removed: float = MAX_REMOVED, max_line_words: int | None = None) -> DataFrame:
     """A row for each document: the base counts, removed_words, removed (line hashes), base_failed and kept."""
-    t = materialize(base_features(docs).withColumn("rid", F.monotonically_increasing_id()), "quality")
+    t = materialize(base_features(docs, max_line_words).withColumn("rid", F.monotonically_increasing_id()), "quality")
     bad = frequent_lines(t, min_docs, share).select(F.col("source").alias("host"), F.col("h").alias("bad"))
     lines = t.select("rid", "source", F.explode("lines").alias("x")).select("rid", "source", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
     gone = (
@@ -101,7 +102,7 @@ def clean(docs: DataFrame, **limits: float) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = verdicts(table(spark, sf_dir, "documents"))
+    v = verdicts(table(spark, sf_dir, "documents"), max_line_words=MAX_LINE_WORDS)
     return v.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept")
 
 

@@ -86,6 +86,16 @@ def test_frequent_lines_go_and_depleted_documents(spark):
     assert len(kept) == 40 and all("Subscribe" not in r.text and r.text.startswith("unique") for r in kept)
 
 
+def test_long_lines_go_too(spark):
+    notice = "This notice of the licence " + " ".join(f"clause{k}" for k in range(60))
+    body = lambda i: "\n".join(" ".join(f"w{i}x{j}y{k}" for k in range(40)) for j in range(3))
+    rows = [(i, body(i) + "\n" + notice, "h") for i in range(20)] + [(100 + i, notice + f"\nonly {i}", "h") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    v = {r.doc_id: r for r in quality.verdicts(docs).collect()}
+    assert all(v[i].kept and v[i].removed_words == 65 for i in range(20)) and not any(v[100 + i].kept for i in range(5))
+    assert {r.doc_id: r.text for r in quality.clean(docs).collect()} == {i: body(i) for i in range(20)}
+
+
 # language
 
 
