@@ -1,8 +1,8 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Terms are the lower-cased words without marks around them and their prefixes of 4 to 8 letters, hashed into
-``BUCKETS``, and the text's length class. A term's value is log2(1 + count). The terms that tell the
-classes apart best on the labelled rows (log-odds against their error) enter the machine, which
+``BUCKETS``, and the text's length class. A term's value is log2(1 + count). Every term of the labelled
+rows enters the machine, ``BUCKETS`` at most, whatever it tells by itself; the machine
 learns a weight and a vector of ``RANK`` factors for each; the dot product of two vectors is the weight of
 the pair, so a word can count only beside another, or only in a short text.
 
@@ -20,13 +20,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.common import arrow_schema, bounded_sample, chunks, table, vocabulary, words
 
-#: Most labelled rows that the model is fitted on; hash buckets; terms in the machine; factors of a term.
-SAMPLE, BUCKETS, TERMS, RANK = 12_000, 1 << 22, 1500, 6
+#: Most labelled rows that the model is fitted on; hash buckets; factors of a term; passes of the fit; rows of a step;
+#: rows of a term (a tenth of the sample at most) at which its factors go half as far; standard errors at which its weight does.
+SAMPLE, BUCKETS, RANK, EPOCHS, ROWS, RARE, SURE = 12_000, 1 << 22, 6, 8, 256, 300, 4
 PREFIXES = range(4, 9)
 THRESHOLD = 0.3
 #: Words whose terms a worker remembers.
@@ -34,7 +36,6 @@ MEMORY = 200_000
 
 _edges = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _seen: dict[str, np.ndarray] = {}
-_NONE = np.zeros(0, np.int64)
 
 
 def _bucket(term: str) -> int:
@@ -55,7 +56,7 @@ def _ragged(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counted(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, count) of a block: buckets, or positions in the sorted ``known`` without other terms."""
+    """(row, term, count) of a block: buckets, or positions in the sorted ``known`` without terms that the sample lacks."""
     flat, offsets = words(texts)
     rows = len(texts)
     n_words = np.diff(offsets)
@@ -63,18 +64,13 @@ def counted(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarra
     length = np.array([_bucket(f"len{i}") for i in range(64)])[np.frompyfunc(int.bit_length, 1, 1)(n_words).astype(np.int64)] if rows else np.zeros(0, np.int64)
     if len(flat):
         code, vocab = vocabulary(flat)
-        if known is None:
-            per = [np.array(terms(w), np.int64) for w in vocab.to_pylist()]
-        else:
-            if len(_seen) > MEMORY:
-                _seen.clear()
-            wanted = set(known.tolist())
-            per = []
-            for w in vocab.to_pylist():
-                if (x := _seen.get(w)) is None:
-                    t = [y for y in terms(w) if y in wanted]
-                    x = _seen[w] = np.array(t, np.int64) if t else _NONE
-                per.append(x)
+        if len(_seen) > MEMORY:
+            _seen.clear()
+        per = []
+        for w in vocab.to_pylist():
+            if (t := _seen.get(w)) is None:
+                t = _seen[w] = np.array(terms(w), np.int32)
+            per.append(t)
         values, sizes = _ragged(per)
         used = sizes > 0
         text = np.repeat(np.arange(rows), n_words)
@@ -98,27 +94,14 @@ def counted(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarra
     return row, found, n
 
 
-def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of each class that hold a term, of each block."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = arrow_schema("doc_id long, toxic int, terms array<int>, n array<int>")
     for batch in chunks(batches):
-        row, term, _ = counted(batch.column("text"))
-        y = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
-        t, at = np.unique(term, return_inverse=True)
-        pos = np.bincount(at, weights=y[row], minlength=len(t)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(pos), pa.array(np.bincount(at, minlength=len(t)).astype(np.int64))], schema=arrow_schema("term long, pos long, n long"))
-
-
-def _rows(known: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            row, term, n = counted(batch.column("text"), known)
-            offs = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            schema = arrow_schema("doc_id long, toxic int, terms array<int>, n array<int>")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int32())] + [pa.ListArray.from_arrays(pa.array(offs), pa.array(x.astype(np.int32))).cast(f.type) for x, f in ((term, schema.field(2)), (n, schema.field(3)))], schema=schema
-            )
-
-    return rows
+        row, term, n = counted(batch.column("text"))
+        offs = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int32())] + [pa.ListArray.from_arrays(pa.array(offs), pa.array(x.astype(np.int32))).cast(f.type) for x, f in ((term, schema.field(2)), (n, schema.field(3)))], schema=schema
+        )
 
 
 class Machine:
@@ -136,42 +119,110 @@ class Machine:
         return 1.0 / (1.0 + np.exp(-np.clip(total, -30, 30)))
 
 
-def train(known: np.ndarray, x: np.ndarray, y: np.ndarray, epochs: int = 250, rate: float = 0.03, decay: float = 2e-4, seed: int = 7) -> Machine:
-    """Adam on the logistic loss over all rows of ``x`` [rows, terms]."""
+class _Batch:
+    """Some rows of the sample: their terms, each once, and the entries both by row and by term."""
+
+    def __init__(self, offsets: np.ndarray, term: np.ndarray, x: np.ndarray, y: np.ndarray):
+        self.terms, at = np.unique(term, return_inverse=True)
+        self.at, self.x, self.y = at.astype(np.int32), x, y
+        self.sizes = np.diff(offsets)
+        self.rows = np.flatnonzero(self.sizes)
+        self.starts = offsets[self.rows]
+        self.order = np.argsort(self.at, kind="stable").astype(np.int32)
+        self.cuts = np.searchsorted(self.at[self.order], np.arange(len(self.terms)))
+
+    def by_row(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.y), *values.shape[1:]), np.float32)
+        if len(values):
+            out[self.rows] = np.add.reduceat(values, self.starts)
+        return out
+
+    def by_term(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values[self.order], self.cuts) if len(values) else values[:0]
+
+
+def scales(many: int, toxic: np.ndarray, term: np.ndarray, y: np.ndarray, rare: float, sure: float) -> np.ndarray:
+    """How far each term's weight and factors go as they are learnt; never 0.
+
+    By how surely the term alone tells the classes apart (log-odds against their error), or by the rows that
+    hold it, whichever is more: else the rows of the sample are known by their many rare words.
+    """
+    n, pos = np.bincount(term, minlength=many), np.bincount(term, weights=toxic, minlength=many)
+    a, b = pos + 0.5, n - pos + 0.5
+    c, d = y.sum() + 1 - a, len(y) - y.sum() + 1 - b
+    z = (np.log(a * d / (b * c)) ** 2 / (1 / a + 1 / b + 1 / c + 1 / d) / sure**2) ** 2
+    return np.maximum(z / (z + 1), n / (n + rare)).astype(np.float32)[:, None]
+
+
+def train(known: np.ndarray, x: np.ndarray | tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.03, decay: float = 2e-4, seed: int = 7, rows: int = ROWS, rare: float = RARE, sure: float = SURE) -> Machine:
+    """Adam on the logistic loss, ``rows`` rows a step, of ``x``: [rows, terms], or its row offsets, terms and values."""
+    if isinstance(x, np.ndarray):
+        r, term = np.nonzero(x)
+        x = np.searchsorted(r, np.arange(len(x) + 1)), term, x[r, term]
+    offsets, term, value = x
+    scale = scales(len(known), np.repeat(y, np.diff(offsets)), term, y, min(rare, 0.1 * len(y)), sure)
     rng = np.random.default_rng(seed)
-    p = [np.array(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)), np.float32), np.zeros(x.shape[1], np.float32), rng.normal(0, 0.02, (x.shape[1], RANK)).astype(np.float32)]
-    m, s = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
-    x2 = x * x
-    for step in range(1, epochs + 1):
-        xv = x @ p[2]
-        z = p[0] + x @ p[1] + 0.5 * ((xv**2).sum(1) - x2 @ (p[2] ** 2).sum(1))
-        e = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)).astype(np.float32)
-        g = [e.sum(), x.T @ e + decay * p[1], x.T @ (e[:, None] * xv) - p[2] * (x2.T @ e)[:, None] + decay * p[2]]
-        for i in range(3):
-            m[i] = 0.9 * m[i] + 0.1 * g[i]
-            s[i] = 0.999 * s[i] + 0.001 * g[i] ** 2
-            p[i] = p[i] - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(s[i] / (1 - 0.999**step)) + 1e-8)
-    return Machine(known, float(p[0]), p[1].astype(float), p[2].astype(float))
-
-
-def fit(labelled: DataFrame, bound: int = SAMPLE, n_terms: int = TERMS) -> Machine:
-    """Fits on at most ``bound`` rows with ``text`` and ``toxic``, taken by hash of ``doc_id``."""
+    base = np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
+    # weight and factors of a term side by side
+    p = rng.normal(0, 0.02, (len(known), 1 + RANK)).astype(np.float32)
+    p[:, 0] = 0
+    m, s = np.zeros_like(p), np.zeros_like(p)
+    bias, mb, sb = np.float32(base), 0.0, 0.0
+    batches = []
+    mixed = rng.permutation(len(y))
+    for part in np.array_split(mixed, max(1, -(-len(y) // rows))):
+        n = offsets[part + 1] - offsets[part]
+        ends = np.append(0, np.cumsum(n))
+        inner = np.repeat(offsets[part] - ends[:-1], n) + np.arange(ends[-1])
+        batches.append(_Batch(ends, term[inner], value[inner].astype(np.float32), y[part]))
+    # a term that few batches hold is held back by as much a pass as one of all batches
+    times = np.zeros(len(known), np.int64)
+    for b in batches:
+        times[b.terms] += 1
+    step, steps = 0, epochs * len(batches)
+    for _ in range(epochs):
+        for k in rng.permutation(len(batches)):
+            b = batches[k]
+            own, by, x1 = p[b.terms], scale[b.terms], b.x[:, None]
+            vx = (own * by)[b.at] * x1
+            sums = b.by_row(vx)
+            z = bias + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(1) - b.by_row((vx[:, 1:] ** 2).sum(1)))
+            e = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - b.y) / len(b.y)).astype(np.float32)
+            g = np.repeat(sums, b.sizes, axis=0) - vx
+            g[:, 0] = 1
+            g *= x1 * np.repeat(e, b.sizes)[:, None]
+            g = b.by_term(g) * by + own * (decay * len(batches) / times[b.terms])[:, None].astype(np.float32)
+            step += 1
+            now, c1, c2 = rate * (1 - 0.95 * step / steps), 1 - 0.9**step, 1 - 0.999**step
+            m[b.terms] = mt = 0.9 * m[b.terms] + 0.1 * g
+            s[b.terms] = st = 0.999 * s[b.terms] + 0.001 * g * g
+            p[b.terms] = own - now * (mt / c1) / (np.sqrt(st / c2) + 1e-8)
+            mb, sb = 0.9 * mb + 0.1 * float(e.sum()), 0.999 * sb + 0.001 * float(e.sum()) ** 2
+            bias -= np.float32(now * (mb / c1) / (np.sqrt(sb / c2) + 1e-8))
+    p *= scale
+    return Machine(known, float(bias), p[:, 0].copy(), p[:, 1:].copy())
+
+
+def fit(labelled: DataFrame, bound: int = SAMPLE) -> Machine:
+    """Fits on the rows with ``text`` and ``toxic``, ``bound`` at most, taken by hash of ``doc_id``; all their terms enter."""
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    tally = rows.mapInArrow(_tallies, "term long, pos long, n long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     n, pos = rows.agg(F.count("toxic"), F.sum("toxic")).first()
     none = np.zeros(0, np.int64)
     if not n or pos in (0, n):
         share = (pos or 0) / n if n else 0.0
         return Machine(none, 30.0 if share == 1 else -30.0, np.zeros(0), np.zeros((0, RANK)))
-    a, b = F.col("pos") + 0.5, F.col("n") - F.col("pos") + 0.5
-    c, d = F.lit(pos + 1.0) - a, F.lit(n - pos + 1.0) - b
-    best = tally.where("n >= 3").withColumn("z", F.abs(F.log(a * d / (b * c)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d))).orderBy(F.desc("z"), "term").limit(n_terms).select("term").collect()
-    known = np.array(sorted({r[0] for r in best} | {_bucket(f"len{i}") for i in range(64)}), np.int64)
-    got = rows.mapInArrow(_rows(known), "doc_id long, toxic int, terms array<int>, n array<int>").orderBy("doc_id").toPandas()
-    x = np.zeros((len(got), len(known)), np.float32)
-    for i, (t, k) in enumerate(zip(got["terms"], got["n"], strict=True)):
-        x[i, t] = np.log2(1.0 + np.asarray(k))
-    return train(known, x, got["toxic"].to_numpy().astype(np.float32))
+    got = rows.mapInArrow(_rows, "doc_id long, toxic int, terms array<int>, n array<int>").toArrow()
+    got = got.take(pc.sort_indices(got, [("doc_id", "ascending"), ("toxic", "ascending")])).combine_chunks()
+    lists = got.column("terms").combine_chunks()
+    offsets = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int64)
+    term = lists.flatten().to_numpy()
+    held = np.zeros(BUCKETS, bool)
+    held[term] = True
+    term = (np.cumsum(held, dtype=np.int32) - 1)[term]
+    value = np.log2(1.0 + got.column("n").combine_chunks().flatten().to_numpy().astype(np.float32))
+    y = got.column("toxic").to_numpy().astype(np.float32)
+    del got, lists
+    return train(np.flatnonzero(held), (offsets, term, value), y)
 
 
 OUT = "doc_id long, score double"

@@ -314,6 +314,25 @@ def test_pair_of_terms_that_single_weights_miss():
     assert (got == y).mean() > 0.95
 
 
+def test_pair_beside_thousands_of_other_terms(spark):
+    """Words that are as frequent in both classes, and count only together, stand beside 3,000 that tell nothing."""
+
+    def drawn(first: int, rows: int, seed: int) -> list[tuple[int, str, int]]:
+        rnd = random.Random(seed)
+        found = []
+        for i in range(rows):
+            a, b = i % 2, i // 2 % 2
+            w = [f"f{rnd.randrange(3000):03x}" for _ in range(12)] + ["qa"] * a + ["qb"] * b
+            rnd.shuffle(w)
+            found.append((first + i, " ".join(w), int(a == b)))
+        return found
+
+    m = toxicity.fit(spark.createDataFrame(drawn(0, 2000, 1), "doc_id long, text string, toxic int"))
+    new = drawn(10_000, 400, 2)
+    got = {r.doc_id: r.score >= 0.5 for r in toxicity.score(spark.createDataFrame(new, "doc_id long, text string, toxic int"), m).collect()}
+    assert sum(got[i] == y for i, _, y in new) > 380
+
+
 def test_held_out_toxicity(spark):
     labels = spark.read.parquet(f"{DATA}/sf0.1/labels.parquet")
     got = QUERIES["op10_toxicity"](spark, f"{DATA}/sf0.1").where("held_out").join(labels, "doc_id").toPandas()
