@@ -2,8 +2,8 @@
 
 The model holds, for each language of the labelled rows, log-odds of hashed byte trigrams (a word
 with its edges marked) against the mean of all languages, and the scripts that make up at least 1 %
-of its letters. A word's candidates are the languages that use its script; a language that does not
-pays ``FOREIGN``. Scores of distinct words are computed once per block; a Viterbi pass over each
+of its letters. A word's candidates are the languages that use its script, and no others (all of them for a
+script that no language uses). Letters are what Unicode calls so. Scores of distinct words are computed once per block; a Viterbi pass over each
 text's words, which pays ``SWITCH`` for each change of language, labels every word. The language
 with most letters is the text's.
 
@@ -14,7 +14,10 @@ row each; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,20 +28,26 @@ from pyspark.sql import functions as F
 from brindle.llm.common import arrow_schema, bounded_sample, chunks, table, vocabulary, words
 
 #: Most labelled rows that the model is fitted on; trigram buckets; costs in nats.
-SAMPLE, BUCKETS, SWITCH, FOREIGN = 12_000, 1 << 16, 8.0, 20.0
+SAMPLE, BUCKETS, SWITCH = 12_000, 1 << 16, 8.0
 #: First code points of the ranges that scripts are told apart by, with the scripts' numbers (fixed values of Unicode).
-SCRIPT_STARTS = np.array([0, 0x41, 0x5B, 0x61, 0x7B, 0xAA, 0xAB, 0xB5, 0xB6, 0xBA, 0xBB, 0xC0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0xA00, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x30A0, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00])
-SCRIPTS = np.array([0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 2, 3, 4, 5, 6, 0, 7, 8, 9, 8, 10, 11, 12, 1, 2, 0, 13, 13, 0, 14, 8, 11, 0, 14, 8])
-N_SCRIPTS = 15
+SCRIPT_STARTS = np.array([0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x750, 0x780, 0x8A0, 0x900, 0x980, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x2C60, 0x2C80, 0x3040, 0x3100, 0x3130, 0x31A0, 0x31F0, 0x3400, 0xA000, 0xA640, 0xA6A0, 0xA720, 0xA800, 0xAC00, 0xD800, 0xF900, 0xFB00, 0xFB13, 0xFB1D, 0xFB50, 0xFE00, 0xFE70, 0xFF00, 0xFF66, 0xFFA0, 0xFFE0, 0x20000, 0x32000])
+SCRIPTS = np.array([1, 2, 3, 4, 5, 6, 8, 6, 8, 6, 7, 8, 9, 8, 10, 11, 8, 1, 2, 8, 1, 8, 12, 8, 11, 8, 12, 13, 8, 3, 8, 1, 8, 11, 8, 13, 1, 4, 5, 6, 8, 6, 1, 12, 11, 8, 13, 8], np.uint8)
+N_SCRIPTS = 14
+
+
+@cache
+def script_table() -> np.ndarray:
+    """The script of every code point that Unicode calls a letter (general categories L), by range; 0 for all others."""
+    points = np.arange(sys.maxunicode + 1)
+    letters = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    return np.where(letters, SCRIPTS[np.searchsorted(SCRIPT_STARTS, points, side="right") - 1], 0).astype(np.uint8)
 
 
 def _scripts(vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """For each word: the script of most of its letters (0: no letter), and its number of letters."""
     listed = vocab.to_pylist()
     sizes = np.fromiter(map(len, listed), np.int64, len(listed))
-    points = np.frombuffer("".join(listed).encode("utf-32-le", "surrogatepass"), np.uint32)
-    kinds = SCRIPTS[np.searchsorted(SCRIPT_STARTS, points, side="right") - 1]
-    kinds = np.where((points == 0xD7) | (points == 0xF7), 0, kinds)
+    kinds = script_table()[np.frombuffer("".join(listed).encode("utf-32-le", "surrogatepass"), np.uint32)]
     owner = np.repeat(np.arange(len(listed)), sizes)
     letters = kinds > 0
     counts = np.bincount(owner[letters] * N_SCRIPTS + kinds[letters], minlength=len(listed) * N_SCRIPTS).reshape(-1, N_SCRIPTS)
@@ -102,8 +111,8 @@ class Model:
         kind, n = _scripts(vocab)
         h, starts = _trigrams(vocab)
         total = np.add.reduceat(self.odds[h], starts, axis=0)
-        known = self.uses[kind].any(1)
-        total -= FOREIGN * (~self.uses[kind] & known[:, None])
+        uses = self.uses[kind]
+        total[~uses & uses.any(1)[:, None]] = -np.inf
         total[n == 0] = 0
         return total, n
 
