@@ -2,7 +2,9 @@
 
 The reader takes members and plain records in order. Where one fails (inflation, checksum, version line,
 header, length, record end or digest), it searches for the next member or version line that
-passes, goes on from there, and logs the bytes between as a quarantined gap with the reason.
+passes, goes on from there, and logs the bytes between as a quarantined gap with the reason. It searches
+the inflated bytes of a member in the same way: of a member that holds several records, or breaks off, the
+records that pass are kept (of a broken member those with a digest), and the member is logged.
 
 Archives are written by Spark's text writer, so any store that Spark writes will do: each
 row is one member's bytes, and the separator that the writer puts after a row is an empty member.
@@ -16,6 +18,7 @@ record each; an empty table gives an empty archive; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,8 +36,10 @@ MAGIC, VERSION, END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
 EMPTY_MEMBER = "\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 #: Bytes that are inflated at once.
 STEP = 1 << 12
-#: Most bytes that a header may take.
-HEADER_MAX = 1 << 16
+#: What ends a header: its blank line, or another record's version line, before which it has no end.
+_head_end = re.compile(rb"\r\n(?:\r\n|WARC/1\.)")
+#: Most records of an archive, each read whole by one task.
+RECORDS = 8192
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -78,9 +83,9 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the plain record at ``at``; raises Damaged where a check fails."""
     if not data.startswith(VERSION, at):
         raise Damaged("no version line")
-    stop = data.find(END, at, at + HEADER_MAX)
-    if stop < 0:
+    if not (m := _head_end.search(data, at)) or m[0] != END:
         raise Damaged("header without end")
+    stop = m.start()
     head: dict[str, str] = {}
     for line in data[at:stop].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
@@ -101,57 +106,82 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return head, block, end + len(END)
 
 
-def _inflated(data: bytes, at: int) -> tuple[bytes, int]:
+def _inflated(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What the member at ``at`` inflates to, its end, and why it breaks off if it does."""
     z, view, got = zlib.decompressobj(31), memoryview(data), []
     try:
         # by steps, since what a step leaves over is copied
         while not z.eof and at < len(data):
             got.append(z.decompress(view[at : at + STEP]))
             at += min(STEP, len(data) - at)
-    except zlib.error as e:
-        raise Damaged("inflation") from e
-    if not z.eof:
-        raise Damaged("truncated member")
-    return b"".join(got), at - len(z.unused_data)
+    except zlib.error:
+        return b"".join(got), at, "inflation"
+    return b"".join(got), at - len(z.unused_data), None if z.eof else "truncated member"
 
 
-def _take(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """The records of the member or the plain record at ``at``, and its end."""
-    if not data.startswith(MAGIC, at):
-        head, block, end = parse_record(data, at)
-        return [(head, block)], end
-    got, end = _inflated(data, at)
-    found, inner = [], 0
-    while inner < len(got):
-        head, block, inner = parse_record(got, inner)
-        found.append((head, block))
-    return found, end
+Found = tuple[int, dict[str, str], bytes]
 
 
-def salvage(data: bytes) -> tuple[list[tuple[int, dict[str, str], bytes]], list[tuple[int, int, str]]]:
+def _plain(data: bytes) -> tuple[list[Found], list[tuple[int, int, str]]]:
+    """Records and gaps of inflated bytes."""
+    records, gaps, at = [], [], 0
+    while at < len(data):
+        try:
+            head, block, end = parse_record(data, at)
+        except Damaged as e:
+            if (end := data.find(VERSION, at + 1)) < 0:
+                end = len(data)
+            if gaps and gaps[-1][1] == at:
+                gaps[-1] = (gaps[-1][0], end, gaps[-1][2])
+            else:
+                gaps.append((at, end, str(e)))
+        else:
+            records.append((at, head, block))
+        at = end
+    return records, gaps
+
+
+def _take(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int, str | None]:
+    """The records of the member or the plain record at ``at``, its end, and what is wrong inside; raises Damaged where no record passes."""
+    if not data.startswith(MAGIC, at):
+        head, block, end = parse_record(data, at)
+        return [(head, block)], end, None
+    got, end, broken = _inflated(data, at)
+    records, gaps = _plain(got)
+    if broken:
+        records = [x for x in records if "warc-block-digest" in x[1]]
+    wrong = broken or (gaps[0][2] if gaps else None)
+    if wrong and not records:
+        raise Damaged(wrong)
+    # a broken member's end isn't known: the search goes on behind its first byte
+    return [x[1:] for x in records], at + 1 if broken else end, wrong and f"{wrong}, {len(records)} records kept"
+
+
+def salvage(data: bytes) -> tuple[list[Found], list[tuple[int, int, str]]]:
     """(offset, headers, block) of every record that passes, and (start, end, reason) of the gaps between."""
     records, gaps, at, size = [], [], 0, len(data)
     marks = {MAGIC: -1, VERSION: -1}
     while at < size:
         try:
-            found, end = _take(data, at)
+            found, end, wrong = _take(data, at)
         except Damaged as e:
-            reason, end = str(e), at + 1
+            found, end, wrong = [], at + 1, str(e)
+        records += [(at, head, block) for head, block in found]
+        start = at
+        if wrong and end == at + 1:
             while end < size:
                 for mark, known in marks.items():
                     if known < end:
                         marks[mark] = k if (k := data.find(mark, end)) >= 0 else size
-                end = min(marks.values())
-                if end < size:
+                if (end := min(marks.values())) < size:
                     try:
                         _take(data, end)
                         break
                     except Damaged:
                         end += 1
-            gaps.append((at, min(end, size), reason))
-        else:
-            records += [(at, head, block) for head, block in found]
-        at = end
+        at = min(end, size)
+        if wrong:
+            gaps.append((start, at, wrong))
     return records, gaps
 
 
@@ -176,7 +206,7 @@ def write(pages: DataFrame, path: str) -> None:
     other = roles(pages).withColumnsRenamed({"page_id": "id", "digest": "d"})
     joined = rows.join(other, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")), "left")
     made = joined.select("page_id", "url", "html", "refers_to").mapInArrow(_members, "value binary")
-    made.select(F.col("value").cast("string").alias("value")).write.option("lineSep", EMPTY_MEMBER).option("encoding", "ISO-8859-1").text(path)
+    made.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", RECORDS).option("lineSep", EMPTY_MEMBER).option("encoding", "ISO-8859-1").text(path)
 
 
 RECORD = "file string, offset long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
