@@ -3,8 +3,8 @@
 A file is a run of segments, a segment a row that Spark's text writer puts down, closed by a line end:
 ``TIDS`` and a format byte; as little-endian uint64 the numbers of documents, ids, blocks, and bytes of index and of codes;
 the index (zlib: doc_ids as int64, null as the least int64, and id counts as int64); of each block the number of ids, the crc32 of its ids and the
-length of its code as uint32; the codes; the crc32 of all before it. Files sort by name as their
-documents do by id.
+length of its code as uint32; the codes; the crc32 of all before it. Files sort by the numbers in their
+names (the task's, then the file's in it) as their documents do by id.
 
 Defined results: null and empty texts are their end id alone; rows of equal ids follow one another by
 text; null ids come first; an empty table gives no segments and an empty result; further columns
@@ -13,6 +13,7 @@ are ignored. Ids of 65536 and more are refused.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -31,7 +32,16 @@ MAGIC, END_ID = b"TIDS\x01", 0
 _HEAD = struct.Struct("<5s5Q")
 #: Ids that a segment holds about: as many blocks as the coder takes at once.
 SEGMENT = rangecoder.BLOCK * rangecoder.LANES
+#: Segments of a file, which one task reads whole (about 10 MB each).
+SEGMENTS = 16
 NULL_ID = -(1 << 63)
+_numbers = re.compile(r"part-(\d+)-.*?-c(\d+)[^/]*$")
+
+
+def file_order(path: str) -> tuple[int, int]:
+    """The numbers of the task and of its file in the name that Spark's writer gives: beyond 99,999 names no longer sort as they do."""
+    m = _numbers.search(path)
+    return int(m[1]), int(m[2])
 
 
 def make_segment(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -99,7 +109,7 @@ def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_
     """A folder of files; ``path`` is the vocabulary file."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
-    rows.mapInArrow(_written(path or default_path(), end_id), "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(out)
+    rows.mapInArrow(_written(path or default_path(), end_id), "value binary").select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", SEGMENTS).option("lineSep", "\n").text(out)
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,9 +140,9 @@ def _decoded(batches: Iterator[pa.RecordBatch], bases: dict[str, int], with_ids:
 def read(spark: SparkSession, out: str, with_ids: bool = False) -> DataFrame:
     """A row for each document of a folder of files; what the driver holds is a number for each file."""
     files = spark.read.format("binaryFile").load(out).where("length > 0").select("path", "content")
-    totals = sorted((r["path"], r["n"]) for r in files.mapInArrow(_totals, "path string, n long").collect())
+    totals = {r["path"]: r["n"] for r in files.mapInArrow(_totals, "path string, n long").collect()}
     bases, base = {}, 0
-    for name, n in totals:
+    for name, n in sorted(totals.items(), key=lambda x: file_order(x[0])):
         bases[name], base = base, base + n
     return files.mapInArrow(partial(_decoded, bases=bases, with_ids=with_ids), OUT + ", ids array<int>" * with_ids)
 
