@@ -2,9 +2,8 @@
 
 Lines are normalised (lower case, runs of blanks one space, trimmed) and hashed. For each host
 (``source``) the operator counts the distinct documents that hold a line; exact copies of a
-text count once. A line that stands in more than ``max(min_docs, share * distinct texts of the host)``
-documents is removed, however long it is, unless ``max_line_words`` bounds the lines that count (the SQL of
-``op2`` has such a bound, ``MAX_LINE_WORDS``, so the query has it too). A document that loses more than ``max_removed`` of its
+text count once. A line that stands in more than ``most`` documents of a host is removed, whatever its length and
+however large the host. A document that loses more than ``max_removed`` of its
 words is depleted and rejected, as is one that fails the base rules (under 50 words, or over
 half of its words in 3-word windows found twice or more).
 
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import materialize, packed, table
 
-MIN_DOCS, SHARE, MAX_LINE_WORDS, MAX_REMOVED = 10, 0.002, 30, 0.5
+MOST, MAX_REMOVED = 10, 0.5
 #: Bits that hold a word position beside a window's hash while windows are sorted.
 _POS = 28
 
@@ -29,9 +28,8 @@ _BLANK = r"[\\x20\\x09-\\x0D]+"
 _NORMAL = f"lower(trim(regexp_replace(x, '{_BLANK}', ' ')))"
 
 
-def base_features(docs: DataFrame, max_line_words: int | None = None) -> DataFrame:
-    """doc_id, source, digest, the counts of the base rules, and ``lines``: hash and words of each line, or of each of ``max_line_words`` at most."""
-    counted = "true" if max_line_words is None else f"x.n <= {max_line_words}"
+def base_features(docs: DataFrame) -> DataFrame:
+    """doc_id, source, digest, the counts of the base rules, and ``lines``: hash and words of each line."""
     d = docs.select("doc_id", "source", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     d = d.select("doc_id", "source", "text", F.expr(f"filter(split(text, '{_BLANK}'), x -> x != '')").alias("w"), F.expr("filter(split(text, '\\n', -1), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')").alias("l"))
     d = d.select(
@@ -42,7 +40,7 @@ def base_features(docs: DataFrame, max_line_words: int | None = None) -> DataFra
         F.expr(f"cast(length(regexp_replace(text, '{_BLANK}', '')) as long)").alias("word_chars"),
         F.expr("cast(length(regexp_replace(text, '[^#*$%&|<>]+', '')) as long)").alias("n_symbols"),
         F.expr("cast(size(l) - size(array_distinct(l)) as long)").alias("n_dup_lines"),
-        F.expr(f"filter(transform(transform(l, x -> {_NORMAL}), x -> struct(xxhash64(x) as h, cast(size(split(x, ' ')) as long) as n)), x -> {counted})").alias("lines"),
+        F.expr(f"transform(transform(l, x -> {_NORMAL}), x -> struct(xxhash64(x) as h, cast(size(split(x, ' ')) as long) as n))").alias("lines"),
         "w",
         # window hash above, position of its first word below, sorted: equal windows stand together
         F.expr(f"case when size(w) > 3 then sort_array(transform(sequence(0, size(w) - 3), i -> (xxhash64(w[i], w[i + 1], w[i + 2]) & {-(1 << _POS)}L) | i)) else cast(array() as array<bigint>) end").alias("g"),
@@ -63,19 +61,17 @@ def _failed() -> F.Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def frequent_lines(features: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """(source, h, n_docs) of the lines that stand in more distinct documents of their host than its limit."""
+def frequent_lines(features: DataFrame, most: int = MOST) -> DataFrame:
+    """(source, h, n_docs) of the lines that stand in more than ``most`` distinct documents of their host."""
     once = features.select("source", "digest", "lines").dropDuplicates(["source", "digest"])
-    hosts = features.select("source", "digest").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("texts"))
-    counts = once.select("source", F.explode(F.expr("array_distinct(transform(lines, x -> x.h))")).alias("h")).groupBy("source", "h").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > min_docs)
-    hosts = hosts.withColumnRenamed("source", "host")
-    return counts.join(hosts, F.col("source").eqNullSafe(F.col("host"))).where(F.col("n_docs") > F.col("texts") * share).select("source", "h", "n_docs")
+    held = once.select("source", F.explode(F.expr("array_distinct(transform(lines, x -> x.h))")).alias("h"))
+    return held.groupBy("source", "h").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > most)
 
 
-def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, max_removed: float = MAX_REMOVED, max_line_words: int | None = None) -> DataFrame:
+def verdicts(docs: DataFrame, most: int = MOST, max_removed: float = MAX_REMOVED) -> DataFrame:
     """A row for each document: the base counts, removed_words, removed (line hashes), base_failed and kept."""
-    t = materialize(base_features(docs, max_line_words).withColumn("rid", F.monotonically_increasing_id()), "quality")
-    bad = frequent_lines(t, min_docs, share).select(F.col("source").alias("host"), F.col("h").alias("bad"))
+    t = materialize(base_features(docs).withColumn("rid", F.monotonically_increasing_id()), "quality")
+    bad = frequent_lines(t, most).select(F.col("source").alias("host"), F.col("h").alias("bad"))
     lines = t.select("rid", "source", F.explode("lines").alias("x")).select("rid", "source", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
     gone = (
         lines.groupBy("rid", "source", "h").agg(F.sum("n").alias("n"))
@@ -102,7 +98,7 @@ def clean(docs: DataFrame, **limits: float) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = verdicts(table(spark, sf_dir, "documents"), max_line_words=MAX_LINE_WORDS)
+    v = verdicts(table(spark, sf_dir, "documents"))
     return v.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept")
 
 
@@ -125,12 +121,8 @@ WITH d AS (
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), dups AS (
   SELECT doc_id, CAST(count(*) - count(DISTINCT line) AS BIGINT) AS n_dup_lines FROM lines GROUP BY doc_id
-), hosts AS (
-  SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY source
 ), frequent AS (
-  SELECT l.source, l.norm FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
-  WHERE l.n <= {MAX_LINE_WORDS} GROUP BY l.source, l.norm
-  HAVING count(DISTINCT l.text) > {MIN_DOCS} AND count(DISTINCT l.text) > any_value(h.texts) * {SHARE}
+  SELECT source, norm FROM lines GROUP BY source, norm HAVING count(DISTINCT text) > {MOST}
 ), gone AS (
   SELECT l.doc_id, CAST(sum(l.n) AS BIGINT) AS removed_words
   FROM lines l JOIN frequent f ON l.source IS NOT DISTINCT FROM f.source AND l.norm = f.norm GROUP BY l.doc_id
