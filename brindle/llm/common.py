@@ -20,8 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set where the session names none."""
+    """The folder that driver and executors share; where the session names none, a temporary one if it runs on one machine."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -8,7 +8,7 @@ the pair, so a word can count only beside another, or only in a short text.
 
 Defined results: null and empty texts have no words and are scored by their length class alone; with
 no labelled row, or one class only, the score is the share of toxic rows (0.0 without rows); a
-document with several labels counts as toxic if one is; null labels are no labels; repeated rows
+document with several labels counts as toxic if one is; of rows that share an id, ``fit_tables`` learns from the least text; null labels are no labels; repeated rows
 have a row each; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -249,10 +249,11 @@ def held_out() -> F.Column:
 
 
 def fit_tables(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Machine:
-    """Fits on the labelled documents that are not held out; the sample of ids is what is broadcast."""
+    """Fits on the labelled documents that are not held out; the sample of ids is what is broadcast. Of rows that share an id, the least text counts."""
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = bounded_sample(ids, "doc_id", bound)
-    return fit(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), bound)
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    return fit(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), bound)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
