@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from brindle.llm import html, langid, merkle, minhash, mixing, packing, quality, rangecoder, toxicity, warc
+from brindle.llm import html, idfile, langid, merkle, minhash, mixing, packing, quality, rangecoder, toxicity, warc
 from brindle.llm.components import connected
 from brindle.llm.queries import ORACLE_SQL, QUERIES
 from brindle.llm.tokens import Encoder, default_path
@@ -74,6 +75,13 @@ def test_script_and_comment_never_closed():
 # quality
 
 
+def test_limit_is_alike_in_a_large_host(spark):
+    """A line of 20 documents goes from a host of 50 and from one of 6,000."""
+    rows = [(h * 10_000 + i, " ".join(f"w{h}x{i}y{k}" for k in range(60)) + "\nnotice of all" * (i < 20), str(h)) for h, n in ((1, 50), (2, 6000)) for i in range(n)]
+    v = quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("removed_words > 0").select("source").collect()
+    assert sorted(r.source for r in v) == ["1"] * 20 + ["2"] * 20
+
+
 def test_frequent_lines_go_and_depleted_documents(spark):
     body = lambda i: "\n".join(f"unique {i} line {j} " + " ".join(f"w{i}x{j}y{k}" for k in range(12)) for j in range(6))
     rows = [(i, body(i) + "\nSubscribe  NOW!\nlast", "h") for i in range(40)]
@@ -125,12 +133,33 @@ def test_held_out_accuracy(spark):
     assert got.where("lang = lang_pred").count() >= 0.97 * got.count()
 
 
+def test_letters_are_what_unicode_calls_letters(spark):
+    unlettered = ["🎉🎉 👍", "٣٤ १२ １２ 12", "، ؟ — …", "\u0301 \u20ac"]
+    lettered = ["ⵣⵣⵣ", "ܐܒ", "ދިވެހި", "ℵ", "Ａｂ", "ﬁ", "ª"]
+    m = langid.fit(spark.createDataFrame([(1, "the cat", "en"), (2, "кошка", "ru")], "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(list(enumerate(unlettered + lettered)), "doc_id long, text string"), m).collect()}
+    assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in range(len(unlettered)))
+    assert all(got[i].lang_pred in ("en", "ru") and got[i].score > 0 for i in range(len(unlettered), len(got)))
+
+
+def test_no_odds_outweigh_the_script():
+    """A language that doesn't use a word's script is no candidate, whatever its trigrams say."""
+    odds = np.zeros((langid.BUCKETS + 1, 2), np.float32)
+    odds[:-1, 1] = 1.0
+    uses = np.zeros((langid.N_SCRIPTS, 2), bool)
+    uses[1, 0] = uses[3, 1] = True  # Latin, Cyrillic
+    scored, n = langid.Model(["la", "cy"], odds, uses).scores(pa.array(["a" * 40, "ы" * 40, "日本"]))
+    assert scored[0, 1] == -np.inf and scored[1, 0] == -np.inf and np.isfinite(scored[2]).all()
+    assert langid.viterbi(scored, np.array([0, 3])).tolist() == [0, 1, 1] and n.tolist() == [40, 40, 2]
+
+
 # mixing
 
 
 def test_targets_reshare_the_excess():
     t = mixing.targets({"a": 100, "b": 100, "c": 100, None: 100})
-    assert t["a"] == 200 and abs(sum(t.values()) - 600) < 1e-9 and t["b"] / t["c"] == 2.0 or t["b"] == 200
+    # shares 600 * 5, 2, 1, 5 of 13: the first and the last are held at 200, 200 are left for 2 to 1
+    assert t == {"a": 200.0, "b": pytest.approx(400 / 3), "c": pytest.approx(200 / 3), None: 200.0}
 
 
 def test_flight_keeps_sums():
@@ -243,9 +272,51 @@ def test_salvage_skips_what_is_damaged():
     assert warc.salvage(b"") == ([], [])
 
 
+def test_salvage_inside_a_member():
+    records = [warc.make_record(i, f"http://x/{i}", b"payload %d " % i * 50) for i in range(5)]
+    bad = bytearray(b"".join(records))
+    bad[len(records[0]) + len(records[1]) - 30] ^= 1  # the second record's block
+    data = warc._member(bytes(bad)) + warc._member(records[0])
+    got, gaps = warc.salvage(data)
+    assert [h["x-page-id"] for _, h, _ in got] == ["0", "2", "3", "4", "0"] and [g[2] for g in gaps] == ["block digest, 4 records kept"]
+    # a member that breaks off keeps what it inflated to
+    rnd = random.Random(4)
+    long = [warc.make_record(i, "u", rnd.randbytes(3000)) for i in range(4)]
+    whole = warc._member(b"".join(long))
+    got, gaps = warc.salvage(whole[: len(whole) // 2] + warc._member(records[1]))
+    assert [h["x-page-id"] for _, h, _ in got] == ["0", "1"] and len(gaps) == 1 and gaps[0][2].endswith("1 records kept")
+
+
+def test_headers_of_any_length(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://x/" + "u" * 70_000, "<p>a"), (2, "http://y/" + "v" * 3_000_000, None)], "page_id long, url string, html string")
+    warc.write(pages, str(tmp_path / "w"))
+    assert {r.page_id: len(r.url) for r in warc.read(spark, str(tmp_path / "w")).collect()} == {1: 70_009, 2: 3_000_009}
+    assert warc.quarantined(spark, str(tmp_path / "w")).count() == 0
+
+
 # ids
 
 
+def test_files_follow_by_number():
+    names = [f"file:/x/part-{i:05d}-ab-c-1-c{k:03d}.txt" for i in range(99_990, 100_011) for k in (0, 1)] + ["file:/x/part-00002-ab-c-1-c1000.txt"]
+    shuffled = random.Random(1).sample(names, len(names))
+    assert sorted(shuffled, key=idfile.file_order) == [names[-1], *names[:-1]]
+
+
+def test_files_by_the_tokenizer(spark, tmp_path, monkeypatch):
+    """start, n_tokens and ids_crc32 of the query against the tokenizer itself; a file a segment."""
+    monkeypatch.setattr(idfile, "SEGMENT", 20_000)
+    monkeypatch.setattr(idfile, "SEGMENTS", 1)
+    tokenizer = Encoder(default_path()).tokenizer
+    start = 0
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect():
+        ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0]
+        want[r.doc_id] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op8_idfile"](spark, SF).collect()} == want
+
+
 def test_encoder_equals_the_tokenizer():
     e = Encoder(default_path())
     rnd = random.Random(3)
