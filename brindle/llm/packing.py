@@ -1,8 +1,9 @@
 """Cost-balanced packing: texts become sequences of at most ``SEQUENCE`` tokens of about equal cost.
 
 A piece of n tokens costs ``LINEAR * n + QUADRATIC * n * n`` (projections, and attention within the piece).
-Texts are assigned in descending length, each to the sequence of lowest cost that has room: whole
-where one of the ``TRIES`` cheapest can take it, else cut at the room of the cheapest. A block of
+A text longer than a sequence is cut evenly into pieces of a quarter sequence at most, others stay whole. Pieces are
+assigned in descending length, each to the sequence of lowest cost of all that have room for it. One that no
+sequence has room for is halved and tried again, and at ``LEAST`` tokens poured into what room is left. A block of
 about ``BLOCK`` tokens has as many full sequences as its tokens fill, and the rest in sequences of
 powers of two, so every sequence ends full and none is padded. Blocks are packed as they stream by, in the
 task that reads them: memory is bounded by a block and nothing is shuffled.
@@ -28,43 +29,44 @@ from brindle.llm.tokens import default_path, encoder
 
 SEQUENCE, END_ID = 2048, 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-#: Tokens that a block holds at least before it is packed; sequences tried for a whole text.
-BLOCK, TRIES = 2 << 20, 8
+#: Tokens that a block holds at least before it is packed; tokens of a piece that isn't halved.
+BLOCK, LEAST = 2 << 20, 64
+
+
+def cost(n: int | np.ndarray) -> float | np.ndarray:
+    return LINEAR * n + QUADRATIC * n * n
 
 
 def assign(sizes: np.ndarray, room: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
     """(text, start, length, sequence, offset) of all pieces of the texts of these sizes."""
     total = int(sizes.sum())
-    rooms = [room] * (total // room)
-    rest = total % room
-    rooms += [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
-    used = [0] * len(rooms)
-    # the short ones come when the full ones have no room left
-    heap = [(r < room, 0.0, i) for i, r in enumerate(rooms)]
-    heapq.heapify(heap)
+    full, rest = total // room, total % room
+    rooms = [room] * full + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
+    left = np.array(rooms)
+    # the short ones come when the full ones have no room
+    costs = np.where(np.arange(len(rooms)) < full, 0.0, cost(room) * (room + 1))
+    pieces = []
+    for text, size in enumerate(sizes.tolist()):
+        n = 1 if size <= room else -(-size // (room // 4))
+        pieces += [(size * i // n - size * (i + 1) // n, text, size * i // n) for i in range(n)]
+    heapq.heapify(pieces)
     found = []
-    for text in np.argsort(-sizes, kind="stable").tolist():
-        start, left = 0, int(sizes[text])
-        while left:
-            tried = [heapq.heappop(heap)]
-            pick = 0
-            if left <= room:
-                while rooms[tried[pick][2]] - used[tried[pick][2]] < left:
-                    if not heap or heap[0][0] != tried[0][0] or len(tried) == TRIES:
-                        pick = 0
-                        break
-                    tried.append(heapq.heappop(heap))
-                    pick = len(tried) - 1
-            short, cost, i = tried.pop(pick)
-            for x in tried:
-                heapq.heappush(heap, x)
-            n = min(left, rooms[i] - used[i])
-            found.append((text, start, n, i, used[i]))
-            used[i] += n
-            start += n
-            left -= n
-            if used[i] < rooms[i]:
-                heapq.heappush(heap, (short, cost + LINEAR * n + QUADRATIC * n * n, i))
+    while pieces:
+        n, text, start = heapq.heappop(pieces)
+        n = -n
+        if not n:
+            continue
+        i = int(np.where(left >= n, costs, np.inf).argmin())
+        if left[i] < n:
+            half = n // 2 if n > LEAST else int(left[i := int(left.argmax())])
+            heapq.heappush(pieces, (half - n, text, start + half))
+            if n > LEAST:
+                heapq.heappush(pieces, (-half, text, start))
+                continue
+            n = half
+        found.append((text, start, n, i, rooms[i] - int(left[i])))
+        left[i] -= n
+        costs[i] += cost(n)
     return found
 
 
@@ -88,7 +90,7 @@ def _packed(path: str, room: int, end_id: int, with_ids: bool, block: int) -> Ca
             ids = np.concatenate([x[1] for x in held]).astype("<u4")
             sizes = np.concatenate([np.diff(x[2]) for x in held])
             first = np.cumsum(sizes) - sizes
-            text, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*assign(sizes, room), strict=True))
+            text, start, length, sequence, offset = np.array(assign(sizes, room), np.int64).T
             at = first[text] + start
             raw = memoryview(ids).cast("B")
             crc = np.fromiter((zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)), np.int64, len(at))
