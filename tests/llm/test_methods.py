@@ -358,17 +358,83 @@ def test_coder_learns_repeats():
 # packing
 
 
-def test_every_id_is_placed_once_and_costs_are_even():
+def quadratic(pieces, room=2048):
+    """Mean and spread of the quadratic cost of the full sequences."""
+    costs: dict[int, float] = {}
+    used: dict[int, int] = {}
+    for _, _, n, seq, _ in pieces:
+        costs[seq] = costs.get(seq, 0.0) + packing.QUADRATIC * n * n
+        used[seq] = used.get(seq, 0) + n
+    full = np.array([c for s, c in costs.items() if used[s] == room])
+    return full.mean(), full.std()
+
+
+def concatenated(sizes, room=2048):
+    ends = np.cumsum(sizes)
+    found = []
+    for text, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), strict=True)):
+        while a < b:
+            n = min(b - a, room - a % room)
+            found.append((text, 0, n, a // room, a % room))
+            a += n
+    return found
+
+
+@pytest.mark.parametrize("kind", ["lognormal", "documents"])
+def test_every_id_is_placed_once_and_costs_are_even(spark, kind):
+    """Mean and spread of the quadratic cost lie a quarter or more below those of texts laid end to end and cut."""
     rng = np.random.default_rng(2)
-    sizes = np.minimum(rng.lognormal(6, 1, 3000).astype(int) + 1, 20_000)
+    if kind == "lognormal":
+        sizes = np.minimum(rng.lognormal(6, 1, 3000).astype(int) + 1, 20_000)
+    else:
+        sizes = np.array([r.n for r in spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").selectExpr("length(text) div 4 + 1 as n").collect()])
     pieces = packing.assign(sizes)
     fill: dict[int, int] = {}
-    seen = np.zeros(len(sizes), int)
+    spans: dict[int, list] = {}
     for text, start, n, seq, offset in pieces:
-        assert start == seen[text] and offset == fill.get(seq, 0) and n > 0
-        seen[text] += n
+        assert offset == fill.get(seq, 0) and n > 0
+        spans.setdefault(text, []).append((start, n))
         fill[seq] = offset + n
-    assert (seen == sizes).all() and sum(n != 2048 for n in fill.values()) <= 11 and all(n & (n - 1) == 0 for n in fill.values())
+    for text, size in enumerate(sizes.tolist()):
+        at = 0
+        for start, n in sorted(spans[text]):
+            assert start == at
+            at += n
+        assert at == size
+    assert sum(n != 2048 for n in fill.values()) <= 11 and all(n & (n - 1) == 0 for n in fill.values())
+    mean, spread = quadratic(pieces)
+    plain_mean, plain_spread = quadratic(concatenated(sizes))
+    assert mean < 0.85 * plain_mean and spread < 0.75 * plain_spread
+    whole = [t for t, n in enumerate(sizes.tolist()) if n <= 2048]
+    assert sum(len(spans[t]) > 1 for t in whole) < 0.12 * len(whole)
+
+
+def test_each_piece_goes_to_the_cheapest_with_room():
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, 900, 60)
+    room = 1024
+    pieces = packing.assign(sizes, room)
+    rooms = {i: room for i in range(int(sizes.sum()) // room)}
+    spent = dict.fromkeys(rooms, 0.0)
+    for text, _, n, seq, offset in pieces:
+        if n == sizes[text]:  # whole: none cheaper had room
+            open_ = [i for i in rooms if rooms[i] >= n]
+            assert seq not in rooms and not open_ or spent[seq] <= min(spent[i] for i in open_)
+        if seq in rooms:
+            assert offset == room - rooms[seq]
+            rooms[seq] -= n
+            spent[seq] += packing.cost(n)
+
+
+def test_pieces_by_the_tokenizer(spark):
+    tokenizer = Encoder(default_path()).tokenizer
+    want = {r.doc_id: np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    met = dict.fromkeys(want, 0)
+    for r in QUERIES["op9_packing"](spark, SF).collect():
+        own = want[r.doc_id]
+        assert r.doc_tokens == len(own) and r.ids_crc32 == zlib.crc32(own[r.start : r.start + r.length].tobytes())
+        met[r.doc_id] += r.length
+    assert met == {i: len(x) for i, x in want.items()}
 
 
 # toxicity
