@@ -2,13 +2,14 @@
 
 For each element: characters, characters in links, tags and link tags under it. Its density is the
 characters per tag, adjusted by the share of links (composite text density); its sum is the sum of its
-children's densities. The element with the largest sum is the core of the text. From there the choice
-climbs to an enclosing ``article`` or ``main``, or to the body. Of what the ancestors up to the body hold
+children's densities. The element with the largest sum is the core of the text, whatever its name (of equal sums an
+``article`` or ``main``). Of what the ancestors up to the body hold
 beside the core, all text stays (further sections, headings, leads, however short), but for blocks that are
 links for over half of their characters and less dense than every element on the path from the core to
-the body, and for bare links between blocks. Menus, headers, footers,
+the body (the body-path threshold), and for bare links between blocks. Menus, headers, footers,
 sidebars, notices, adverts, forms, comments, scripts and styles are cut before densities are computed, by
-element, role, and words of class and id; such a word does not cut an element that holds the article.
+element, role, and words of class and id; such a word (of comments excepted) does not cut an element that holds a heading or article, and most of the page's text.
+Pages are parsed in linear time, however deep.
 
 Defined results: null, empty and text-free pages give an empty text; unclosed elements end where
 HTML's rules end them or with the page; an unclosed comment, script or style runs to the end;
@@ -21,6 +22,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,9 +39,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
 CUT = frozenset("nav header footer aside form script style button select option textarea input label fieldset noscript iframe template head title object svg math canvas audio video dialog menu xmp noembed noframes".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
 CUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation topnav breadcrumb breadcrumbs masthead footer cookie cookies consent gdpr notice notices "
-    "alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations widget widgets toolbar pagination pager copyright disclaimer".split()
+    "alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets toolbar pagination pager copyright disclaimer".split()
 )
 BLOCK = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -57,7 +60,6 @@ _CLOSES = {
 }
 _SCOPE = frozenset(["table", "td", "th", "button", "caption", "object", "html"])
 _HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
-_MAIN = frozenset(["article", "main"])
 
 
 class Dom:
@@ -66,26 +68,33 @@ class Dom:
     def __init__(self, text: str):
         self.tag, self.parent, self.attrs = ["#root"], [-1], [""]
         self.parts: list[tuple[int, str | None]] = []
-        self.end = [0]
         self._read(text)
 
-    def _open(self, tag: str, attrs: str, stack: list[int]) -> int:
+    def _open(self, tag: str, attrs: str, parent: int) -> int:
         self.tag.append(tag)
-        self.parent.append(stack[-1])
+        self.parent.append(parent)
         self.attrs.append(attrs)
-        self.end.append(0)
         if tag in BLOCK:
             self.parts.append((len(self.tag) - 1, None))
         return len(self.tag) - 1
 
-    def _close(self, stack: list[int], depth: int) -> None:
+    def _close(self, stack: list[int], at: dict[str, list[int]], depth: int) -> None:
         while len(stack) > depth:
-            node = stack.pop()
-            if self.tag[node] in BLOCK:
-                self.parts.append((stack[-1] if stack else 0, None))
+            tag = self.tag[stack.pop()]
+            at[tag].pop()
+            if tag in BLOCK:
+                at["block"].pop()
+                self.parts.append((stack[-1], None))
 
     def _read(self, text: str) -> None:
-        tags, stack, at, size = self.tag, [0], 0, len(text)
+        stack, size = [0], len(text)
+        # where in the stack the open elements of each name stand, and all block elements
+        open_: defaultdict[str, list[int]] = defaultdict(list)
+
+        def nearest(names: frozenset[str]) -> int:
+            return max((open_[x][-1] for x in names if open_.get(x)), default=0)
+
+        at = 0
         while at < size:
             m = _token.search(text, at)
             if not m:
@@ -99,28 +108,15 @@ class Dom:
                 continue
             name = name.lower()
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if tags[stack[i]] == name:
-                        self._close(stack, i)
-                        break
-                    if tags[stack[i]] in BLOCK and name not in BLOCK:
-                        break  # an inline end tag doesn't close a block
+                # an inline end tag doesn't close a block
+                if open_.get(name) and (name in BLOCK or open_[name][-1] > (open_["block"] or [0])[-1]):
+                    self._close(stack, open_, open_[name][-1])
                 continue
-            if name in _CLOSES_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if (t := tags[stack[i]]) == "p":
-                        self._close(stack, i)
-                        break
-                    if t in _SCOPE:
-                        break
-            if rule := _CLOSES.get(name):
-                for i in range(len(stack) - 1, 0, -1):
-                    if (t := tags[stack[i]]) in rule[0]:
-                        self._close(stack, i)
-                        break
-                    if t in rule[1]:
-                        break
-            node = self._open(name, attrs, stack)
+            if name in _CLOSES_P and open_.get("p") and open_["p"][-1] > nearest(_SCOPE):
+                self._close(stack, open_, open_["p"][-1])
+            if (rule := _CLOSES.get(name)) and (near := nearest(rule[0])) > nearest(rule[1]):
+                self._close(stack, open_, near)
+            node = self._open(name, attrs, stack[-1])
             if name in VOID:
                 if name == "br":
                     self.parts.append((stack[-1], " "))
@@ -128,29 +124,43 @@ class Dom:
                 stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(text, at)
                 at = stop.end() if stop else size
             elif not attrs.endswith("/") or name in BLOCK:
+                open_[name].append(len(stack))
+                if name in BLOCK:
+                    open_["block"].append(len(stack))
                 stack.append(node)
 
-    def cut(self) -> list[bool]:
-        """Whether each element is, or lies in, what is no main text."""
+    def cut(self, texts: list[str]) -> list[bool]:
+        """Whether each element is, or lies in, what is no main text; ``texts`` are those of ``parts``.
+
+        A class, id or role word that isn't one of ``COMMENTS`` doesn't cut an element that holds a heading (or article) and most of the page's text.
+        """
         n = len(self.tag)
-        holds = [False] * n  # an article, or main
-        heads = [False] * n
+        heads, whole, menus = [False] * n, [False] * n, [False] * n  # a heading inside; that or an article; a menu right below
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
-            holds[p] |= holds[i] or self.tag[i] in _MAIN
             heads[p] |= heads[i] or self.tag[i] in _HEADINGS
-        out, inside = [False] * n, [False] * n
+            whole[p] |= whole[i] or heads[p] or self.tag[i] in ("article", "main")
+            menus[p] |= self.tag[i] == "nav"
+        hard = [False] * n
         for i in range(1, n):
             p, tag = self.parent[i], self.tag[i]
-            inside[i] = inside[p] or tag in _MAIN
-            if out[p]:
-                out[i] = True
-            elif tag in CUT:
-                out[i] = not (tag == "header" and inside[i] and heads[i]) and not (holds[i] and tag in ("form", "header", "aside", "label", "fieldset"))
-            elif self.attrs[i] and tag not in ("html", "body", "article", "main") and not holds[i]:
+            # a header below the body's level that holds a heading, and no menu beside it, is the head of a text
+            head = tag == "header" and heads[i] and not menus[i] and not menus[p] and self.tag[p] not in ("body", "html", "#root")
+            hard[i] = hard[p] or tag in CUT and not head
+        chars = [0] * n
+        for (node, _), text in zip(self.parts, texts, strict=True):
+            if not hard[node]:
+                chars[node] += len(text)
+        for i in range(n - 1, 0, -1):
+            chars[self.parent[i]] += chars[i]
+        out = [False] * n
+        for i in range(1, n):
+            out[i] = hard[i] or out[self.parent[i]]
+            if not out[i] and self.attrs[i] and self.tag[i] not in ("html", "body", "article", "main"):
                 for m in _named.finditer(self.attrs[i]):
                     value = (m[2] or m[3] or m[4] or "").lower()
-                    if value in CUT_ROLES if m[1].lower() == "role" else any(w in CUT_WORDS for w in _words.findall(value)):
+                    found = [value] if m[1].lower() == "role" else _words.findall(value)
+                    if not COMMENTS.isdisjoint(found) or not (whole[i] and 2 * chars[i] > chars[0]) and not (CUT_ROLES if m[1].lower() == "role" else CUT_WORDS).isdisjoint(found):
                         out[i] = True
                         break
         return out
@@ -193,17 +203,11 @@ def main_nodes(dom: Dom, out: list[bool], texts: list[str]) -> tuple[int, list[b
     """The element that holds the main text, the elements under it that are no part of it, and those whose text stands loose between blocks."""
     n = len(dom.tag)
     density, total, chars, linked = densities(dom, out, texts)
-    none = [False] * n
-    core = max(range(n), key=lambda i: (total[i], -i))
+    # of equal sums an article or main, then the first
+    core = max(range(n), key=lambda i: (total[i], dom.tag[i] in ("article", "main"), -i))
     path = [core]
     while dom.parent[path[-1]] >= 0:
         path.append(dom.parent[path[-1]])
-    articles = [i for i in path if dom.tag[i] in _MAIN]
-    if articles:
-        return next((i for i in articles if dom.tag[i] == "article"), articles[0]), none, none
-    holding = [i for i in range(n) if dom.tag[i] in _MAIN and not out[i]]
-    if holding and (best := max(holding, key=lambda i: (chars[i], -i))) and 2 * chars[best] >= chars[core]:
-        return best, none, none
     body = next((k for k, i in enumerate(path) if dom.tag[i] == "body"), len(path) - 1)
     least = min(density[i] for i in path[: body + 1])
     on, above = set(path), set(path[1 : body + 1])
@@ -226,9 +230,9 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     dom = Dom(page)
-    out = dom.cut()
     texts = ["" if t is None else _html.unescape(t) if "&" in t else t for _, t in dom.parts]
     measured = [" ".join(t.split()) for t in texts]
+    out = dom.cut(measured)
     top, left, loose = main_nodes(dom, out, measured)
     under, link = [False] * len(dom.tag), [False] * len(dom.tag)
     under[top] = True
