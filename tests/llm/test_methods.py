@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
 from itertools import product
 
@@ -66,6 +67,64 @@ def test_sections_headings_and_leads_without_article():
     assert html.extract(page).split("\n") == ["Title", "A short lead.", *want, "Three", *line(short)]
 
 
+def test_density_decides_not_the_tag(spark):
+    """Pages give the same text when their article is a div, or stands in a block whose class sounds like a widget."""
+    pages = [r.html for r in spark.read.parquet(f"{DATA}/sf0.01/pages.parquet").collect() if r.html]
+    for page in pages:
+        want = html.extract(page)
+        assert html.extract(re.sub(r"(?i)(</?)(article|main)\b", r"\1div", page)) == want
+        assert html.extract(re.sub(r"(?is)<(article)\b.*</article>", lambda m: f"<div class='related widget'>{m[0]}</div>", page)) == want
+    teaser = "<main><p>Teaser.</p></main>"
+    body = "".join(f"<p>{'Plain sentence of the main text with many words. ' * 4}</p>" for _ in range(6))
+    assert html.extract(f"<body><div>{body}</div>{teaser}</body>").count("\n") == 6
+
+
+def by_definition(page):
+    """Density sum of every element, straight from the definition: characters, links and tags counted anew under each."""
+    dom = html.Dom(page)
+    texts = ["" if t is None else " ".join(t.split()) for _, t in dom.parts]
+    out = dom.cut(texts)
+    chain = lambda i: [i] if i == 0 else [i, *chain(dom.parent[i])]
+    under = [[j for j in range(len(dom.tag)) if i in chain(j) and not out[j]] for i in range(len(dom.tag))]
+    counts = []
+    for i, nodes in enumerate(under):
+        held = [(j, len(t)) for (j, _), t in zip(dom.parts, texts, strict=True) if j in nodes]
+        linked = sum(k for j, k in held if any(dom.tag[x] == "a" for x in chain(j)))
+        counts.append((sum(k for _, k in held), linked, len([j for j in nodes if j != i]), sum(dom.tag[j] == "a" for j in nodes if j != i)))
+    c_body, l_body = next((counts[i][:2] for i in range(len(dom.tag)) if dom.tag[i] == "body"), counts[0][:2])
+    density = []
+    for c, lc, t, lt in counts:
+        t1, lt1, lc1 = max(t, 1), max(lt, 1), max(lc, 1)
+        base = np.log(c / max(c - lc, 1) * lc + l_body / max(c_body, 1) * c + np.e)
+        scale = np.log(base) if base > 1 + 1e-9 else 1.0  # no links on the page
+        density.append(c / t1 * np.log(max(c / lc1 * t1 / lt1, 1.0)) / scale if c else 0.0)
+    total = [sum(density[j] for j in range(1, len(dom.tag)) if dom.parent[j] == i) for i in range(len(dom.tag))]
+    return dom, out, texts, density, total
+
+
+def test_densities_by_definition():
+    rnd = random.Random(8)
+    for _ in range(25):
+        parts = []
+        for _ in range(rnd.randrange(5, 40)):
+            tag = rnd.choice(["div", "p", "a", "b", "ul", "li", "span", "h2", "nav", "section"])
+            parts.append(rnd.choice([f"<{tag}>", f"</{tag}>", "word " * rnd.randrange(1, 30), f"<{tag}>text</{tag}>"]))
+        dom, out, texts, density, total = by_definition(f"<body>{''.join(parts)}</body>")
+        got = html.densities(dom, out, texts)
+        assert np.allclose(got[0], density) and np.allclose(got[1], total)
+
+
+@pytest.mark.parametrize("part", ["<div>", "<p><button><div>", "<b>", "<li><div>", "<a '>", "</div></p>"])
+def test_deep_pages_take_linear_time(part):
+    def seconds(n):
+        start = time.process_time()
+        html.extract(f"<body><h1>T</h1>{part * n}text")
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 40 * max(seconds(4000), 0.01)
+
+
 def test_script_and_comment_never_closed():
     assert html.extract("<p>a</p><script>if (x < y) {") == "a"
     assert html.extract("<p>a</p><!-- b") == "a"
