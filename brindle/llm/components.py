@@ -1,16 +1,23 @@
 """Connected components of a graph of links, by alternating large-star and small-star passes.
 
-Each pass is written to the shared folder, so nothing hangs on an executor. The least node of
-each component is its label.
+Links are first contracted within each task, some at a time, to the stars of what they connect there. Each pass
+is written to the shared folder, so nothing hangs on an executor. The least node of each component is its label.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import materialized, remove
 
+#: Links that a task contracts at once.
+LOCAL = 200_000
+
 
 def _least(links: DataFrame) -> DataFrame:
     return links.groupBy("u").agg(F.min("v").alias("m"))
@@ -29,17 +36,50 @@ def _small(edges: DataFrame) -> DataFrame:
     return held.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[np.ndarray] = []
+
+    def stars() -> pa.RecordBatch:
+        links = np.concatenate(held)
+        held.clear()
+        nodes, at = np.unique(links, return_inverse=True)
+        parent = list(range(len(nodes)))
+        for pair in at.reshape(-1, 2).tolist():
+            roots = []
+            for i in pair:
+                while parent[i] != i:
+                    parent[i] = parent[parent[i]]
+                    i = parent[i]
+                roots.append(i)
+            parent[max(roots)] = min(roots)
+        for i in range(len(parent)):  # a parent is less than its child
+            parent[i] = parent[parent[i]]
+        rest = np.flatnonzero(np.array(parent) != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[rest]), pa.array(nodes[np.array(parent)[rest]])], ["a", "b"])
+
+    for batch in batches:
+        held.append(np.stack([batch.column("a").to_numpy(), batch.column("b").to_numpy()], axis=1))
+        if sum(map(len, held)) >= LOCAL:
+            yield stars()
+    if held:
+        yield stars()
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.hash("b", "a").cast("long"))).first())
+
+
 def connected(links: DataFrame, most: int = 60) -> DataFrame:
     """(node, label) for every node of ``links`` (a, b: long); label is the least node reachable."""
     spark = links.sparkSession
-    edges, path = materialized(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
+    once = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges, path = materialized(once.mapInArrow(_contracted, "a long, b long"), "edges")
+    state = _state(edges)
     for _ in range(most):
         step, at = materialized(_small(_large(edges)), "edges")
         remove(spark, path)
         edges, path = step, at
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.hash("b", "a").cast("long"))).first())
-        if now == state:
+        if (now := _state(edges)) == state:
             break
         state = now
     else:

@@ -3,16 +3,18 @@
 1. Each text's set of word shingles is hashed; its ``K`` least hashes are its sketch. Equal sets make
    one class, whose least doc_id stands for it.
 2. Inverted lists of the retained values bring classes together. Of a list of at most ``LISTS[0]`` classes all pairs
-   are tried in the task that holds it, and as many kept as connect what passes; a longer list is refined by a second retained value, one still longer than ``LISTS[1]`` by a
-   third (of these triples one in ``THIN`` is used). Two sets of similarity 0.8 share 4 of ``K`` = 16 values or
-   more but for 2 cases in 10 million, so a pair that shares a value of a short list meets there, and one of
-   long lists alone (a member of a large group, bound to it by other links too) in some refined list but for 3 cases in
-   10,000 at just 0.8, fewer above. A pair passes if sizes allow
-   the similarity and the union's sketch estimates 4 of 16 or more.
-3. Lists that stay longer hold large groups of near copies; each member is tied to the list's least.
-4. Candidate pairs and ties make clusters. Within a cluster, in blocks of about ``CLUSTER`` classes by
-   as many, all pairs' intersections are counted on the full sets, and links are kept that span each
-   block's components. The components of all links are the result.
+   are tried in the task that holds it, and as many kept as connect what passes. Of a longer one each class
+   is tried against the list's least, which ties large groups of near copies together. A pair passes if sizes allow
+   the similarity and the union's sketch estimates ``SHARED`` of ``K`` or more.
+3. What passed makes groups. A long list whose classes all lie in one group is done. Of the others, classes of
+   different groups may still be alike: these lists are refined by a second retained value, and where still longer than
+   ``LISTS[1]`` by a third; refined lists within one group are done, short ones tried pair by pair, and in those over ``LISTS[2]``
+   each class is tied to the least. No list, pair or triple is left out: two sets of similarity 0.8 share 4 of 16
+   values or more but for 2 cases in 10 million, and whatever shares three is in one group at last.
+4. All pairs of a group are compared on the full sets, so links are exact. A group of over ``CLUSTER`` classes is cut into
+   blocks of about as many; each block is compared within itself and with about ``HEADS`` classes of the group that all
+   blocks get. Mostly one component then holds nearly all; the classes outside the largest component are
+   compared with one another and with all of it, block by block.
 
 Defined results: null texts and texts without words have the empty set, are linked with nothing
 and kept; a text with fewer words than a shingle is one shingle; a null doc_id is never linked, has a null component and is kept;
@@ -34,11 +36,11 @@ from brindle.llm.common import arrow_schema, chunks, materialize, mix64, packed,
 from brindle.llm.components import connected
 
 WIDTH, PERCENT = 2, 80
-K, SHARED, CLUSTER = 16, 4, 400
-#: Most classes of a list of which all pairs are tried, by number of values; one triple in so many is used.
-LISTS, THIN = (32, 128, 256), 8
-#: Most cluster members that are broadcast (about 60 bytes each).
-SMALL = 200_000
+K, SHARED, CLUSTER, HEADS = 16, 4, 400, 8
+#: Most classes of a list of which all pairs are tried, by number of values.
+LISTS = (32, 128, 256)
+#: Most group members that are broadcast (about 60 bytes each), and most sketches (about 160); salts of a join that isn't broadcast.
+SMALL, SKETCHES, SALTS = 200_000, 30_000, 16
 _SIGN = np.uint64(1 << 63)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Columns of the incidence matrix that are multiplied at once.
@@ -91,8 +93,8 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return int(np.isin(np.intersect1d(a, b, assume_unique=True), union).sum()), len(union)
 
 
-def listed(sizes: np.ndarray, sketches: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Pairs of a list that pass, as many as span what they connect."""
+def listed(sizes: np.ndarray, sketches: list[np.ndarray], groups: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of a list between different groups that pass, as many as span what they connect."""
     m = len(sizes)
     if m == 2:
         held = set(sketches[0].tolist())
@@ -103,7 +105,8 @@ def listed(sizes: np.ndarray, sketches: list[np.ndarray], percent: int) -> list[
         x[np.repeat(np.arange(m), np.fromiter(map(len, sketches), np.int64, m)), inverse] = 1
         # sets that differ and are 0.8 alike have 4 shingles in common at least
         pairs = np.argwhere(np.triu(x @ x.T >= SHARED, 1)).tolist()
-    parent = list(range(m))
+    parent = np.unique(groups, return_index=True, return_inverse=True)
+    parent = parent[1][parent[2]].tolist()
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -138,13 +141,13 @@ def _lists(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             stop = int(cuts[-1]) if batch is not None else len(key)
             cuts = cuts.tolist() if batch is not None else [*cuts.tolist(), len(key)]
             if stop:
-                cid, n = rest.column("cid").to_numpy(), rest.column("n").to_numpy()
+                cid, n, label = (rest.column(c).to_numpy() for c in ("cid", "n", "label"))
                 lists = rest.column("sketch").combine_chunks()
                 ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
                 links = []
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     if b - a > 1:
-                        links += [(cid[a + i], cid[a + j]) for i, j in listed(n[a:b], [flat[ends[k] : ends[k + 1]] for k in range(a, b)], percent)]
+                        links += [(cid[a + i], cid[a + j]) for i, j in listed(n[a:b], [flat[ends[k] : ends[k + 1]] for k in range(a, b)], label[a:b], percent)]
                 if links:
                     both = np.array(links)
                     yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=out)
@@ -159,29 +162,53 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 
 def _counted(rows: DataFrame, name: str) -> DataFrame:
-    """Rows whose ``key`` two classes have at least, with the number as ``many``."""
-    counts = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("cid").alias("least")).where("many > 1"), f"{name}-lists")
+    """Rows whose ``key`` classes of two groups have at least, with the number of classes as ``many`` and the least."""
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("cid").alias("least"), F.min("label").alias("low"), F.max("label").alias("high"))
+    counts = materialize(counts.where("low != high").select("key", "many", "least"), f"{name}-lists")
     return materialize(rows.join(counts, "key"), name)
 
 
+def _tried(short: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Passing pairs of short lists (key, cid, label)."""
+    rows = short.join(classes.select("cid", "n", "sketch"), "cid")
+    return rows.repartition("key").sortWithinPartitions("key", "cid").select("key", "cid", "n", "label", "sketch").mapInArrow(_lists(percent), "a long, b long")
+
+
+def _with_least(long: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Passing pairs of a long list's classes with its least."""
+    heads = materialize(long.select("least").distinct().join(classes, F.col("least") == F.col("cid")).select("least", F.col("n").alias("m"), F.col("sketch").alias("other")), "heads")
+    tried = long.where("cid != least").groupBy("cid").agg(F.collect_set("least").alias("heads")).join(classes.select("cid", "n", "sketch"), "cid")
+    tried = tried.select("cid", "n", "sketch", F.explode("heads").alias("least"))
+    if heads.count() <= SKETCHES:
+        both = tried.join(F.broadcast(heads), "least")
+    else:  # a class may be the least of very many
+        salted = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = tried.withColumn("salt", F.pmod(F.hash("cid"), F.lit(SALTS))).join(salted, ["least", "salt"])
+    both = both.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).withColumn("u", F.slice(F.array_sort(F.array_union("sketch", "other")), 1, K))
+    shared = F.size(F.array_intersect(F.array_intersect("sketch", "other"), "u"))
+    return both.where(K * shared >= SHARED * F.size("u")).select(F.col("least").alias("a"), F.col("cid").alias("b"))
+
+
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that connect all that may be linked: passing pairs of short lists, ties of members of long lists to their least."""
-    rows = classes.select("cid", "n", "sketch", F.explode("sketch").alias("key"))
-    one = _counted(rows.select("key", "cid"), "postings")
-    short = [one.where(f"many <= {LISTS[0]}").select("key", "cid")]
-    hot = materialize(one.where(f"many > {LISTS[0]}").groupBy("cid").agg(F.sort_array(F.collect_set("key")).alias("hot")).where("size(hot) > 1"), "hot")
-    pairs = hot.select("cid", F.explode(F.expr("flatten(transform(sequence(0, size(hot) - 2), i -> transform(slice(hot, i + 2, size(hot)), y -> struct(hot[i] as x, y as y))))")).alias("p"))
-    two = _counted(pairs.select("cid", F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.xxhash64("p.x", "p.y").alias("key")), "postings2")
-    short.append(two.where(f"many <= {LISTS[1]}").select("key", "cid"))
-    # thinned before rows are made: of large groups of near copies every member has all pairs and triples
-    long = two.where(f"many > {LISTS[1]}").where(F.pmod(F.xxhash64("y", "x"), F.lit(THIN // 2)) == 0).select("cid", "x", "y").join(hot, "cid")
-    more = long.select("cid", "x", "y", F.explode(F.expr("filter(hot, z -> z > y and pmod(xxhash64(x, y, z), 2) = 0)")).alias("z"))
-    three = _counted(more.select("cid", F.xxhash64("x", "y", "z").alias("key")), "postings3")
-    short.append(three.where(f"many <= {LISTS[2]}").select("key", "cid"))
-    rows = short[0].union(short[1]).union(short[2]).join(classes.select("cid", "n", "sketch"), "cid")
-    met = rows.repartition("key").sortWithinPartitions("key", "cid").select("key", "cid", "n", "sketch").mapInArrow(_lists(percent), "a long, b long")
+    """(node, label) of groups of classes between which no two sets are alike."""
+    rows = classes.select(F.explode("sketch").alias("key"), "cid", F.col("cid").alias("label"))
+    one = _counted(rows, "postings")
+    long = one.where(f"many > {LISTS[0]}")
+    first = _tried(one.where(f"many <= {LISTS[0]}"), classes, percent).union(_with_least(long, classes, percent))
+    groups = materialize(connected(first), "groups")
+    left = long.select("key", "cid").join(groups, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
+    mixed = _counted(left, "mixed").groupBy("cid", "label").agg(F.sort_array(F.collect_set("key")).alias("hot")).where("size(hot) > 1")
+    mixed = materialize(mixed, "hot")
+    pairs = mixed.select("cid", "label", F.explode(F.expr("flatten(transform(sequence(0, size(hot) - 2), i -> transform(slice(hot, i + 2, size(hot)), y -> struct(hot[i] as x, y as y))))")).alias("p"))
+    two = _counted(pairs.select("cid", "label", F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.xxhash64("p.x", "p.y").alias("key")), "postings2")
+    more = two.where(f"many > {LISTS[1]}").select("cid", "label", "x", "y").join(mixed.select("cid", "hot"), "cid").select("cid", "label", "x", "y", F.explode(F.expr("filter(hot, z -> z > y)")).alias("z"))
+    three = _counted(more.select("cid", "label", F.xxhash64("x", "y", "z").alias("key")), "postings3")
+    short = two.where(f"many <= {LISTS[1]}").select("key", "cid", "label").union(three.where(f"many <= {LISTS[2]}").select("key", "cid", "label"))
     ties = three.where(f"many > {LISTS[2]} and cid != least").select(F.col("least").alias("a"), F.col("cid").alias("b"))
-    return met.union(ties).distinct()
+    later = materialize(_tried(short, classes, percent).union(ties).distinct(), "later")
+    if later.isEmpty():
+        return groups
+    return connected(groups.select(F.col("node").alias("a"), F.col("label").alias("b")).union(later))
 
 
 def spanning(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -225,34 +252,33 @@ def spanning(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percen
 
 def _with_sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema("cid long, cluster long, nb int, blk int, content binary")
         for batch in chunks(batches):
             sets = shingle_sets(batch.column("text"), width)
             keep = [i for i, (s, d) in enumerate(zip(sets, batch.column("digest").to_pylist(), strict=True)) if _digest(s) == d]
             kept = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in ("cid", "cluster", "nb", "blk")), pa.array([sets[i].tobytes() for i in keep], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([kept.column("cid"), pa.array([sets[i].tobytes() for i in keep], pa.binary()), kept.column("g")], ["cid", "content", "g"])
 
     return build
 
 
 def _verified(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, blks, sets, links = None, [], [], [], []
+        now, ids, sides, sets, links = None, [], [], [], []
 
         def close() -> None:
             if len(ids) > 1:
-                b = np.array(blks)
-                every = np.arange(len(ids))
-                left, right = (every, every) if now[1] == now[2] else (every[b == now[1]], every[b == now[2]])
-                links.extend((ids[u], ids[v]) for u, v in spanning(sets, left, right, percent) if ids[u] != ids[v])
+                side = np.array(sides)
+                # side 0 is compared within itself and with side 1
+                left = np.flatnonzero(side == 0)
+                links.extend((ids[u], ids[v]) for u, v in spanning(sets, left, np.arange(len(ids)), percent) if ids[u] != ids[v])
 
         for batch in batches:
-            for key, cid, blk, content in zip(zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j")), strict=True), batch.column("cid").to_pylist(), batch.column("blk").to_pylist(), batch.column("content"), strict=True):
+            for key, cid, side, content in zip(zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j")), strict=True), batch.column("cid").to_pylist(), batch.column("side").to_pylist(), batch.column("content"), strict=True):
                 if key != now:
                     close()
-                    now, ids, blks, sets = key, [], [], []
+                    now, ids, sides, sets = key, [], [], []
                 ids.append(cid)
-                blks.append(blk)
+                sides.append(side)
                 sets.append(np.frombuffer(content.as_buffer(), np.int64))
             sets = [s.copy() for s in sets]
             if links:
@@ -265,6 +291,57 @@ def _verified(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return verify
 
 
+def _compared(base: DataFrame, dealt: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links found in the blocks that ``dealt`` (cid, cluster, digest, g: the blocks i, j of a class and its side there) sends its classes to."""
+    dealt = materialize(dealt, "nodes")
+    nodes = F.broadcast(dealt) if dealt.count() <= SMALL else dealt
+    texts = base.join(nodes, F.col("cid") == F.col("doc_id")).select("cid", "digest", "text", F.expr("transform(g, x -> struct(cluster as cluster, x.i as i, x.j as j, x.side as side))").alias("g"))
+    block = "array<struct<cluster: bigint, i: int, j: int, side: int>>"
+    sets = texts.mapInArrow(_with_sets(width), f"cid bigint, content binary, g {block}")
+    spread = sets.select("cid", "content", F.explode("g").alias("g")).select("g.cluster", "g.i", "g.j", "g.side", "cid", "content")
+    return spread.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "cid").mapInArrow(_verified(percent), "a long, b long")
+
+
+def _bounded(rows: DataFrame, name: str) -> DataFrame:
+    """``rows``, written, and broadcast if they are few."""
+    rows = materialize(rows, name)
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
+
+
+def _linked(base: DataFrame, classes: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, label) of the components of all exact links within groups."""
+    large = materialize(groups.groupBy("label").agg(F.count(F.lit(1)).alias("m")).where(f"m > {CLUSTER}"), "large")
+    some = not large.isEmpty()
+    named = groups.select(F.col("node").alias("cid"), F.col("label").alias("cluster")).join(classes.select("cid", "digest"), "cid")
+    sized = named.join(_bounded(large.withColumnRenamed("label", "l"), "large"), F.col("cluster") == F.col("l"), "left").drop("l")
+    nb = F.coalesce(F.ceil(F.col("m") / CLUSTER), F.lit(1)).cast("int")
+    first = sized.withColumn("nb", nb).withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int")).withColumn("head", (F.col("nb") > 1) & (F.pmod(F.xxhash64(F.lit(5), "cid"), F.col("m")) < HEADS))
+    own = "array(struct(blk as i, blk as j, 0 as side))"
+    every = "transform(sequence(0, nb - 1), k -> struct(k as i, k as j, if(k = blk, 0, 1) as side))"
+    links = materialize(_compared(base, first.select("cid", "cluster", "digest", F.expr(f"if(head, {every}, {own})").alias("g")), width, percent), "links")
+    found = connected(links)
+    if not some:
+        return found
+    found = materialize(found, "found")
+    in_large = sized.where("m is not null").join(found.withColumnRenamed("label", "part"), F.col("cid") == F.col("node"), "left").select("cid", "cluster", "digest", F.coalesce("part", "cid").alias("part"))
+    in_large = materialize(in_large, "in-large")
+    parts = in_large.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("c"))
+    whole = parts.groupBy("cluster").agg(F.max(F.struct("c", (-F.col("part")).alias("p"))).alias("t"), F.sum("c").alias("m")).select(F.col("cluster").alias("l"), (-F.col("t.p")).alias("main"), F.col("t.c").alias("c"), "m").where("c < m")
+    whole = materialize(whole, "whole")
+    if whole.isEmpty():
+        return found
+    # main: classes of the largest component, blocks below zero; the rest, blocks from zero
+    rest = in_large.join(_bounded(whole, "whole"), F.col("cluster") == F.col("l")).select(
+        "cid", "cluster", "digest", (F.col("part") == F.col("main")).alias("main"), F.ceil(F.col("c") / CLUSTER).cast("int").alias("nm"), F.ceil((F.col("m") - F.col("c")) / CLUSTER).cast("int").alias("nr")
+    ).withColumn("blk", F.pmod(F.xxhash64("cid"), F.when(F.col("main"), F.col("nm")).otherwise(F.col("nr"))).cast("int"))
+    ofmain = "transform(sequence(0, nr - 1), k -> struct(k as i, -1 - blk as j, 1 as side))"
+    ofrest = "concat(transform(sequence(0, nm - 1), k -> struct(blk as i, -1 - k as j, 0 as side)), transform(sequence(0, nr - 1), k -> struct(least(k, blk) as i, greatest(k, blk) as j, if(k < blk, 1, 0) as side)))"
+    more = materialize(_compared(base, rest.select("cid", "cluster", "digest", F.expr(f"if(main, {ofmain}, {ofrest})").alias("g")), width, percent), "links")
+    if more.isEmpty():
+        return found
+    return connected(found.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links), kept (the component's least)."""
     if percent < PERCENT:
@@ -272,22 +349,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     drawn = materialize(base.mapInArrow(_sketched(width), "doc_id long, n long, digest binary, sketch array<long>"), "sketches")
     classes = materialize(drawn.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("cid"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    labels = materialize(connected(candidates(classes, percent)), "clusters")
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
-    nodes = (
-        labels.join(sizes, "label")
-        .select(F.col("node").alias("cid"), F.col("label").alias("cluster"), F.ceil(F.col("m") / CLUSTER).cast("int").alias("nb"))
-        .withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
-        .join(classes.select("cid", "digest"), "cid")
-    )
-    nodes = materialize(nodes, "nodes")
-    if nodes.count() <= SMALL:
-        nodes = F.broadcast(nodes)
-    texts = base.join(nodes, F.col("cid") == F.col("doc_id")).select("cid", "cluster", "nb", "blk", "digest", "text")
-    sets = texts.mapInArrow(_with_sets(width), "cid long, cluster long, nb int, blk int, content binary")
-    dealt = sets.select("cluster", "cid", "blk", "content", F.explode(F.expr("transform(sequence(0, nb - 1), k -> struct(least(k, blk) as i, greatest(k, blk) as j))")).alias("g")).select("cluster", F.col("g.i").alias("i"), F.col("g.j").alias("j"), "cid", "blk", "content")
-    links = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "cid").mapInArrow(_verified(percent), "a long, b long")
-    merged = connected(links)
+    groups = materialize(candidates(classes, percent), "clusters")
+    merged = _linked(base, classes, groups, width, percent)
     named = materialize(classes.select("digest", "cid").join(merged, F.col("cid") == F.col("node"), "left").select(F.col("digest").alias("d"), F.coalesce("label", "cid").alias("component")), "components")
     out = drawn.select("doc_id", "n", "digest").join(named, (F.col("digest") == F.col("d")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("component", "doc_id")
