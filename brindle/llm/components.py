@@ -1,6 +1,7 @@
 """Connected components of a graph of links, by alternating large-star and small-star passes.
 
-Links are first contracted within each task, some at a time, to the stars of what they connect there. Each pass
+Links are contracted within each task, some at a time, to the stars of what they connect there, before they are
+shuffled and before each pass; what one task contracts at once needs no pass. Each pass
 is written to the shared folder, so nothing hangs on an executor. The least node of each component is its label.
 """
 
@@ -59,29 +60,34 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         held.append(np.stack([batch.column("a").to_numpy(), batch.column("b").to_numpy()], axis=1))
-        if sum(map(len, held)) >= LOCAL:
+        if sum(map(len, held)) >= 2 * LOCAL:
             yield stars()
     if held:
         yield stars()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.hash("b", "a").cast("long"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node either points at one other or is pointed at."""
+    ends = edges.select(F.col("a").alias("u"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select(F.col("b").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out + into > 1").isEmpty()
 
 
 def connected(links: DataFrame, most: int = 60) -> DataFrame:
     """(node, label) for every node of ``links`` (a, b: long); label is the least node reachable."""
     spark = links.sparkSession
-    once = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, path = materialized(once.mapInArrow(_contracted, "a long, b long"), "edges")
-    state = _state(edges)
+    pair = "a long, b long"
+    near = links.where("a != b").select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_contracted, pair)
+    edges, path = materialized(near.distinct(), "edges")
     for _ in range(most):
-        step, at = materialized(_small(_large(edges)), "edges")
+        tasks = 1 + edges.count() // LOCAL
+        step, at = materialized(edges.coalesce(tasks).mapInArrow(_contracted, pair), "edges")
         remove(spark, path)
         edges, path = step, at
-        if (now := _state(edges)) == state:
+        if tasks == 1 or _stars(edges):
             break
-        state = now
+        step, at = materialized(_small(_large(edges)), "edges")
+        remove(spark, path)
+        edges, path = step, at
     else:
         raise RuntimeError(f"components didn't settle in {most} passes")
     # stars now: every node but the least points at the least

@@ -1,16 +1,16 @@
 """Near-duplicates: bottom-k sketches from one hash function, inverted lists, exact Jaccard.
 
-1. Each text's set of word shingles is hashed; its ``K`` least hashes are its sketch. Equal sets make
+1. Each text's set of word shingles is hashed; its ``KEPT`` least hashes are its sketch. Equal sets make
    one class, whose least doc_id stands for it.
-2. Inverted lists of the retained values bring classes together. Of a list of at most ``LISTS[0]`` classes all pairs
+2. Inverted lists of the ``K`` least retained values bring classes together. Of a list of at most ``LISTS[0]`` classes all pairs
    are tried in the task that holds it, and as many kept as connect what passes. Of a longer one each class
    is tried against the list's least, which ties large groups of near copies together. A pair passes if sizes allow
-   the similarity and the union's sketch estimates ``SHARED`` of ``K`` or more.
+   the similarity and the union's sketch estimates enough in common (``ENOUGH``).
 3. What passed makes groups. A long list whose classes all lie in one group is done. Of the others, classes of
    different groups may still be alike: these lists are refined by a second retained value, and where still longer than
-   ``LISTS[1]`` by a third; refined lists within one group are done, short ones tried pair by pair, and in those over ``LISTS[2]``
-   each class is tied to the least. No list, pair or triple is left out: two sets of similarity 0.8 share 4 of 16
-   values or more but for 2 cases in 10 million, and whatever shares three is in one group at last.
+   ``LISTS[1]`` by a third; refined lists within one group are done, and of all others all pairs of different groups are tried, in
+   ranges of set size and blocks of ``LISTS[2]`` by as many where they are longer. No list, pair or triple is left out: two sets of similarity 0.8 share 4
+   of 16 retained values or more but for 2 cases in 10 million, and pass a sketch of 32 but for 2 in 10 million.
 4. All pairs of a group are compared on the full sets, so links are exact. A group of over ``CLUSTER`` classes is cut into
    blocks of about as many; each block is compared within itself and with about ``HEADS`` classes of the group that all
    blocks get. Mostly one component then holds nearly all; the classes outside the largest component are
@@ -36,9 +36,12 @@ from brindle.llm.common import arrow_schema, chunks, materialize, mix64, packed,
 from brindle.llm.components import connected
 
 WIDTH, PERCENT = 2, 80
-K, SHARED, CLUSTER, HEADS = 16, 4, 400, 8
-#: Most classes of a list of which all pairs are tried, by number of values.
-LISTS = (32, 128, 256)
+#: Retained values in all and those that make lists; classes of a block, and of a group that all its blocks get.
+KEPT, K, CLUSTER, HEADS = 32, 16, 400, 8
+#: Values that a union's sketch of so many holds of both, at least, for a pair to pass.
+ENOUGH = {16: 4, 32: 13}
+#: Most classes of a list of which all pairs are tried at once, by number of values.
+LISTS = (32, 512, 4096)
 #: Most group members that are broadcast (about 60 bytes each), and most sketches (about 160); salts of a join that isn't broadcast.
 SMALL, SKETCHES, SALTS = 200_000, 30_000, 16
 _SIGN = np.uint64(1 << 63)
@@ -80,31 +83,56 @@ def _sketched(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             sets = shingle_sets(batch.column("text"), width)
-            ends = np.cumsum([min(len(s), K) for s in sets])
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(np.concatenate([s[:K] for s in sets])))
+            ends = np.cumsum([min(len(s), KEPT) for s in sets])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(np.concatenate([s[:KEPT] for s in sets])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_digest, sets), pa.binary()), lists.cast(schema.field("sketch").type)], schema=schema)
 
     return sketch
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Values of the union's sketch that both sorted sketches hold, and the size of the union's sketch."""
-    union = np.union1d(a, b)[:K]
-    return int(np.isin(np.intersect1d(a, b, assume_unique=True), union).sum()), len(union)
-
-
-def listed(sizes: np.ndarray, sketches: list[np.ndarray], groups: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Pairs of a list between different groups that pass, as many as span what they connect."""
+def estimates(sketches: list[np.ndarray], pairs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair, the values of the union's sketch that both sorted sketches hold, and the size of the union's sketch."""
+    pad = np.iinfo(np.int64).max
+    grid = np.full((len(sketches), k), pad)
+    for row, values in zip(grid, sketches, strict=True):
+        row[: len(values)] = values
+    common, size = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
+    for at in range(0, len(pairs), 1 << 16):
+        some = pairs[at : at + (1 << 16)]
+        union = np.sort(np.concatenate([grid[some[:, 0]], grid[some[:, 1]]], axis=1), axis=1)
+        again = np.zeros(union.shape, bool)
+        again[:, 1:] = union[:, 1:] == union[:, :-1]
+        first = (np.cumsum(~again, axis=1) <= k) & (union != pad)
+        common[at : at + len(some)] = (first & again).sum(1)
+        size[at : at + len(some)] = (first & ~again).sum(1)
+    return common, size
+
+
+def listed(sizes: np.ndarray, sketches: list[np.ndarray], groups: np.ndarray, percent: int, k: int) -> list[tuple[int, int]]:
+    """Pairs of a list between different groups that pass, as many as span what they connect; ``k`` values of each sketch count."""
     m = len(sizes)
     if m == 2:
-        held = set(sketches[0].tolist())
-        pairs = [(0, 1)] if sum(v in held for v in sketches[1].tolist()) >= SHARED else []
-    else:
-        values, inverse = np.unique(np.concatenate(sketches), return_inverse=True)
-        x = np.zeros((m, len(values)), np.float32)
-        x[np.repeat(np.arange(m), np.fromiter(map(len, sketches), np.int64, m)), inverse] = 1
-        # sets that differ and are 0.8 alike have 4 shingles in common at least
-        pairs = np.argwhere(np.triu(x @ x.T >= SHARED, 1)).tolist()
+        small, large, a, b = *sorted(sizes.tolist()), *sketches
+        possible = groups[0] != groups[1] and 100 * small >= percent * large and k * len(set(a.tolist()).intersection(b.tolist())) >= ENOUGH[k] * max(len(a), len(b))
+        if not possible:
+            return []
+        common, union = estimates(sketches, np.array([[0, 1]]), k)
+        return [(0, 1)] if k * common[0] >= ENOUGH[k] * union[0] else []
+    values, inverse, times = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), np.fromiter(map(len, sketches), np.int64, m))
+    shared = times[inverse] > 1
+    column, owner = (np.cumsum(times > 1) - 1)[inverse[shared]], owner[shared]
+    both = np.zeros((m, m), np.float32)
+    width, many = int((times > 1).sum()), np.fromiter(map(len, sketches), np.int64, m)
+    for at in range(0, width, COLUMNS):
+        some = (column >= at) & (column < at + COLUMNS)
+        x = np.zeros((m, min(COLUMNS, width - at)), np.float32)
+        x[owner[some], column[some] - at] = 1
+        both += x @ x.T
+    # the union's sketch is as long as the longer one at least
+    possible = (k * both >= ENOUGH[k] * np.maximum(many[:, None], many[None, :])) & (groups[:, None] != groups[None, :]) & (100 * np.minimum(sizes[:, None], sizes[None, :]) >= percent * np.maximum(sizes[:, None], sizes[None, :]))
+    pairs = np.argwhere(np.triu(possible, 1))
+    common, union = estimates(sketches, pairs, k)
     parent = np.unique(groups, return_index=True, return_inverse=True)
     parent = parent[1][parent[2]].tolist()
 
@@ -115,17 +143,14 @@ def listed(sizes: np.ndarray, sketches: list[np.ndarray], groups: np.ndarray, pe
         return i
 
     found = []
-    for i, j in pairs:
-        if 100 * min(sizes[i], sizes[j]) < percent * max(sizes[i], sizes[j]) or (a := root(i)) == (b := root(j)):
-            continue
-        shared, union = estimate(sketches[i], sketches[j])
-        if K * shared >= SHARED * union:
+    for i, j in pairs[k * common >= ENOUGH[k] * union].tolist():
+        if (a := root(i)) != (b := root(j)):
             parent[max(a, b)] = min(a, b)
             found.append((i, j))
     return found
 
 
-def _lists(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _lists(percent: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows sorted by ``key`` to the pairs of each key's list."""
     out = arrow_schema("a long, b long")
 
@@ -147,7 +172,7 @@ def _lists(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 links = []
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     if b - a > 1:
-                        links += [(cid[a + i], cid[a + j]) for i, j in listed(n[a:b], [flat[ends[k] : ends[k + 1]] for k in range(a, b)], label[a:b], percent)]
+                        links += [(cid[a + i], cid[a + j]) for i, j in listed(n[a:b], [flat[ends[x] : ends[x + 1]] for x in range(a, b)], label[a:b], percent, k)]
                 if links:
                     both = np.array(links)
                     yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=out)
@@ -168,44 +193,55 @@ def _counted(rows: DataFrame, name: str) -> DataFrame:
     return materialize(rows.join(counts, "key"), name)
 
 
-def _tried(short: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Passing pairs of short lists (key, cid, label)."""
-    rows = short.join(classes.select("cid", "n", "sketch"), "cid")
-    return rows.repartition("key").sortWithinPartitions("key", "cid").select("key", "cid", "n", "label", "sketch").mapInArrow(_lists(percent), "a long, b long")
+def _tried(short: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFrame:
+    """Passing pairs of lists (key, cid, n, label)."""
+    rows = short.join(classes.select("cid", F.slice("sketch", 1, k).alias("sketch")), "cid")
+    # by number, since lists cost far more than their bytes tell
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key").sortWithinPartitions("key", "cid").select("key", "cid", "n", "label", "sketch").mapInArrow(_lists(percent, k), "a long, b long")
+
+
+def _blocked(lists: DataFrame, percent: int) -> DataFrame:
+    """(key, cid, n, label); lists over ``LISTS[1]`` are cut into ranges of set size and, by ``LISTS[2]``, into pairs of blocks."""
+    # sizes that allow the similarity lie in the same range or in neighbours: a class is in its own and in the next
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    blocks = F.ceil(F.col("many") / LISTS[2]).cast("int")
+    rows = lists.withColumn("size", size).withColumn("nb", blocks).withColumn("blk", F.pmod(F.xxhash64(F.lit(9), "cid"), F.col("nb")).cast("int"))
+    parts = f"if(many <= {LISTS[1]}, array(key), flatten(transform(array(size, size + 1), r -> transform(sequence(0, nb - 1), k -> xxhash64(key, r, least(k, blk), greatest(k, blk))))))"
+    return rows.select(F.explode(F.expr(parts)).alias("key"), "cid", "n", "label")
 
 
 def _with_least(long: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Passing pairs of a long list's classes with its least."""
     heads = materialize(long.select("least").distinct().join(classes, F.col("least") == F.col("cid")).select("least", F.col("n").alias("m"), F.col("sketch").alias("other")), "heads")
-    tried = long.where("cid != least").groupBy("cid").agg(F.collect_set("least").alias("heads")).join(classes.select("cid", "n", "sketch"), "cid")
+    tried = long.where("cid != least").groupBy("cid", "n").agg(F.collect_set("least").alias("heads")).join(classes.select("cid", "sketch"), "cid")
     tried = tried.select("cid", "n", "sketch", F.explode("heads").alias("least"))
     if heads.count() <= SKETCHES:
         both = tried.join(F.broadcast(heads), "least")
     else:  # a class may be the least of very many
         salted = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         both = tried.withColumn("salt", F.pmod(F.hash("cid"), F.lit(SALTS))).join(salted, ["least", "salt"])
-    both = both.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).withColumn("u", F.slice(F.array_sort(F.array_union("sketch", "other")), 1, K))
+    both = both.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).withColumn("u", F.slice(F.array_sort(F.array_union("sketch", "other")), 1, KEPT))
     shared = F.size(F.array_intersect(F.array_intersect("sketch", "other"), "u"))
-    return both.where(K * shared >= SHARED * F.size("u")).select(F.col("least").alias("a"), F.col("cid").alias("b"))
+    return both.where(KEPT * shared >= ENOUGH[KEPT] * F.size("u")).select(F.col("least").alias("a"), F.col("cid").alias("b"))
 
 
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
     """(node, label) of groups of classes between which no two sets are alike."""
-    rows = classes.select(F.explode("sketch").alias("key"), "cid", F.col("cid").alias("label"))
+    rows = classes.select(F.explode(F.slice("sketch", 1, K)).alias("key"), "cid", "n", F.col("cid").alias("label"))
     one = _counted(rows, "postings")
     long = one.where(f"many > {LISTS[0]}")
-    first = _tried(one.where(f"many <= {LISTS[0]}"), classes, percent).union(_with_least(long, classes, percent))
+    first = _tried(one.where(f"many <= {LISTS[0]}"), classes, percent, K).union(_with_least(long, classes, percent))
     groups = materialize(connected(first), "groups")
-    left = long.select("key", "cid").join(groups, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
-    mixed = _counted(left, "mixed").groupBy("cid", "label").agg(F.sort_array(F.collect_set("key")).alias("hot")).where("size(hot) > 1")
+    left = long.select("key", "cid", "n").join(groups, F.col("cid") == F.col("node"), "left").select("key", "cid", "n", F.coalesce("label", "cid").alias("label"))
+    mixed = _counted(left, "mixed").groupBy("cid", "n", "label").agg(F.sort_array(F.collect_set("key")).alias("hot")).where("size(hot) > 1")
     mixed = materialize(mixed, "hot")
-    pairs = mixed.select("cid", "label", F.explode(F.expr("flatten(transform(sequence(0, size(hot) - 2), i -> transform(slice(hot, i + 2, size(hot)), y -> struct(hot[i] as x, y as y))))")).alias("p"))
-    two = _counted(pairs.select("cid", "label", F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.xxhash64("p.x", "p.y").alias("key")), "postings2")
-    more = two.where(f"many > {LISTS[1]}").select("cid", "label", "x", "y").join(mixed.select("cid", "hot"), "cid").select("cid", "label", "x", "y", F.explode(F.expr("filter(hot, z -> z > y)")).alias("z"))
-    three = _counted(more.select("cid", "label", F.xxhash64("x", "y", "z").alias("key")), "postings3")
-    short = two.where(f"many <= {LISTS[1]}").select("key", "cid", "label").union(three.where(f"many <= {LISTS[2]}").select("key", "cid", "label"))
-    ties = three.where(f"many > {LISTS[2]} and cid != least").select(F.col("least").alias("a"), F.col("cid").alias("b"))
-    later = materialize(_tried(short, classes, percent).union(ties).distinct(), "later")
+    pairs = mixed.select("cid", "n", "label", F.explode(F.expr("flatten(transform(sequence(0, size(hot) - 2), i -> transform(slice(hot, i + 2, size(hot)), y -> struct(hot[i] as x, y as y))))")).alias("p"))
+    two = _counted(pairs.select("cid", "n", "label", F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.xxhash64("p.x", "p.y").alias("key")), "postings2")
+    more = two.where(f"many > {LISTS[1]}").select("cid", "n", "label", "x", "y").join(mixed.select("cid", "hot"), "cid").select("cid", "n", "label", "x", "y", F.explode(F.expr("filter(hot, z -> z > y)")).alias("z"))
+    three = _counted(more.select("cid", "n", "label", F.xxhash64("x", "y", "z").alias("key")), "postings3")
+    refined = two.where(f"many <= {LISTS[1]}").select("key", "cid", "n", "label").union(_blocked(three, percent))
+    later = materialize(_tried(refined, classes, percent, KEPT).distinct(), "later")
     if later.isEmpty():
         return groups
     return connected(groups.select(F.col("node").alias("a"), F.col("label").alias("b")).union(later))
