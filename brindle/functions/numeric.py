@@ -81,3 +81,9 @@ def ramp(x: Column | str, lo: Column | str, hi: Column | str) -> Column:
     width = _c(hi) - _c(lo)
     t = (_c(x) - _c(lo)) / F.when(width > 0, width)
     return F.coalesce(F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+
+
+def drawn(*keys: Column | str, seed: int = 0) -> Column:
+    """A number between 0 and 1 by the checksum of the keys: alike on every run, and in any engine that has md5."""
+    named = F.concat_ws("/", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
+    return (F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)

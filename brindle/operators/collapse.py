@@ -6,14 +6,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.functions.numeric import drawn
+
 #: Most pseudobulks that a driver-side decomposition takes.
 MOST_PB = 4096
 
 
 def gaussian(key: Column, dim: Column, seed: int = 0) -> Column:
-    """A standard normal number for each key and dimension, by hashing (Box-Muller): alike on every run."""
-    u = lambda s: (F.pmod(F.xxhash64(key, dim, F.lit(s)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return F.sqrt(-2.0 * F.log(u(2 * seed))) * F.cos(2 * F.pi() * u(2 * seed + 1))
+    """A standard normal number for each key and dimension, from two drawn ones (Box-Muller): alike on every run."""
+    return F.sqrt(-2.0 * F.log(drawn(key, dim, seed=2 * seed))) * F.cos(2 * F.pi() * drawn(key, dim, seed=2 * seed + 1))
 
 
 def project(counts: DataFrame, cells: DataFrame, dims: int = 50, weights: DataFrame | None = None, seed: int = 0) -> DataFrame:
@@ -24,7 +25,8 @@ def project(counts: DataFrame, cells: DataFrame, dims: int = 50, weights: DataFr
     basis = c.select("feature_id").distinct().select("feature_id", F.explode(F.sequence(F.lit(0), F.lit(dims - 1))).alias("dim")).withColumn("g", gaussian(F.col("feature_id"), F.col("dim"), seed))
     x = c.join(basis, "feature_id").groupBy("cell_id", "dim").agg(F.sum(F.col("v") * F.col("g")).alias("x"))
     b = x.join(cells.select("cell_id", "batch"), "cell_id")
-    return b.select("cell_id", "dim", (F.col("x") - F.avg("x").over(Window.partitionBy("batch", "dim"))).alias("x"))
+    means = b.groupBy(F.col("batch").alias("of"), F.col("dim").alias("on")).agg(F.avg("x").alias("mean"))
+    return b.join(means, F.col("batch").eqNullSafe(F.col("of")) & (F.col("dim") == F.col("on"))).select("cell_id", "dim", (F.col("x") - F.col("mean")).alias("x"))
 
 
 def sign_partition(projection: DataFrame, bits: int, stratum: DataFrame | None = None) -> DataFrame:

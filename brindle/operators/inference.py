@@ -14,12 +14,15 @@ from brindle.functions.numeric import floored_log
 from brindle.operators.rank import hold_out
 
 
-def hidden_likelihood(counts: DataFrame, rates: DataFrame, share: float = 0.2, seed: int = 0) -> DataFrame:
-    """(cell_id, hidden, llik): a share of each cell's observed features is hidden by hash and scored among the hidden ones.
+def hidden_likelihood(counts: DataFrame, fitted: Callable[[DataFrame], DataFrame], share: float = 0.2, seed: int = 0) -> DataFrame:
+    """(cell_id, hidden, llik): a share of each cell's observed features is hidden and scored among the hidden ones.
 
-    ``rates``: cell_id, feature_id, rate, made without the hidden counts.
+    ``fitted`` makes rates (feature_id, rate, and cell_id if they differ by cell) of the counts that stay; it never sees the hidden ones.
+    Features that no count that stays has aren't scored.
     """
-    h = hold_out(counts.where("value > 0"), ["cell_id", "feature_id"], share, seed).where("held").join(rates, ["cell_id", "feature_id"])
+    split = hold_out(counts.where("value > 0"), ["cell_id", "feature_id"], share, seed)
+    rates = fitted(split.where("not held").drop("held"))
+    h = split.where("held").join(rates, [c for c in ("cell_id", "feature_id") if c in rates.columns])
     lp = floored_log(F.col("rate") / F.sum("rate").over(Window.partitionBy("cell_id")))
     return h.withColumn("lp", lp).groupBy("cell_id").agg(F.sum("value").alias("hidden"), F.sum(F.col("value") * F.col("lp")).alias("llik"))
 

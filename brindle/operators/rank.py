@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.functions.numeric import drawn
+
 
 def top_k(rows: DataFrame, by: list[str], value: str, k: int, tie: str) -> DataFrame:
     """The k largest of each group (of all rows without ``by``), ties to the lower ``tie``."""
@@ -63,8 +65,8 @@ def deal_folds(cells: DataFrame, folds: int, seed: int = 0) -> DataFrame:
 
 
 def landmarks(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows by least hash of their key: alike on every run."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows by least number drawn for their key: alike on every run."""
+    return rows.orderBy(drawn(key, seed=seed), key).limit(n)
 
 
 def roles(rows: DataFrame, key: str, parts: int, seed: int = 0) -> DataFrame:
@@ -73,7 +75,8 @@ def roles(rows: DataFrame, key: str, parts: int, seed: int = 0) -> DataFrame:
 
 
 def hold_out(rows: DataFrame, keys: list[str], share: float, seed: int = 0) -> DataFrame:
-    return rows.withColumn("held", F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    """``held``: whether the number drawn for a row's keys lies under ``share``."""
+    return rows.withColumn("held", drawn(*keys, seed=seed) < share)
 
 
 def natural_order(rows: DataFrame, name: str) -> DataFrame:

@@ -136,11 +136,11 @@ def multimodal_names(spark: SparkSession, d: str) -> DataFrame:
     "j7_modality_vote",
     sql(
         "SELECT query, block, shared, count(*) OVER (PARTITION BY block) > 1 AS disputed FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY shared DESC, block) AS r FROM s) WHERE r = 1",
-        s="SELECT q.l_returnflag AS query, p_brand AS block, count(*) AS shared FROM (SELECT DISTINCT l_returnflag, l_partkey FROM lineitem WHERE l_quantity > 48) q JOIN part ON p_partkey = l_partkey GROUP BY 1, 2",
+        s="SELECT q.l_returnflag AS query, p_brand AS block, count(*) AS shared FROM (SELECT DISTINCT l_returnflag, l_partkey FROM lineitem) q JOIN part ON p_partkey = l_partkey GROUP BY 1, 2",
     ),
 )
 def modality_vote(spark: SparkSession, d: str) -> DataFrame:
-    q = S.table(spark, d, "lineitem").where("l_quantity > 48").select(F.col("l_returnflag").alias("modality"), F.col("l_partkey").alias("name")).distinct()
+    q = S.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("modality"), F.col("l_partkey").alias("name")).distinct()
     return align.modality_vote(q, S.table(spark, d, "part").select(F.col("p_brand").alias("modality"), F.col("p_partkey").alias("name")))
 
 

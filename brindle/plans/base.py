@@ -26,6 +26,11 @@ def sql(body: str, *names: str, **more: str) -> str:
     return ("WITH " + ", ".join(parts) + " " if parts else "") + body
 
 
+def drawn_sql(*keys: str, seed: int = 0) -> str:
+    """The number that ``functions.numeric.drawn`` gives for these keys."""
+    return f"((CAST(('0x' || substr(md5(concat_ws('/', {seed}, {', '.join(keys)})), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0)"
+
+
 class Registry:
     """Queries and their SQL."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators import aggregate, collapse, inference, kinetics, models
-from brindle.plans.base import Registry, sql
+from brindle.plans.base import Registry, drawn_sql, sql
 from brindle.sources import counts as S
 
 R = Registry()
@@ -195,11 +195,19 @@ def influence(spark: SparkSession, d: str) -> DataFrame:
     return i.select("role", F.round("effect", 4).alias("effect"), F.round("se", 4).alias("se"))
 
 
-@R.add("h16_hidden_likelihood")
+@R.add(
+    "h16_hidden_likelihood",
+    sql(
+        "SELECT cell_id, CAST(sum(value) AS BIGINT) AS hidden, round(sum(value * ln(greatest(rate / all_, 1e-12))), 5) AS llik FROM (SELECT *, sum(rate) OVER (PARTITION BY cell_id) AS all_ FROM k JOIN r USING (feature_id) WHERE held) GROUP BY 1",
+        "counts",
+        k=f"SELECT *, {drawn_sql('cell_id', 'feature_id')} < 0.2 AS held FROM counts WHERE value > 0",
+        r="SELECT feature_id, CAST(sum(value) AS DOUBLE) / (SELECT sum(value) FROM k WHERE NOT held) AS rate FROM k WHERE NOT held GROUP BY 1",
+    ),
+)
 def hidden_likelihood(spark: SparkSession, d: str) -> DataFrame:
-    c = S.customer_counts(spark, d)
-    rates = c.select("cell_id", "feature_id").join(aggregate.composition(c).withColumnRenamed("share", "rate"), "feature_id")
-    return inference.hidden_likelihood(c, rates)
+    """Hidden counts under the composition of those that stay."""
+    h = inference.hidden_likelihood(S.customer_counts(spark, d), lambda c: aggregate.composition(c).withColumnRenamed("share", "rate"))
+    return h.select("cell_id", "hidden", F.round("llik", 5).alias("llik"))
 
 
 @R.add("d1_archetypes")

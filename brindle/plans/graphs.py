@@ -17,8 +17,10 @@ R = Registry()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the one that driver and executors share; a temporary one where the session names none."""
+    """A new folder under the one that driver and executors share; where the session names none, a temporary one if it runs on one machine."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.checkpoint.dir", path)
     return f"{path.rstrip('/')}/brindle/graph-{uuid.uuid4().hex}"
@@ -33,7 +35,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 _P = "SELECT a.l_partkey AS lhs, b.l_partkey AS rhs, greatest(a.l_quantity, b.l_quantity) AS w FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1"
 _E = "SELECT least(lhs, rhs) AS lhs, greatest(lhs, rhs) AS rhs, max(w) AS w FROM p WHERE lhs <> rhs GROUP BY 1, 2"
-_H = "SELECT lhs, rhs, w FROM e WHERE w >= 47"
+_H = "SELECT lhs, rhs, w FROM e"
 _NB = "SELECT lhs AS u, rhs AS v FROM h UNION ALL SELECT rhs, lhs FROM h"
 _SH = "SELECT a.v AS lhs, b.v AS rhs, count(*) AS shared FROM nb a JOIN nb b ON a.u = b.u AND a.v < b.v GROUP BY 1, 2"
 
@@ -42,10 +44,6 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return G.pair_edges(_pairs(spark, d))
 
 
-def _heavy(spark: SparkSession, d: str) -> DataFrame:
-    return _edges(spark, d).where("w >= 47")
-
-
 @R.add("g1_pair_edges", sql("SELECT * FROM e", p=_P, e=_E))
 def pair_edges(spark: SparkSession, d: str) -> DataFrame:
     return _edges(spark, d)
@@ -88,7 +86,7 @@ def region_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("g8_shared_neighbours", sql("SELECT lhs, rhs, shared FROM sh", p=_P, e=_E, h=_H, nb=_NB, sh=_SH))
 def shared_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return G.shared_neighbours(_heavy(spark, d))
+    return G.shared_neighbours(_edges(spark, d))
 
 
 @R.add("g8_prune_shared", sql("SELECT e.lhs, e.rhs, e.w FROM e JOIN sh USING (lhs, rhs) WHERE shared >= 3", p=_P, e=_E, h="SELECT * FROM e", nb=_NB, sh=_SH))
@@ -109,12 +107,20 @@ def prune_shared(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def cap_degree(spark: SparkSession, d: str) -> DataFrame:
-    return G.cap_degree(_heavy(spark, d), 4)
+    return G.cap_degree(_edges(spark, d), 4)
+
 
+def _k_core_sql(k: int, passes: int) -> str:
+    more = {"p": _P, "e": _E, "k0": "SELECT * FROM e"}
+    for i in range(1, passes + 1):
+        more[f"n{i}"] = f"SELECT u FROM (SELECT lhs AS u FROM k{i - 1} UNION ALL SELECT rhs FROM k{i - 1}) GROUP BY 1 HAVING count(*) >= {k}"
+        more[f"k{i}"] = f"SELECT * FROM k{i - 1} WHERE lhs IN (SELECT u FROM n{i}) AND rhs IN (SELECT u FROM n{i})"
+    return sql(f"SELECT * FROM k{passes}", **more)
 
-@R.add("g8_k_core")
+
+@R.add("g8_k_core", _k_core_sql(14, 12))
 def k_core(spark: SparkSession, d: str) -> DataFrame:
-    return G.k_core(_heavy(spark, d), 2, shared_folder(spark))
+    return G.k_core(_edges(spark, d), 14, shared_folder(spark))
 
 
 @R.add(
@@ -131,10 +137,24 @@ def k_core(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def second_order(spark: SparkSession, d: str) -> DataFrame:
-    return G.second_order(_heavy(spark, d)).withColumn("w", F.round("w", 9))
+    return G.second_order(_edges(spark, d)).withColumn("w", F.round("w", 9))
+
+
+def _page_rank_sql(passes: int) -> str:
+    more = {
+        "l": "SELECT DISTINCT 's' || s_suppkey AS lhs, 'n' || s_nationkey AS rhs FROM supplier UNION SELECT DISTINCT 'n' || n_nationkey, 'r' || n_regionkey FROM nation",
+        "b": "SELECT lhs AS u, rhs AS v FROM l UNION ALL SELECT rhs, lhs FROM l",
+        "o": "SELECT *, count(*) OVER (PARTITION BY u) AS deg FROM b",
+        "f0": "SELECT DISTINCT u AS source, u, CAST(1 AS DOUBLE) AS m FROM b",
+    }
+    for i in range(1, passes + 1):
+        more[f"f{i}"] = f"SELECT source, v AS u, sum(m * 0.85 / deg) AS m FROM f{i - 1} JOIN o USING (u) WHERE m * 0.85 >= 1e-6 GROUP BY 1, 2"
+    more["t"] = "SELECT source, u, sum(0.15 * m) AS m FROM (" + " UNION ALL ".join(f"SELECT * FROM f{i}" for i in range(passes + 1)) + ") WHERE source <> u GROUP BY 1, 2"
+    best = "SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(m, 12) DESC, u) AS r FROM t"
+    return sql(f"SELECT source, u AS node, round(m / max(m) OVER (PARTITION BY source), 6) AS weight FROM ({best}) WHERE r <= 10", **more)
 
 
-@R.add("g10_page_rank")
+@R.add("g10_page_rank", _page_rank_sql(8))
 def page_rank(spark: SparkSession, d: str) -> DataFrame:
     """Ranks of the suppliers' regions on the graph of nations and regions, every node a source."""
     n = S.table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("lhs"), F.concat(F.lit("n"), "s_nationkey").alias("rhs"), F.lit(1.0).alias("w"))
@@ -143,12 +163,12 @@ def page_rank(spark: SparkSession, d: str) -> DataFrame:
     return G.page_rank(e, e.select(F.col("lhs").alias("node")).union(e.select("rhs")).distinct(), shared_folder(spark), passes=8).withColumn("weight", F.round("weight", 6))
 
 
-_B = "SELECT DISTINCT l_suppkey AS win, l_partkey AS node FROM lineitem WHERE l_quantity > 45"
+_B = "SELECT DISTINCT l_suppkey AS win, l_partkey AS node FROM lineitem"
 
 
 @R.add("g14_prune_thin", sql("SELECT win, node FROM b WHERE node IN (SELECT node FROM b GROUP BY 1 HAVING count(DISTINCT win) >= 3 UNION SELECT p_partkey FROM part WHERE p_brand = 'Brand#11')", b=_B))
 def prune_thin(spark: SparkSession, d: str) -> DataFrame:
-    b = S.table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_suppkey").alias("window"), F.col("l_partkey").alias("node")).distinct()
+    b = S.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("window"), F.col("l_partkey").alias("node")).distinct()
     e = S.table(spark, d, "part").where("p_brand = 'Brand#11'").select(F.col("p_partkey").alias("node"))
     return G.prune_thin(b, 3, e).select(F.col("window").alias("win"), "node")
 

@@ -10,7 +10,7 @@ from brindle.operators import collapse as K
 from brindle.operators import incremental as I
 from brindle.operators import mixtures as M
 from brindle.operators import score as P
-from brindle.plans.base import Registry, sql
+from brindle.plans.base import Registry, drawn_sql, sql
 from brindle.sources import counts as S
 
 R = Registry()
@@ -141,19 +141,34 @@ def gaussian(spark: SparkSession, d: str) -> DataFrame:
     return P.gaussian_scores(r, 50).select("cell_id", F.round("llik", 4).alias("llik"))
 
 
-@R.add("h9_feature_agreement")
+@R.add(
+    "h9_feature_agreement",
+    sql(
+        "SELECT feature_id, CASE WHEN count(DISTINCT x) > 1 AND count(DISTINCT y) > 1 THEN round(corr(rx, ry), 5) END AS spearman, CASE WHEN count(DISTINCT x) > 1 AND count(DISTINCT y) > 1 THEN round(corr(ln(1 + x), ln(1 + y)), 5) END AS pearson_log1p, round(avg(x), 5) AS mean_observed FROM (SELECT *, rank() OVER (PARTITION BY feature_id ORDER BY x) + (count(*) OVER (PARTITION BY feature_id, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY feature_id ORDER BY y) + (count(*) OVER (PARTITION BY feature_id, y) - 1) / 2.0 AS ry FROM p) GROUP BY 1",
+        "counts",
+        p="SELECT feature_id, CAST(value AS DOUBLE) AS x, sqrt(value) + 1 AS y FROM counts",
+    ),
+)
 def feature_agreement(spark: SparkSession, d: str) -> DataFrame:
     c = S.customer_counts(spark, d)
     p = c.select("cell_id", "feature_id", (F.sqrt("value") + 1).alias("rate"))
     return P.feature_agreement(c, p).select("feature_id", F.round("spearman", 5).alias("spearman"), F.round("pearson_log1p", 5).alias("pearson_log1p"), F.round("mean_observed", 5).alias("mean_observed"))
 
 
-@R.add("r2_projection")
+#: Projection of customers on 10 dimensions, less the mean of their nation.
+_R2 = dict(
+    b=f"SELECT feature_id, dim, sqrt(-2 * ln({drawn_sql('feature_id', 'dim')})) * cos(2 * pi() * {drawn_sql('feature_id', 'dim', seed=1)}) AS g FROM (SELECT DISTINCT feature_id FROM counts), range(10) AS t(dim)",
+    y="SELECT cell_id, dim, sum(ln(1 + value) * g) AS x FROM counts JOIN b USING (feature_id) GROUP BY 1, 2",
+    j="SELECT cell_id, CAST(dim AS INTEGER) AS dim, x - avg(x) OVER (PARTITION BY batch, dim) AS x FROM y JOIN cells USING (cell_id)",
+)
+
+
+@R.add("r2_projection", sql("SELECT cell_id, dim, round(x, 6) AS x FROM j", "counts", "cells", **_R2))
 def projection(spark: SparkSession, d: str) -> DataFrame:
-    return K.project(S.customer_counts(spark, d), S.customer_cells(spark, d), 10)
+    return K.project(S.customer_counts(spark, d), S.customer_cells(spark, d), 10).withColumn("x", F.round("x", 6))
 
 
-@R.add("r3_sign_partition")
+@R.add("r3_sign_partition", sql("SELECT cell_id, code, CAST(dense_rank() OVER (ORDER BY code) - 1 AS INTEGER) AS pb FROM (SELECT cell_id, CAST(sum(CASE WHEN x > 0 THEN 2 ** dim ELSE 0 END) AS BIGINT) AS code FROM j WHERE dim < 6 GROUP BY 1)", "counts", "cells", **_R2))
 def sign_partition(spark: SparkSession, d: str) -> DataFrame:
     cells = S.customer_cells(spark, d)
     return K.sign_partition(K.project(S.customer_counts(spark, d), cells, 10), 6)
@@ -173,7 +188,20 @@ def pseudobulk(spark: SparkSession, d: str) -> DataFrame:
     return s.join(n, "pb")
 
 
-@R.add("r5_batch_model")
+def _batch_model_sql(passes: int) -> str:
+    more = {
+        "s": "SELECT stratum AS pb, batch, feature_id, sum(value) AS total FROM counts JOIN cells USING (cell_id) GROUP BY 1, 2, 3",
+        "z": "SELECT stratum AS pb, batch, count(*) AS n FROM cells GROUP BY 1, 2",
+        "d0": "SELECT DISTINCT batch, feature_id, CAST(1 AS DOUBLE) AS delta FROM s",
+    }
+    for i in range(1, passes + 1):
+        more[f"e{i}"] = f"SELECT pb, feature_id, sum(n * coalesce(delta, 1)) AS e FROM (SELECT DISTINCT pb, feature_id FROM s) JOIN z USING (pb) LEFT JOIN d{i - 1} USING (batch, feature_id) GROUP BY 1, 2"
+        more[f"m{i}"] = f"SELECT pb, feature_id, t / e AS mu FROM (SELECT pb, feature_id, sum(total) AS t FROM s GROUP BY 1, 2) JOIN e{i} USING (pb, feature_id)"
+        more[f"d{i}"] = f"SELECT batch, feature_id, least(greatest((o + 1) / (p + 1), 0.01), 100) AS delta FROM (SELECT batch, feature_id, sum(total) AS o FROM s GROUP BY 1, 2) JOIN (SELECT batch, feature_id, sum(mu * n) AS p FROM m{i} JOIN z USING (pb) GROUP BY 1, 2) USING (batch, feature_id)"
+    return sql(f"SELECT pb, feature_id, round(mu, 5) AS mu FROM m{passes}", "counts", "cells", **more)
+
+
+@R.add("r5_batch_model", _batch_model_sql(3))
 def batch_model(spark: SparkSession, d: str) -> DataFrame:
     from brindle.plans.graphs import shared_folder
 

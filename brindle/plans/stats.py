@@ -9,7 +9,7 @@ from brindle.functions import numeric as X
 from brindle.functions import vectors as V
 from brindle.operators import aggregate as A
 from brindle.operators import filters, rank
-from brindle.plans.base import Registry, sql
+from brindle.plans.base import Registry, drawn_sql, sql
 from brindle.sources import counts as S
 
 R = Registry()
@@ -225,12 +225,12 @@ def packed_features(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("cell_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "feature_id"))), lambda x: x["feature_id"]).alias("packed"))
 
 
-@R.add("t4_landmarks")
+@R.add("t4_landmarks", sql(f"SELECT cell_id FROM cells ORDER BY {drawn_sql('cell_id')}, cell_id LIMIT 100", "cells"))
 def landmarks(spark: SparkSession, d: str) -> DataFrame:
     return rank.landmarks(S.customer_cells(spark, d), "cell_id", 100).select("cell_id")
 
 
-@R.add("t6_hold_out")
+@R.add("t6_hold_out", sql(f"SELECT {drawn_sql('cell_id', 'feature_id')} < 0.2 AS held, count(*) AS n FROM counts GROUP BY 1", "counts"))
 def hold_out(spark: SparkSession, d: str) -> DataFrame:
     return rank.hold_out(S.customer_counts(spark, d), ["cell_id", "feature_id"], 0.2).groupBy("held").agg(F.count(F.lit(1)).alias("n"))
 
