@@ -126,6 +126,55 @@ def test_packing(docs, none):
     assert sum(r.length for r in got if r.doc_id == 1) == 1 and packing.pack(none).count() == 0
 
 
+@pytest.mark.parametrize("stage", range(5))
+def test_stages(spark, docs, none, tmp_path, stage):
+    """Each stage by itself: what it keeps and changes of nulls, empty texts, repeated rows and clashing columns; an empty table stays empty."""
+    import corpus_pipeline as cp
+
+    spark.createDataFrame([(4, 1), (5, 0), (6, 0), (7, None), (None, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    run = cp.STAGES[stage][1]
+    got = run(spark, docs, str(tmp_path))
+    rows = got.collect()
+    if stage < 4:
+        assert got.columns == docs.columns
+    if stage == 0:  # a score for every row
+        assert len(rows) <= len(TEXTS) and {r.doc_id for r in rows} <= {i for i, _ in TEXTS}
+    if stage == 1:  # all fail the base rules: short, or repeating
+        assert rows == []
+    if stage == 2:  # copies of 4 and 8 go, texts without words and without an id stay
+        assert sorted((r.doc_id for r in rows), key=str) == sorted([1, 2, 3, 4, 6, 7, 7, None, 8, 8, 9], key=str)
+    if stage == 3:  # what has words is taken once or twice
+        assert {r.text for r in rows} <= {t for _, t in TEXTS} and len(rows) >= 1
+    if stage == 4:  # every row has its end id
+        ends = [r for r in rows if r.start + r.length == r.doc_tokens]
+        assert len(ends) == len(TEXTS)
+    assert run(spark, none, str(tmp_path)).count() == 0
+
+
+def test_no_shared_folder(spark, monkeypatch):
+    """A cluster that names no shared folder is an error; one machine takes a temporary one."""
+    from brindle.llm import common
+
+    class Conf:
+        def __init__(self, master):
+            self.held = {"spark.master": master}
+
+        def get(self, key, default=None):
+            return self.held.get(key, default)
+
+        def set(self, key, value):
+            self.held[key] = value
+
+    class Session:
+        def __init__(self, master):
+            self.conf = Conf(master)
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session("spark://host:7077"))
+    here = Session("local[4]")
+    assert common.shared_dir(here) == here.conf.get("spark.checkpoint.dir")
+
+
 def test_toxicity(spark, docs, none):
     labels = spark.createDataFrame([(i, i % 2, "x") for i in (1, 4, 5, 6, 7)] + [(7, 0, "x"), (8, None, "x")], "doc_id long, toxic int, text string")
     m = toxicity.fit_tables(docs, labels)

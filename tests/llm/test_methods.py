@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import time
@@ -221,6 +222,17 @@ def test_targets_reshare_the_excess():
     assert t == {"a": 200.0, "b": pytest.approx(400 / 3), "c": pytest.approx(200 / 3), None: 200.0}
 
 
+def test_sizes_and_targets_by_sql(spark, duck):
+    """size, source_size and target of op4, and that every source's words come near its target."""
+    got = QUERIES["op4_mixing"](spark, SF).toPandas()
+    sizes = duck.execute(r"SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents").df()
+    of = sizes.groupby("source")["size"].sum().to_dict()
+    want = mixing.targets(of)
+    both = got.merge(sizes, on="doc_id")
+    assert len(both) == len(sizes) and (both.size_x == both.size_y).all()
+    assert all(r.source_size == of[r.source] and abs(r.target - want[r.source]) < 1e-6 and r.taken in (0, r.size_x, 2 * r.size_x) for r in both.itertuples())
+
+
 def test_flight_keeps_sums():
     rng = np.random.default_rng(1)
     for n in (1, 2, 3, 50, 2000):
@@ -259,6 +271,7 @@ def test_next_document_by_brute_force(spark, monkeypatch):
     assert len(got) == len(want)
     for (i, t), (_, nxt) in zip(want, want[1:] + want[:1], strict=True):
         e = merkle.edited(t, nxt)
+        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
         assert got[i].edited_fingerprint == merkle.fingerprint(e) and got[i].near_next == merkle.likeness(merkle.fingerprint(t), merkle.fingerprint(nxt))
 
 
@@ -510,6 +523,27 @@ def test_pair_of_terms_that_single_weights_miss():
     assert (got == y).mean() > 0.95
 
 
+def test_score_is_the_double_sum(spark):
+    """Scores of whole texts against every pair of terms added up one by one."""
+    texts = ["you silly goose go home", "", "goose goose goose and the home of a silly one", "zzz"]
+    known = np.unique(np.concatenate([np.array(sorted({b for w in t.split() for b in toxicity.terms(w)} | {toxicity._bucket(f"len{len(t.split()).bit_length()}")}), np.int64) for t in texts[:3]]))
+    rng = np.random.default_rng(3)
+    m = toxicity.Machine(known, -0.3, rng.normal(0, 0.3, len(known)), rng.normal(0, 0.3, (len(known), toxicity.RANK)))
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), m).collect()}
+    place = {b: i for i, b in enumerate(known.tolist())}
+    for i, t in enumerate(texts):
+        counts: dict[int, int] = {}
+        for b in [b for w in t.split() for b in toxicity.terms(w)] + [toxicity._bucket(f"len{len(t.split()).bit_length()}")]:
+            if b in place:
+                counts[place[b]] = counts.get(place[b], 0) + 1
+        z = m.bias + sum(m.weights[a] * np.log2(1 + n) for a, n in counts.items())
+        for a in counts:
+            for b in counts:
+                if a < b:
+                    z += float(m.factors[a] @ m.factors[b]) * np.log2(1 + counts[a]) * np.log2(1 + counts[b])
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_pair_beside_thousands_of_other_terms(spark):
     """Words that are as frequent in both classes, and count only together, stand beside 3,000 that tell nothing."""
 
