@@ -8,7 +8,7 @@ the pair, so a word can count only beside another, or only in a short text.
 
 Defined results: null and empty texts have no words and are scored by their length class alone; with
 no labelled row, or one class only, the score is the share of toxic rows (0.0 without rows); a
-document with several labels counts as toxic if one is; of rows that share an id, ``fit_tables`` learns from the least text; null labels are no labels; repeated rows
+document with several labels counts as toxic if one is; of rows that share an id, one is learnt from; null labels are no labels; repeated rows
 have a row each; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -31,8 +31,8 @@ from brindle.llm.common import arrow_schema, bounded_sample, chunks, table, voca
 SAMPLE, BUCKETS, RANK, EPOCHS, ROWS, RARE, SURE = 12_000, 1 << 22, 6, 8, 256, 300, 4
 PREFIXES = range(4, 9)
 THRESHOLD = 0.3
-#: Words whose terms a worker remembers.
-MEMORY = 200_000
+#: Words whose terms a worker remembers; bytes of text whose terms it counts at once (each word has up to six).
+MEMORY, TEXT = 100_000, 1 << 20
 
 _edges = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _seen: dict[str, np.ndarray] = {}
@@ -96,7 +96,7 @@ def counted(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarra
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema("doc_id long, toxic int, terms array<int>, n array<int>")
-    for batch in chunks(batches):
+    for batch in chunks(batches, limit=TEXT):
         row, term, n = counted(batch.column("text"))
         offs = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
@@ -154,12 +154,15 @@ def scales(many: int, toxic: np.ndarray, term: np.ndarray, y: np.ndarray, rare:
     return np.maximum(z / (z + 1), n / (n + rare)).astype(np.float32)[:, None]
 
 
-def train(known: np.ndarray, x: np.ndarray | tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.03, decay: float = 2e-4, seed: int = 7, rows: int = ROWS, rare: float = RARE, sure: float = SURE) -> Machine:
-    """Adam on the logistic loss, ``rows`` rows a step, of ``x``: [rows, terms], or its row offsets, terms and values."""
+def train(known: np.ndarray, x: np.ndarray | list[np.ndarray], y: np.ndarray, order: np.ndarray | None = None, epochs: int = EPOCHS, rate: float = 0.03, decay: float = 2e-4, seed: int = 7, rows: int = ROWS, rare: float = RARE, sure: float = SURE) -> Machine:
+    """Adam on the logistic loss, ``rows`` rows a step, of ``x``: [rows, terms], or its row offsets, terms and values, which are taken from the list.
+
+    Rows are mixed from ``order``, if given, so that the fit doesn't hang on how they came.
+    """
     if isinstance(x, np.ndarray):
         r, term = np.nonzero(x)
-        x = np.searchsorted(r, np.arange(len(x) + 1)), term, x[r, term]
-    offsets, term, value = x
+        x = [np.searchsorted(r, np.arange(len(x) + 1)), term, x[r, term]]
+    value, term, offsets = x.pop(), x.pop(), x.pop()
     scale = scales(len(known), np.repeat(y, np.diff(offsets)), term, y, min(rare, 0.1 * len(y)), sure)
     rng = np.random.default_rng(seed)
     base = np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
@@ -169,12 +172,13 @@ def train(known: np.ndarray, x: np.ndarray | tuple[np.ndarray, np.ndarray, np.nd
     m, s = np.zeros_like(p), np.zeros_like(p)
     bias, mb, sb = np.float32(base), 0.0, 0.0
     batches = []
-    mixed = rng.permutation(len(y))
+    mixed = rng.permutation(len(y)) if order is None else order[rng.permutation(len(y))]
     for part in np.array_split(mixed, max(1, -(-len(y) // rows))):
         n = offsets[part + 1] - offsets[part]
         ends = np.append(0, np.cumsum(n))
         inner = np.repeat(offsets[part] - ends[:-1], n) + np.arange(ends[-1])
         batches.append(_Batch(ends, term[inner], value[inner].astype(np.float32), y[part]))
+    del term, value
     # a term that few batches hold is held back by as much a pass as one of all batches
     times = np.zeros(len(known), np.int64)
     for b in batches:
@@ -203,26 +207,28 @@ def train(known: np.ndarray, x: np.ndarray | tuple[np.ndarray, np.ndarray, np.nd
     return Machine(known, float(bias), p[:, 0].copy(), p[:, 1:].copy())
 
 
-def fit(labelled: DataFrame, bound: int = SAMPLE) -> Machine:
-    """Fits on the rows with ``text`` and ``toxic``, ``bound`` at most, taken by hash of ``doc_id``; all their terms enter."""
+def fit(labelled: DataFrame) -> Machine:
+    """Fits on rows with ``doc_id``, ``text`` and ``toxic``, those of one id counting once (toxic if one is; the least terms); all their terms enter."""
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"))
     n, pos = rows.agg(F.count("toxic"), F.sum("toxic")).first()
     none = np.zeros(0, np.int64)
     if not n or pos in (0, n):
         share = (pos or 0) / n if n else 0.0
         return Machine(none, 30.0 if share == 1 else -30.0, np.zeros(0), np.zeros((0, RANK)))
-    got = rows.mapInArrow(_rows, "doc_id long, toxic int, terms array<int>, n array<int>").toArrow()
-    got = got.take(pc.sort_indices(got, [("doc_id", "ascending"), ("toxic", "ascending")])).combine_chunks()
-    lists = got.column("terms").combine_chunks()
-    offsets = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int64)
-    term = lists.flatten().to_numpy()
+    once = rows.mapInArrow(_rows, "doc_id long, toxic int, terms array<int>, n array<int>").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct("terms", "n")).alias("x"))
+    got = once.select("doc_id", "toxic", "x.terms", "x.n").toArrow()
+    order = pc.sort_indices(got.select(["doc_id"]), [("doc_id", "ascending")]).to_numpy()
+    y = got.column("toxic").to_numpy().astype(np.float32)
+    value = np.log2(1.0 + pc.list_flatten(got.column("n")).to_numpy().astype(np.float32))
+    got = got.drop_columns("n")
+    offsets = np.append(0, np.cumsum(pc.list_value_length(got.column("terms")).to_numpy())).astype(np.int64)
+    term = pc.list_flatten(got.column("terms")).to_numpy()
+    del got
     held = np.zeros(BUCKETS, bool)
     held[term] = True
-    term = (np.cumsum(held, dtype=np.int32) - 1)[term]
-    value = np.log2(1.0 + got.column("n").combine_chunks().flatten().to_numpy().astype(np.float32))
-    y = got.column("toxic").to_numpy().astype(np.float32)
-    del got, lists
-    return train(np.flatnonzero(held), (offsets, term, value), y)
+    x = [offsets, (np.cumsum(held, dtype=np.int32) - 1)[term], value]
+    del term, value
+    return train(np.flatnonzero(held).astype(np.int32), x, y, order)
 
 
 OUT = "doc_id long, score double"
@@ -231,7 +237,7 @@ OUT = "doc_id long, score double"
 def _scored(machine: Machine) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _seen.clear()
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=TEXT):
             row, term, n = counted(batch.column("text"), machine.known)
             got = machine.scores(row, term, n, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(got)], schema=arrow_schema(OUT))
@@ -249,11 +255,10 @@ def held_out() -> F.Column:
 
 
 def fit_tables(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Machine:
-    """Fits on the labelled documents that are not held out; the sample of ids is what is broadcast. Of rows that share an id, the least text counts."""
+    """Fits on the labelled documents that are not held out; the sample of ids is what is broadcast."""
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = bounded_sample(ids, "doc_id", bound)
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    return fit(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), bound)
+    return fit(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,7 +270,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _clean(machine: Machine, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _seen.clear()
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=TEXT):
             got = machine.scores(*counted(batch.column("text"), machine.known), batch.num_rows)
             yield batch.filter(pa.array(got < threshold))
         _seen.clear()
