@@ -46,8 +46,8 @@ LISTS = (32, 512, 4096)
 SMALL, SKETCHES, SALTS = 200_000, 30_000, 16
 _SIGN = np.uint64(1 << 63)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Columns of the incidence matrix that are multiplied at once.
-COLUMNS = 4096
+#: Columns of the incidence matrix that are multiplied at once, and rows of the product.
+COLUMNS, STRIP = 1024, 256
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -122,16 +122,21 @@ def listed(sizes: np.ndarray, sketches: list[np.ndarray], groups: np.ndarray, pe
     owner = np.repeat(np.arange(m), np.fromiter(map(len, sketches), np.int64, m))
     shared = times[inverse] > 1
     column, owner = (np.cumsum(times > 1) - 1)[inverse[shared]], owner[shared]
-    both = np.zeros((m, m), np.float32)
     width, many = int((times > 1).sum()), np.fromiter(map(len, sketches), np.int64, m)
+    both, pairs = np.zeros((m, m), np.uint8), []
     for at in range(0, width, COLUMNS):
         some = (column >= at) & (column < at + COLUMNS)
         x = np.zeros((m, min(COLUMNS, width - at)), np.float32)
         x[owner[some], column[some] - at] = 1
-        both += x @ x.T
-    # the union's sketch is as long as the longer one at least
-    possible = (k * both >= ENOUGH[k] * np.maximum(many[:, None], many[None, :])) & (groups[:, None] != groups[None, :]) & (100 * np.minimum(sizes[:, None], sizes[None, :]) >= percent * np.maximum(sizes[:, None], sizes[None, :]))
-    pairs = np.argwhere(np.triu(possible, 1))
+        for top in range(0, m, STRIP):
+            both[top : top + STRIP] += (x[top : top + STRIP] @ x.T).astype(np.uint8)
+    for top in range(0, m, STRIP):
+        rows = slice(top, min(top + STRIP, m))
+        # the union's sketch is as long as the longer one at least
+        possible = k * both[rows].astype(np.int16) >= ENOUGH[k] * np.maximum(many[rows, None], many[None, :])
+        possible &= (groups[rows, None] != groups[None, :]) & (100 * np.minimum(sizes[rows, None], sizes[None, :]) >= percent * np.maximum(sizes[rows, None], sizes[None, :]))
+        pairs.append(np.argwhere(np.triu(possible, top + 1)) + [top, 0])
+    pairs = np.concatenate(pairs)
     common, union = estimates(sketches, pairs, k)
     parent = np.unique(groups, return_index=True, return_inverse=True)
     parent = parent[1][parent[2]].tolist()

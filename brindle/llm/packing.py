@@ -31,6 +31,8 @@ SEQUENCE, END_ID = 2048, 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Tokens that a block holds at least before it is packed; tokens of a piece that isn't halved.
 BLOCK, LEAST = 2 << 20, 64
+#: Bytes of text that are encoded at once.
+TEXT = 1 << 20
 
 
 def cost(n: int | np.ndarray) -> float | np.ndarray:
@@ -103,7 +105,7 @@ def _packed(path: str, room: int, end_id: int, with_ids: bool, block: int) -> Ca
             held.clear()
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=TEXT):
             held.append((batch.column("doc_id").cast(pa.int64()), *encode(batch.column("text"), end_id)))
             if sum(len(x[1]) for x in held) >= block:
                 yield from flush()
