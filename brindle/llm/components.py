@@ -1,7 +1,7 @@
 """Connected components of a graph of links, by alternating large-star and small-star passes.
 
-Links are contracted within each task, some at a time, to the stars of what they connect there, before they are
-shuffled and before each pass; what one task contracts at once needs no pass. Each pass
+Links are contracted within each task, some at a time, to the stars of what they connect there, before
+each pass; what one task contracts at once needs no pass. Each pass
 is written to the shared folder, so nothing hangs on an executor. The least node of each component is its label.
 """
 
@@ -66,6 +66,11 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars()
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """Fewer links that connect the same, each task's by themselves. Not for links that a Python kernel makes in the same stage: its tasks would run two workers each."""
+    return links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_contracted, "a long, b long")
+
+
 def _stars(edges: DataFrame) -> bool:
     """Whether every node either points at one other or is pointed at."""
     ends = edges.select(F.col("a").alias("u"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select(F.col("b").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("into")))
@@ -75,12 +80,10 @@ def _stars(edges: DataFrame) -> bool:
 def connected(links: DataFrame, most: int = 60) -> DataFrame:
     """(node, label) for every node of ``links`` (a, b: long); label is the least node reachable."""
     spark = links.sparkSession
-    pair = "a long, b long"
-    near = links.where("a != b").select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_contracted, pair)
-    edges, path = materialized(near.distinct(), "edges")
+    edges, path = materialized(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(most):
         tasks = 1 + edges.count() // LOCAL
-        step, at = materialized(edges.coalesce(tasks).mapInArrow(_contracted, pair), "edges")
+        step, at = materialized(contracted(edges.coalesce(tasks)), "edges")
         remove(spark, path)
         edges, path = step, at
         if tasks == 1 or _stars(edges):

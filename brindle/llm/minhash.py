@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.common import arrow_schema, chunks, materialize, mix64, packed, table, vocabulary, words
-from brindle.llm.components import connected
+from brindle.llm.components import connected, contracted
 
 WIDTH, PERCENT = 2, 80
 #: Retained values in all and those that make lists; classes of a block, and of a group that all its blocks get.
@@ -236,7 +236,7 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     rows = classes.select(F.explode(F.slice("sketch", 1, K)).alias("key"), "cid", "n", F.col("cid").alias("label"))
     one = _counted(rows, "postings")
     long = one.where(f"many > {LISTS[0]}")
-    first = _tried(one.where(f"many <= {LISTS[0]}"), classes, percent, K).union(_with_least(long, classes, percent))
+    first = _tried(one.where(f"many <= {LISTS[0]}"), classes, percent, K).union(contracted(_with_least(long, classes, percent)))
     groups = materialize(connected(first), "groups")
     left = long.select("key", "cid", "n").join(groups, F.col("cid") == F.col("node"), "left").select("key", "cid", "n", F.coalesce("label", "cid").alias("label"))
     mixed = _counted(left, "mixed").groupBy("cid", "n", "label").agg(F.sort_array(F.collect_set("key")).alias("hot")).where("size(hot) > 1")
