@@ -9,8 +9,9 @@
 3. What passed makes groups. A long list whose classes all lie in one group is done. Of the others, classes of
    different groups may still be alike: these lists are refined by a second retained value, and where still longer than
    ``LISTS[1]`` by a third; refined lists within one group are done, and of all others all pairs of different groups are tried, in
-   ranges of set size and blocks of ``LISTS[2]`` by as many where they are longer. No list, pair or triple is left out: two sets of similarity 0.8 share 4
-   of 16 retained values or more but for 2 cases in 10 million, and pass a sketch of 32 but for 2 in 10 million.
+   ranges of set size and blocks of ``LISTS[2]`` by as many where they are longer. No list is left out: two sets of similarity 0.8 share 4
+   of 16 retained values or more but for 2 cases in 10 million, and pass a sketch of 32 but for 2 in 10 million. So classes with fewer values
+   in such lists are done, and pairs and triples are those that any four values hold one of (``PAIRS``, ``THIRDS``), a third of all.
 4. All pairs of a group are compared on the full sets, so links are exact. A group of over ``CLUSTER`` classes is cut into
    blocks of about as many; each block is compared within itself and with about ``HEADS`` classes of the group that all
    blocks get. Mostly one component then holds nearly all; the classes outside the largest component are
@@ -41,9 +42,13 @@ KEPT, K, CLUSTER, HEADS = 32, 16, 400, 8
 #: Values that a union's sketch of so many holds of both, at least, for a pair to pass.
 ENOUGH = {16: 4, 32: 13}
 #: Most classes of a list of which all pairs are tried at once, by number of values.
-LISTS = (32, 512, 4096)
+LISTS = (32, 2048, 4096)
 #: Most group members that are broadcast (about 60 bytes each), and most sketches (about 160); salts of a join that isn't broadcast.
 SMALL, SKETCHES, SALTS = 200_000, 30_000, 16
+#: Of ``hot``: pairs of values alike modulo 3, and the third values for a pair (x, y): greater and alike, or the next residue.
+#: Any four values hold such a pair, as three residues are fewer than four; and such a triple, as three are alike or two residues that follow each other hold two and one.
+PAIRS = "flatten(transform(sequence(0, size(hot) - 2), i -> transform(filter(slice(hot, i + 2, size(hot)), y -> pmod(y, 3) = pmod(hot[i], 3)), y -> struct(hot[i] as x, y as y))))"
+THIRDS = "filter(hot, z -> if(pmod(z, 3) = pmod(x, 3), z > y, pmod(z, 3) = pmod(pmod(x, 3) + 1, 3)))"
 _SIGN = np.uint64(1 << 63)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Columns of the incidence matrix that are multiplied at once, and rows of the product.
@@ -198,22 +203,28 @@ def _counted(rows: DataFrame, name: str) -> DataFrame:
     return materialize(rows.join(counts, "key"), name)
 
 
-def _tried(short: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFrame:
-    """Passing pairs of lists (key, cid, n, label)."""
-    rows = short.join(classes.select("cid", F.slice("sketch", 1, k).alias("sketch")), "cid")
+def _sketched_lists(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, many, cid, n, label) with sketches; a class is joined once, with all its lists, which a sketch's pairs and triples bound."""
+    own = lists.groupBy("cid").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.collect_list(F.struct("key", "many")).alias("lists"))
+    rows = own.join(classes.select("cid", "sketch"), "cid").select("cid", "n", "label", "sketch", F.explode("lists").alias("l"))
+    return rows.select("l.key", "l.many", "cid", "n", "label", "sketch")
+
+
+def _tried(rows: DataFrame, percent: int, k: int) -> DataFrame:
+    """Passing pairs of lists (key, cid, n, label, sketch)."""
     # by number, since lists cost far more than their bytes tell
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "key").sortWithinPartitions("key", "cid").select("key", "cid", "n", "label", "sketch").mapInArrow(_lists(percent, k), "a long, b long")
 
 
 def _blocked(lists: DataFrame, percent: int) -> DataFrame:
-    """(key, cid, n, label); lists over ``LISTS[1]`` are cut into ranges of set size and, by ``LISTS[2]``, into pairs of blocks."""
-    # sizes that allow the similarity lie in the same range or in neighbours: a class is in its own and in the next
+    """(key, cid, n, label, sketch); lists over ``LISTS[1]`` are cut into ranges of set size and, by ``LISTS[2]``, into pairs of blocks."""
+    # sizes that allow the similarity are at most one step apart; ranges are of four steps, and a class of the last step is in the next range too
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
     blocks = F.ceil(F.col("many") / LISTS[2]).cast("int")
     rows = lists.withColumn("size", size).withColumn("nb", blocks).withColumn("blk", F.pmod(F.xxhash64(F.lit(9), "cid"), F.col("nb")).cast("int"))
-    parts = f"if(many <= {LISTS[1]}, array(key), flatten(transform(array(size, size + 1), r -> transform(sequence(0, nb - 1), k -> xxhash64(key, r, least(k, blk), greatest(k, blk))))))"
-    return rows.select(F.explode(F.expr(parts)).alias("key"), "cid", "n", "label")
+    parts = f"if(many <= {LISTS[1]}, array(key), flatten(transform(if(size % 4 = 3, array(size div 4, size div 4 + 1), array(size div 4)), r -> transform(sequence(0, nb - 1), k -> xxhash64(key, r, least(k, blk), greatest(k, blk))))))"
+    return rows.select(F.explode(F.expr(parts)).alias("key"), "cid", "n", "label", "sketch")
 
 
 def _with_least(long: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -236,17 +247,18 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     rows = classes.select(F.explode(F.slice("sketch", 1, K)).alias("key"), "cid", "n", F.col("cid").alias("label"))
     one = _counted(rows, "postings")
     long = one.where(f"many > {LISTS[0]}")
-    first = _tried(one.where(f"many <= {LISTS[0]}"), classes, percent, K).union(contracted(_with_least(long, classes, percent)))
+    short = one.where(f"many <= {LISTS[0]}").join(classes.select("cid", F.slice("sketch", 1, K).alias("sketch")), "cid")
+    first = _tried(short, percent, K).union(contracted(_with_least(long, classes, percent)))
     groups = materialize(connected(first), "groups")
     left = long.select("key", "cid", "n").join(groups, F.col("cid") == F.col("node"), "left").select("key", "cid", "n", F.coalesce("label", "cid").alias("label"))
-    mixed = _counted(left, "mixed").groupBy("cid", "n", "label").agg(F.sort_array(F.collect_set("key")).alias("hot")).where("size(hot) > 1")
+    mixed = _counted(left, "mixed").groupBy("cid", "n", "label").agg(F.sort_array(F.collect_set("key")).alias("hot")).where(f"size(hot) >= {ENOUGH[K]}")
     mixed = materialize(mixed, "hot")
-    pairs = mixed.select("cid", "n", "label", F.explode(F.expr("flatten(transform(sequence(0, size(hot) - 2), i -> transform(slice(hot, i + 2, size(hot)), y -> struct(hot[i] as x, y as y))))")).alias("p"))
+    pairs = mixed.select("cid", "n", "label", F.explode(F.expr(PAIRS)).alias("p"))
     two = _counted(pairs.select("cid", "n", "label", F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.xxhash64("p.x", "p.y").alias("key")), "postings2")
-    more = two.where(f"many > {LISTS[1]}").select("cid", "n", "label", "x", "y").join(mixed.select("cid", "hot"), "cid").select("cid", "n", "label", "x", "y", F.explode(F.expr("filter(hot, z -> z > y)")).alias("z"))
+    more = two.where(f"many > {LISTS[1]}").select("cid", "n", "label", "x", "y").join(mixed.select("cid", "hot"), "cid").select("cid", "n", "label", "x", "y", F.explode(F.expr(THIRDS)).alias("z"))
     three = _counted(more.select("cid", "n", "label", F.xxhash64("x", "y", "z").alias("key")), "postings3")
-    refined = two.where(f"many <= {LISTS[1]}").select("key", "cid", "n", "label").union(_blocked(three, percent))
-    later = materialize(_tried(refined, classes, percent, KEPT).distinct(), "later")
+    refined = two.where(f"many <= {LISTS[1]}").select("key", "many", "cid", "n", "label").union(three.select("key", "many", "cid", "n", "label"))
+    later = materialize(_tried(_blocked(_sketched_lists(refined, classes), percent), percent, KEPT).distinct(), "later")
     if later.isEmpty():
         return groups
     return connected(groups.select(F.col("node").alias("a"), F.col("label").alias("b")).union(later))

@@ -12,6 +12,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import html, idfile, langid, merkle, minhash, mixing, packing, quality, rangecoder, toxicity, warc
 from brindle.llm.components import connected
@@ -292,6 +293,17 @@ def brute(texts: dict[int, str], width: int, percent: int) -> dict[int, int]:
     return label
 
 
+def test_any_four_values_hold_a_pair_and_a_triple(spark):
+    """Two sets that share four values of long lists meet in a pair of them, and in a triple of them."""
+    drawn = np.random.default_rng(3).integers(-(1 << 62), 1 << 62, (2000, 4))
+    hot = [(i, sorted(map(int, row))) for i, row in enumerate(np.concatenate([drawn, [[-6, -3, 0, 3], [-5, -4, 1, 2], [0, 1, 2, 3]]]))]
+    pairs = spark.createDataFrame(hot, "i long, hot array<long>").select("i", "hot", F.explode(F.expr(minhash.PAIRS)).alias("p")).select("i", "hot", "p.x", "p.y")
+    assert pairs.select("i").distinct().count() == len(hot)
+    triples = pairs.select("i", "x", "y", F.explode(F.expr(minhash.THIRDS)).alias("z"))
+    assert triples.select("i").distinct().count() == len(hot)
+    assert triples.count() == triples.select("i", F.array_sort(F.array("x", "y", "z"))).distinct().count()
+
+
 @pytest.mark.parametrize("lists", [minhash.LISTS, (2, 3, 4)])
 def test_components_by_brute_force(spark, monkeypatch, lists):
     """Short lists send a large group of near copies through every level, ties and blocks."""
