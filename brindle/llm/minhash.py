@@ -11,7 +11,7 @@
    ``LISTS[1]`` by a third; refined lists within one group are done, and of all others all pairs of different groups are tried, in
    ranges of set size and blocks of ``LISTS[2]`` by as many where they are longer. No list is left out: two sets of similarity 0.8 share 4
    of 16 retained values or more but for 2 cases in 10 million, and pass a sketch of 32 but for 2 in 10 million. So classes with fewer values
-   in such lists are done, and pairs and triples are those that any four values hold one of (``PAIRS``, ``THIRDS``), a third of all.
+   in such lists are done, and pairs and triples are those that any four values hold one of (``PAIRS``, ``THIRDS``): about a third of all pairs and two fifths of all triples.
 4. All pairs of a group are compared on the full sets, so links are exact. A group of over ``CLUSTER`` classes is cut into
    blocks of about as many; each block is compared within itself and with about ``HEADS`` classes of the group that all
    blocks get. Mostly one component then holds nearly all; the classes outside the largest component are
