@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import html, idfile, langid, merkle, minhash, mixing, packing, quality, toxicity, warc
+from brindle.llm import divergence, html, idfile, langid, merkle, minhash, mixing, packing, pairwise, quality, toxicity, trie, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": html.op1,
@@ -19,9 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_idfile": idfile.op8,
     "op9_packing": packing.op9,
     "op10_toxicity": toxicity.op10,
+    "op11_divergence": divergence.op11,
+    "op12_trie": trie.op12,
+    "op13_pairwise": pairwise.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": warc.ORACLE,
     "op2_quality": quality.ORACLE,
+    "op11_divergence": divergence.ORACLE,
+    "op12_trie": trie.ORACLE,
 }
