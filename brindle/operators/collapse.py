@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,12 +38,6 @@ def sign_partition(projection: DataFrame, bits: int, stratum: DataFrame | None =
     return s.join(ids, ["stratum", "code"]).select("cell_id", "code", "pb")
 
 
-def levels(partition: DataFrame, depth: int = 3, step: int = 2) -> DataFrame:
-    """(cell_id, level, code): the partition at coarser levels, level 0 the coarsest."""
-    drop = F.lit(depth - 1) - F.col("level")
-    return partition.select("cell_id", "code", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("level")).select("cell_id", "level", F.pmod("code", F.greatest(F.pow(F.lit(2.0), 10 - drop * step), F.lit(1.0)).cast("long")).alias("code"))
-
-
 def pseudobulk(counts: DataFrame, partition: DataFrame, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(pb, feature_id, total) and (pb, n_cells) with cell weights."""
     p = partition.withColumn("w", F.col(weight) if weight else F.lit(1))
@@ -72,13 +67,6 @@ def batch_model(sums: DataFrame, sizes: DataFrame, passes: int = 5, folder: str
     return mu, delta
 
 
-def residual_rates(sums: DataFrame, sizes: DataFrame, mu: DataFrame) -> DataFrame:
-    """(pb, feature_id, residual) = total / (n mu)."""
-    t = sums.groupBy("pb", "feature_id").agg(F.sum("total").alias("t"))
-    n = sizes.groupBy("pb").agg(F.sum("n").alias("n"))
-    return t.join(n, "pb").join(mu, ["pb", "feature_id"]).select("pb", "feature_id", (F.col("t") / (F.col("n") * F.col("mu"))).alias("residual"))
-
-
 def dispersion(sums: DataFrame, sizes: DataFrame) -> DataFrame:
     """(feature_id, mean, phi): moment estimate ``phi = mean^2 / (variance - mean)`` over observed pseudobulk rates; null where not overdispersed."""
     n = sizes.agg(F.count(F.lit(1)).alias("pbs"))
@@ -93,6 +81,37 @@ def log_rates(sums: DataFrame, sizes: DataFrame) -> DataFrame:
     return sums.join(sizes, "pb").select("pb", "feature_id", F.log1p(1e4 * F.col("total") / F.col("n_cells")).alias("x"))
 
 
+def gram(rates: DataFrame, pbs: list) -> np.ndarray:
+    """The products of all pseudobulks' rates (pb, feature_id, x), summed over features.
+
+    Each task multiplies the rows of its features, many at a time, and adds them up; sums of tasks are added row by row of the matrix, so
+    that only the matrix itself, ``MOST_PB`` wide at most, reaches the driver.
+    """
+    place = {p: i for i, p in enumerate(pbs)}
+
+    def partial(batches):  # noqa: ANN001, ANN202
+        total = np.zeros((len(place), len(place)))
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at : at + 256]
+                x = np.zeros((len(part), len(place)))
+                for i, (p, v) in enumerate(zip(part["p"], part["v"], strict=True)):
+                    x[i, [place[k] for k in p.tolist()]] = v
+                total += x.T @ x
+        if total.any():
+            yield pd.DataFrame({"i": np.arange(len(place)), "row": list(total)})
+
+    def added(key, pdf: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
+        return pd.DataFrame({"i": [key[0]], "row": [sum(pdf["row"].to_list())]})
+
+    per = rates.groupBy("feature_id").agg(F.collect_list(F.struct("pb", F.col("x").cast("double").alias("x"))).alias("s")).select(F.col("s.pb").alias("p"), F.col("s.x").alias("v"))
+    rows = per.mapInPandas(partial, "i int, row array<double>").groupBy("i").applyInPandas(added, "i int, row array<double>")
+    out = np.zeros((len(place), len(place)))
+    for r in rows.toLocalIterator():
+        out[r["i"]] = r["row"]
+    return out
+
+
 def singular_vectors(rates: DataFrame, rank: int = 10) -> tuple[np.ndarray, np.ndarray, list]:
     """Left vectors [features, rank] (signs by their largest entry), values, and feature ids, of (pb, feature_id, x).
 
@@ -101,12 +120,7 @@ def singular_vectors(rates: DataFrame, rank: int = 10) -> tuple[np.ndarray, np.n
     pbs = [r[0] for r in rates.select("pb").distinct().orderBy("pb").limit(MOST_PB + 1).collect()]
     if len(pbs) > MOST_PB:
         raise ValueError(f"more than {MOST_PB} pseudobulks")
-    place = {p: i for i, p in enumerate(pbs)}
-    b = rates.select(F.col("pb").alias("pb2"), "feature_id", F.col("x").alias("y"))
-    gram = np.zeros((len(pbs), len(pbs)))
-    for r in rates.join(b, "feature_id").groupBy("pb", "pb2").agg(F.sum(F.col("x") * F.col("y")).alias("g")).toLocalIterator():
-        gram[place[r["pb"]], place[r["pb2"]]] = r["g"]
-    values, vectors = np.linalg.eigh(gram)
+    values, vectors = np.linalg.eigh(gram(rates, pbs))
     order = np.argsort(-values)[:rank]
     s = np.sqrt(np.maximum(values[order], 0))
     v = vectors[:, order]

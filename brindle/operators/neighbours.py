@@ -36,12 +36,8 @@ def _blocked(points: DataFrame, name: str) -> DataFrame:
     return rows.select(F.transform("p", lambda x: x["id"]).alias(f"{name}_ids"), F.transform("p", lambda x: x["vec"]).alias(f"{name}_vecs"))
 
 
-def nearest(a: DataFrame, b: DataFrame, k: int, same: bool = False) -> DataFrame:
-    """(a, b, d2, rank): the k nearest of ``b`` for each row of ``a`` (id: long, vec), ties to the lower id.
-
-    Blocks of points meet, not rows: distances of two blocks are one matrix product, and each block's k best go on, so
-    no row gathers all distances.
-    """
+def best_of_blocks(k: int, same: bool = False):  # noqa: ANN201
+    """A kernel over rows of two blocks (a_ids, a_vecs, b_ids, b_vecs): the k nearest of b for each of a, by one matrix product and then exactly."""
     import numpy as np
     import pandas as pd
 
@@ -66,7 +62,16 @@ def nearest(a: DataFrame, b: DataFrame, k: int, same: bool = False) -> DataFrame
                 first = place < k
                 yield pd.DataFrame({"a": ia[row[first]], "b": ib[col[first]], "d2": exact[first]})
 
-    met = _blocked(a, "a").crossJoin(_blocked(b, "b")).mapInPandas(best, "a long, b long, d2 double")
+    return best
+
+
+def nearest(a: DataFrame, b: DataFrame, k: int, same: bool = False) -> DataFrame:
+    """(a, b, d2, rank): the k nearest of ``b`` for each row of ``a`` (id: long, vec), ties to the lower id.
+
+    Blocks of points meet, not rows: distances of two blocks are one matrix product, and each block's k best go on, so
+    no row gathers all distances.
+    """
+    met = _blocked(a, "a").crossJoin(_blocked(b, "b")).mapInPandas(best_of_blocks(k, same), "a long, b long, d2 double")
     return met.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("d2", "b"))).where(F.col("rank") <= k).select("a", "b", "d2", "rank")
 
 
@@ -104,14 +109,16 @@ def in_metric(points: DataFrame, space: str) -> DataFrame:
     raise ValueError(f"unknown cell space {space}")
 
 
-def impute(query: DataFrame, reference: DataFrame, counts: DataFrame, k: int = 25, temperature: float = 1.0, delta: DataFrame | None = None) -> DataFrame:
+def impute(query: DataFrame, reference: DataFrame, counts: DataFrame, k: int = 25, temperature: float = 1.0, delta: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
     """(cell_id, feature_id, value): reference counts pooled over each query's neighbours, softmax(-d2 / 2 tau^2) weights.
 
+    ``near`` (a, b, d2): neighbours that an index has found; without it all rows of the reference are compared.
     All-zero rows have no evidence: reference ones aren't matched, query ones get nothing. ``delta``: batch, feature_id, delta, with
     ``batch`` in the reference.
     """
     zero = lambda v: F.forall(v, lambda x: x == 0)
-    near = nearest(query.where(~zero(F.col("vec"))), reference.where(~zero(F.col("vec"))), k)
+    if near is None:
+        near = nearest(query.where(~zero(F.col("vec"))), reference.where(~zero(F.col("vec"))), k)
     tau = max(temperature, 1e-6)
     best = Window.partitionBy("a")
     e = near.withColumn("e", F.exp(-(F.col("d2") - F.min("d2").over(best)) / (2 * tau * tau)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators import aggregate, collapse, inference, kinetics, models
+from brindle.operators import aggregate, collapse, inference, kinetics, models, typed
 from brindle.plans.base import Registry, drawn_sql, sql
 from brindle.sources import counts as S
 
@@ -70,8 +70,39 @@ def expression_levels(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("m8_edge_embedding")
 def edge_embedding(spark: SparkSession, d: str) -> DataFrame:
-    c = S.customer_counts(spark, d).select(F.col("cell_id").alias("lhs"), (F.col("feature_id") + 10_000_000).alias("rhs"), F.lit(1.0).alias("w"))
-    return models.edge_embedding(c, 16, rounds=1, epochs=1)
+    """Customers and parts by the level of their counts, each level a relation."""
+    return typed.train(*typed.leveled_graph(S.customer_counts(spark, d)), dim=16, epochs=2).nodes
+
+
+#: Relation, left type, right type, weight, and its edges (lhs, rhs, w) on the tables.
+_RELATIONS = (
+    ("customer:part", "customer", "part", 1.0, "SELECT CAST(cell_id AS VARCHAR) AS lhs, CAST(feature_id AS VARCHAR) AS rhs, CAST(value AS DOUBLE) AS w FROM counts"),
+    ("part:brand", "part", "brand", 2.0, "SELECT CAST(feature_id AS VARCHAR) AS lhs, brand AS rhs, 1.0 AS w FROM features"),
+    ("customer:nation", "customer", "nation", 1.0, "SELECT CAST(cell_id AS VARCHAR) AS lhs, CAST(batch AS VARCHAR) AS rhs, 1.0 AS w FROM cells"),
+)
+
+
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c, f, n = S.customer_counts(spark, d), S.part_features(spark, d), S.customer_cells(spark, d)
+    parts = (c.select("cell_id", "feature_id", "value"), f.select("feature_id", "brand", F.lit(1.0)), n.select("cell_id", "batch", F.lit(1.0)))
+    edges = None
+    for (name, *_), p in zip(_RELATIONS, parts, strict=True):
+        one = p.toDF("lhs", "rhs", "w").select(F.lit(name).alias("relation"), F.col("lhs").cast("string").alias("lhs"), F.col("rhs").cast("string").alias("rhs"), F.col("w").cast("double").alias("w"))
+        edges = one if edges is None else edges.union(one)
+    return edges, spark.createDataFrame([(n, a, b, w, 1, "friend") for n, a, b, w, _ in _RELATIONS], "relation string, lhs_type string, rhs_type string, weight double, repeat int, polarity string")
+
+
+@R.add("m9_typed_graph")
+def typed_graph(spark: SparkSession, d: str) -> DataFrame:
+    return typed.train(*_graph(spark, d), dim=16, epochs=2).nodes
+
+
+_HELD = drawn_sql("relation", "lhs", "rhs") + " < 0.05"
+
+
+@R.add("m9_relations", sql(f"SELECT relation, lhs_type, rhs_type, weight, polarity, count(*) AS n_edges, count(*) FILTER (NOT {_HELD}) AS n_train, count(*) FILTER ({_HELD}) AS n_eval FROM g GROUP BY ALL", "counts", "cells", "features", g=" UNION ALL ".join(f"SELECT '{n}' AS relation, '{a}' AS lhs_type, '{b}' AS rhs_type, CAST({w} AS DOUBLE) AS weight, 'friend' AS polarity, lhs, rhs FROM ({q})" for n, a, b, w, q in _RELATIONS)))
+def relations(spark: SparkSession, d: str) -> DataFrame:
+    return typed.train(*_graph(spark, d), dim=8, epochs=1).relations.select("relation", "lhs_type", "rhs_type", "weight", "polarity", "n_edges", "n_train", "n_eval")
 
 
 @R.add("m7_frozen_projection")

@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators import align
 from brindle.operators import graph as G
+from brindle.operators.shared import shared_folder
 from brindle.plans.base import Registry, sql
 from brindle.sources import counts as S
 
 R = Registry()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the one that driver and executors share; where the session names none, a temporary one if it runs on one machine."""
-    if not (path := spark.conf.get("spark.checkpoint.dir", None)):
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="brindle-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return f"{path.rstrip('/')}/brindle/graph-{uuid.uuid4().hex}"
-
-
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     """Parts that stand on adjacent lines of an order, weight the larger quantity."""
     l = S.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")

@@ -9,6 +9,7 @@ from brindle.operators import aggregate as A
 from brindle.operators import collapse as K
 from brindle.operators import incremental as I
 from brindle.operators import mixtures as M
+from brindle.operators import multilevel as ML
 from brindle.operators import score as P
 from brindle.plans.base import Registry, drawn_sql, sql
 from brindle.sources import counts as S
@@ -188,6 +189,44 @@ def pseudobulk(spark: SparkSession, d: str) -> DataFrame:
     return s.join(n, "pb")
 
 
+_BITS = {0: 1, 1: 3, 2: 6}
+_CODES = ", ".join(f"({i}, {(1 << b) - 1})" for i, b in _BITS.items())
+_PARTS = dict(code="SELECT cell_id, CAST(sum(CASE WHEN x > 0 THEN 2 ** dim ELSE 0 END) AS BIGINT) AS code FROM j WHERE dim < 6 GROUP BY 1", part=f"SELECT cell_id, level, code & mask AS pb FROM code, (VALUES {_CODES}) t(level, mask)")
+
+
+def _collapsed(spark: SparkSession, d: str) -> ML.Collapsed:
+    counts, cells = S.customer_counts(spark, d), S.customer_cells(spark, d)
+    return ML.collapse(counts, cells, K.project(counts, cells, 10), bits=6)
+
+
+@R.add("r4_levels", sql("SELECT level, pb, feature_id, CAST(sum(value) AS BIGINT) AS total FROM part JOIN counts USING (cell_id) GROUP BY 1, 2, 3", "counts", "cells", **_R2, **_PARTS))
+def collapsed_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of every level, added up from the finest."""
+    return _collapsed(spark, d).sums
+
+
+@R.add("r10_tree", sql("SELECT a.level, a.pb, min(b.pb) AS parent, count(*) AS n FROM part a LEFT JOIN part b ON a.cell_id = b.cell_id AND b.level = a.level - 1 GROUP BY 1, 2", "counts", "cells", **_R2, **_PARTS))
+def collapsed_tree(spark: SparkSession, d: str) -> DataFrame:
+    return ML.outputs(_collapsed(spark, d))["pb_tree"]
+
+
+@R.add(
+    "r4_matches",
+    sql(
+        "SELECT pb, CAST(batch AS VARCHAR) AS batch, near_pb, CAST(near_batch AS VARCHAR) AS near_batch, CAST(rank AS INTEGER) AS rank FROM (SELECT a.pb, a.batch, b.pb AS near_pb, b.batch AS near_batch, row_number() OVER (PARTITION BY a.pb, a.batch ORDER BY round(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(a.vec, b.vec)]), 9), b.pb, CAST(b.batch AS VARCHAR)) AS rank FROM m a JOIN m b ON a.batch <> b.batch) WHERE rank <= 10",
+        "counts", "cells", **_R2, **_PARTS,
+        m="SELECT pb, batch, list(m ORDER BY dim) AS vec FROM (SELECT pb, batch, dim, avg(x) AS m FROM j JOIN cells USING (cell_id) JOIN part USING (cell_id) WHERE level = 2 GROUP BY 1, 2, 3) GROUP BY 1, 2",
+    ),
+)
+def collapsed_matches(spark: SparkSession, d: str) -> DataFrame:
+    return _collapsed(spark, d).matches.drop("weight")
+
+
+@R.add("r4_delta")
+def collapsed_delta(spark: SparkSession, d: str) -> DataFrame:
+    return _collapsed(spark, d).delta
+
+
 def _batch_model_sql(passes: int) -> str:
     more = {
         "s": "SELECT stratum AS pb, batch, feature_id, sum(value) AS total FROM counts JOIN cells USING (cell_id) GROUP BY 1, 2, 3",
@@ -203,7 +242,7 @@ def _batch_model_sql(passes: int) -> str:
 
 @R.add("r5_batch_model", _batch_model_sql(3))
 def batch_model(spark: SparkSession, d: str) -> DataFrame:
-    from brindle.plans.graphs import shared_folder
+    from brindle.operators.shared import shared_folder
 
     cells = S.customer_cells(spark, d)
     c = S.customer_counts(spark, d).join(cells, "cell_id")
@@ -291,7 +330,7 @@ def _bulk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _draws(spark: SparkSession, d: str) -> DataFrame:
-    return M.gibbs(_bulk(spark, d), _profiles(spark, d), warmup=20, draws=20)
+    return M.gibbs(_bulk(spark, d), _profiles(spark, d), warmup=20, draws=20, dispersion=10.0)
 
 
 @R.add("d4_gibbs")
@@ -304,11 +343,63 @@ def posterior(spark: SparkSession, d: str) -> DataFrame:
     return M.posterior(M.fractions(_draws(spark, d)))
 
 
+#: Customers' balances as draws of a chain: a nation is a sample, a segment a type, a customer's number the chain and the place in it.
+_GIVEN = "SELECT c_nationkey AS sample, c_mktsegment AS type, c_custkey % 2 AS chain, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment, c_custkey % 2 ORDER BY c_custkey) - 1 AS it, c_acctbal AS f FROM customer"
+
+
+def _given(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    c = S.table(spark, d, "customer").select(F.col("c_nationkey").alias("sample"), F.col("c_mktsegment").alias("type"), (F.col("c_custkey") % 2).alias("chain"), F.col("c_custkey").alias("key"), F.col("c_acctbal").cast("double").alias("f"))
+    return c.select("sample", "type", "chain", (F.row_number().over(Window.partitionBy("sample", "type", "chain").orderBy("key")) - 1).alias("it"), "f")
+
+
+@R.add("d7_summaries", sql("SELECT sample, type, round(avg(f), 6) AS mean, round(stddev_pop(f), 5) AS sd, round(quantile_cont(f, 0.025), 6) AS low, round(quantile_cont(f, 0.975), 6) AS high FROM g GROUP BY 1, 2", g=_GIVEN))
+def summaries(spark: SparkSession, d: str) -> DataFrame:
+    return M.posterior(_given(spark, d)).select("sample", "type", F.round("mean", 6).alias("mean"), F.round("sd", 5).alias("sd"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@R.add("d7_expression")
+def expression(spark: SparkSession, d: str) -> DataFrame:
+    return M.expression(_bulk(spark, d), _profiles(spark, d), warmup=20, draws=20, dispersion=10.0)
+
+
 @R.add("d8_convergence")
 def convergence(spark: SparkSession, d: str) -> DataFrame:
     return M.convergence(M.fractions(_draws(spark, d)))
 
 
+_RHAT = "SELECT sample, type, avg(v) AS within, var_samp(m) AS b, avg(k) AS k, count(*) AS chains FROM (SELECT sample, type, {keys}, avg(f) AS m, var_samp(f) AS v, count(*) AS k FROM l GROUP BY ALL) GROUP BY 1, 2"
+
+
+@R.add(
+    "d8_diagnostics",
+    sql(
+        "SELECT sample, type, round(sqrt(((h.k - 1) / h.k * h.within + h.b) / h.within), 6) AS rhat, round(sqrt(((c.k - 1) / c.k * c.within + c.b) / c.within), 6) AS between, round(ess, 4) AS ess, round(least(greatest(c.k * c.chains * ((c.k - 1) / c.k * c.within + c.b) / greatest(c.k * c.b, 1e-12), 1.0), c.k * c.chains), 4) AS ess_between FROM h JOIN c USING (sample, type) JOIN e USING (sample, type) WHERE c.chains > 1",
+        g=_GIVEN,
+        l="SELECT * FROM (SELECT *, count(*) OVER w AS n, CAST(row_number() OVER (w ORDER BY it) > count(*) OVER w / 2.0 AS INT) AS half FROM g WINDOW w AS (PARTITION BY sample, type, chain)) WHERE n >= 8",
+        h=_RHAT.format(keys="chain, half"), c=_RHAT.format(keys="chain"),
+        m="SELECT sample, type, chain, n, it, f - avg(f) OVER (PARTITION BY sample, type, chain) AS x FROM l",
+        a="SELECT p.sample, p.type, p.chain, p.n, q.it - p.it AS lag, sum(p.x * q.x) AS s FROM m p JOIN m q ON p.sample = q.sample AND p.type = q.type AND p.chain = q.chain AND q.it >= p.it GROUP BY ALL",
+        r="SELECT sample, type, chain, n, lag // 2 AS pair, sum(s / z) AS rho FROM a JOIN (SELECT sample, type, chain, s AS z FROM a WHERE lag = 0) USING (sample, type, chain) WHERE lag < n - n % 2 GROUP BY ALL",
+        t="SELECT sample, type, chain, any_value(n) AS n, 2 * sum(rho) FILTER (low > 0) - 1 AS tau FROM (SELECT *, min(rho) OVER (PARTITION BY sample, type, chain ORDER BY pair) AS low FROM r) GROUP BY 1, 2, 3",
+        e="SELECT sample, type, sum(least(greatest(n / greatest(tau, 1e-12), 1.0), n)) AS ess FROM t GROUP BY 1, 2",
+    ),
+)
+def diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    return M.convergence(_given(spark, d)).select("sample", "type", F.round("rhat", 6).alias("rhat"), F.round("between", 6).alias("between"), F.round("ess", 4).alias("ess"), F.round("ess_between", 4).alias("ess_between"))
+
+
+@R.add("d10_trace")
+def trace(spark: SparkSession, d: str) -> DataFrame:
+    return M.trace(M.fractions(M.gibbs(_bulk(spark, d), _profiles(spark, d), warmup=20, draws=20, chains=1, dispersion=10.0, keep_warmup=True)), 5)
+
+
+@R.add("d10_checkpoints", sql("SELECT sample, type, it, draws, round(mean, 6) AS mean FROM (SELECT sample, type, it, CAST(sum(n) OVER w AS BIGINT) AS draws, sum(s) OVER w / sum(n) OVER w AS mean FROM (SELECT sample, type, it, sum(f) AS s, count(*) AS n FROM g GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY sample, type ORDER BY it)) WHERE (it + 1) % 3 = 0", g=_GIVEN))
+def checkpoints(spark: SparkSession, d: str) -> DataFrame:
+    return M.checkpoints(_given(spark, d), 3).withColumn("mean", F.round("mean", 6))
+
+
 @R.add(
     "d9_deviance",
     sql(

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from brindle.functions import vectors as V
 from brindle.operators import aggregate as A
 from brindle.operators import cluster as C
+from brindle.operators import communities as Q
+from brindle.operators import index as I
 from brindle.operators import neighbours as N
 from brindle.operators import score as P
 from brindle.operators import view as W
-from brindle.plans.base import Registry, sql
+from brindle.plans.base import Registry, drawn_sql, sql
 from brindle.sources import counts as S
 
 R = Registry()
@@ -30,6 +32,41 @@ def nearest(spark: SparkSession, d: str) -> DataFrame:
     return N.nearest(p, p, 10, same=True).select("a", "b", F.round("d2", 6).alias("d2"), F.col("rank").cast("long").alias("rank"))
 
 
+#: Lists of the index whose centers are rows, so that SQL can say it; lists read.
+_LISTS, _PROBES = 12, 5
+_INDEX = dict(
+    centers=f"SELECT list, vec FROM (SELECT vec, row_number() OVER (ORDER BY {drawn_sql('id')}, id) - 1 AS list FROM latent) WHERE list < {_LISTS}",
+    places=f"SELECT a.id, b.list, row_number() OVER (PARTITION BY a.id ORDER BY {_D2}, b.list) AS place FROM latent a, centers b",
+)
+_FOUND = f"SELECT a.id AS a, b.id AS b, {_D2} AS d2 FROM latent a JOIN places p ON p.id = a.id AND p.place <= {_PROBES} JOIN places l ON l.list = p.list AND l.place = 1 JOIN latent b ON b.id = l.id AND b.id <> a.id"
+
+
+@R.add("n2_lists", sql("SELECT a, b, round(d2, 6) AS d2, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d2, b) AS r FROM f) WHERE r <= 10", "latent", **_INDEX, f=_FOUND))
+def in_lists(spark: SparkSession, d: str) -> DataFrame:
+    p = _points(spark, d)
+    return I.search(I.build(p, _LISTS, passes=0), p, 10, _PROBES, same=True).select("a", "b", F.round("d2", 6).alias("d2"), F.col("rank").cast("long").alias("rank"))
+
+
+@R.add(
+    "n2_recall",
+    sql(
+        "SELECT n.probes, round(coalesce((SELECT count(*) FROM t WHERE place <= n.probes), 0) / CAST((SELECT count(*) FROM t) AS DOUBLE), 6) AS recall, round((SELECT count(*) FROM places p JOIN places l ON l.list = p.list AND l.place = 1 WHERE p.place <= n.probes) / CAST((SELECT count(*) * count(*) FROM latent) AS DOUBLE), 6) AS read FROM n",
+        "latent", k=_KNN, **_INDEX, n=f"SELECT unnest(range(1, {_LISTS} + 1)) AS probes", t="SELECT p.place FROM k JOIN places l ON l.id = k.b AND l.place = 1 JOIN places p ON p.id = k.a AND p.list = l.list",
+    ),
+)
+def recall_by_lists(spark: SparkSession, d: str) -> DataFrame:
+    p = _points(spark, d)
+    r = I.recall_by_probes(I.build(p, _LISTS, passes=0), N.nearest(p, p, 10, same=True), p)
+    return r.select(F.col("probes").cast("long").alias("probes"), F.round("recall", 6).alias("recall"), F.round("read", 6).alias("read"))
+
+
+@R.add("n2_approximate")
+def approximate(spark: SparkSession, d: str) -> DataFrame:
+    """Fifteen neighbours of every point by k-means lists, as many as find nine in ten."""
+    p = _points(spark, d)
+    return I.approximate(p, p, 15, same=True)
+
+
 @R.add(
     "n3_by_direction",
     sql(f"SELECT a, b, round(-sqrt(d2), 6) AS score, r AS rank FROM (SELECT a.id AS a, b.id AS b, {_D2} AS d2, row_number() OVER (PARTITION BY a.id ORDER BY {_D2}, b.id) AS r FROM u a JOIN u b ON a.id <> b.id) WHERE r <= 5", "latent", u="SELECT id, [x / sqrt(list_sum([y * y FOR y IN vec])) FOR x IN vec] AS vec FROM latent"),
@@ -79,6 +116,34 @@ def communities(spark: SparkSession, d: str) -> DataFrame:
     return C.communities(N.fuzzy_graph(_points(spark, d), 15))
 
 
+@R.add("c2_refined")
+def refined_communities(spark: SparkSession, d: str) -> DataFrame:
+    return Q.refined(N.fuzzy_graph(_points(spark, d), 15))
+
+
+@R.add("c2_target")
+def targeted_communities(spark: SparkSession, d: str) -> DataFrame:
+    """The resolution whose count is nearest to 12."""
+    return Q.refined(N.fuzzy_graph(_points(spark, d), 15), target=12, passes=2)
+
+
+_MOD = "SELECT a.c AS a, b.c AS b, w FROM (SELECT src, dst, w FROM k UNION ALL SELECT dst, src, w FROM k) JOIN l a ON a.id = src JOIN l b ON b.id = dst"
+
+
+@R.add(
+    "c2_modularity",
+    sql(
+        "SELECT round(sum(inn) / sum(vol) - sum(vol * vol) / (sum(vol) * sum(vol)), 6) AS modularity FROM (SELECT a, sum(w) AS vol, sum(CASE WHEN a = b THEN w ELSE 0 END) AS inn FROM m GROUP BY 1)",
+        "latent", n=_KNN, k="SELECT least(a, b) AS src, greatest(a, b) AS dst, count(*) * 1.0 AS w FROM n GROUP BY 1, 2", l="SELECT id, label AS c FROM latent", m=_MOD,
+    ),
+)
+def modularity(spark: SparkSession, d: str) -> DataFrame:
+    """Of the labels over the graph of ten neighbours, an edge that both ends hold counting twice."""
+    p = _points(spark, d)
+    e = N.nearest(p, p, 10, same=True).groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
+    return Q.modularity(e, p.select(F.col("id").alias("node"), F.col("label").alias("community"))).select(F.round("modularity", 6).alias("modularity"))
+
+
 @R.add("c4_bayesian_merges")
 def bayesian_merges(spark: SparkSession, d: str) -> DataFrame:
     labels = S.customer_cells(spark, d).select("cell_id", F.col("batch").alias("label"))
@@ -193,6 +258,23 @@ def impute(spark: SparkSession, d: str) -> DataFrame:
     return N.impute(p.where("label < 5"), p.where("label >= 5"), S.customer_counts(spark, d)).withColumn("value", F.round("value", 5))
 
 
+@R.add(
+    "h17_indexed",
+    sql(
+        "SELECT a AS cell_id, feature_id, round(sum(w * value), 5) AS value FROM w JOIN counts ON cell_id = b GROUP BY 1, 2",
+        "latent", "counts", q=_IMPUTE["q"], **{n: x.replace("latent", "f" if n == "centers" else "latent") for n, x in (("f", "SELECT id, vec FROM latent WHERE label >= 5"), ("centers", _INDEX["centers"]), ("places", _INDEX["places"]))},
+        found=f"SELECT a.id AS a, b.id AS b, {_D2} AS d2 FROM q a JOIN places p ON p.id = a.id AND p.place <= {_PROBES} JOIN places l ON l.list = p.list AND l.place = 1 JOIN f b ON b.id = l.id",
+        k="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d2, b) AS r FROM found) WHERE r <= 25", w=_IMPUTE["w"],
+    ),
+)
+def impute_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """Imputation on neighbours that the index finds."""
+    p = _points(spark, d)
+    query, reference = p.where("label < 5"), p.where("label >= 5")
+    near = I.search(I.build(reference, _LISTS, passes=0), query, 25, _PROBES)
+    return N.impute(query, reference, S.customer_counts(spark, d), near=near).withColumn("value", F.round("value", 5))
+
+
 _RHO = "SELECT id AS feature_id, dim, x AS r FROM dims"
 _SUMS = "SELECT label, dim, sum(x) AS total, count(*) AS n FROM dims GROUP BY 1, 2"
 _GAP = "SELECT label, dim, total / n - (sum(total) OVER (PARTITION BY dim) - total) / (sum(n) OVER (PARTITION BY dim) - n) AS gap FROM s"
