@@ -1,14 +1,15 @@
 """HTML extraction by composite text density.
 
 For each element: characters, characters in links, tags and link tags under it. Its density is the
-characters per tag, adjusted by the share of links (composite text density); its sum is the sum of its
-children's densities. The element with the largest sum is the core of the text, whatever its name (of equal sums an
-``article`` or ``main``). Of what the ancestors up to the body hold
-beside the core, all text stays (further sections, headings, leads, however short), but for blocks that are
-links for over half of their characters and less dense than every element on the path from the core to
-the body (the body-path threshold), and for bare links between blocks. Menus, headers, footers,
-sidebars, notices, adverts, forms, comments, scripts and styles are cut before densities are computed, by
-element, role, and words of class and id; such a word (of comments excepted) does not cut an element that holds a heading or article, and most of the page's text.
+characters per tag, adjusted by the share of links (composite text density); its sum is the sum of the densities of
+its block children (what is inline is part of its block). Of the elements denser than the body, which is what a path to
+the body has at least, the one with the largest sum is the core of the text, whatever its name (of equal sums an
+``article`` or ``main``); it is the body itself where what the body holds beside it has a larger sum. Beside the path from
+the core to the body a block stays if it is as dense as the least dense element of the path (the body-path threshold) and is a
+text by itself: it holds a heading, or its sum is at least ``SHARE`` of the core's. An ``article`` or ``main`` stays, and a heading beside
+the path, with what lies between it and the path. Other blocks go, and bare links between blocks. Menus, headers,
+footers, sidebars, notices, adverts, forms, comments, scripts and styles are cut before densities are computed, by
+element, role, and words of class and id; a form or such a word does not cut an element that holds a heading or article, and most of the page's text.
 Pages are parsed in linear time, however deep.
 
 Defined results: null, empty and text-free pages give an empty text; unclosed elements end where
@@ -40,7 +41,7 @@ RAW = frozenset("script style textarea title noscript iframe template xmp noembe
 CUT = frozenset("nav header footer aside form script style button select option textarea input label fieldset noscript iframe template head title object svg math canvas audio video dialog menu xmp noembed noframes".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
-CUT_WORDS = frozenset(
+CUT_WORDS = COMMENTS | frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation topnav breadcrumb breadcrumbs masthead footer cookie cookies consent gdpr notice notices "
     "alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets toolbar pagination pager copyright disclaimer".split()
 )
@@ -60,6 +61,8 @@ _CLOSES = {
 }
 _SCOPE = frozenset(["table", "td", "th", "button", "caption", "object", "html"])
 _HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+#: Share of the core's density sum from which a block beside its path is a text by itself.
+SHARE = 0.25
 
 
 class Dom:
@@ -132,7 +135,7 @@ class Dom:
     def cut(self, texts: list[str]) -> list[bool]:
         """Whether each element is, or lies in, what is no main text; ``texts`` are those of ``parts``.
 
-        A class, id or role word that isn't one of ``COMMENTS`` doesn't cut an element that holds a heading (or article) and most of the page's text.
+        A form, and a class, id or role word, doesn't cut an element that holds a heading (or article) and most of the page's text.
         """
         n = len(self.tag)
         heads, whole, menus = [False] * n, [False] * n, [False] * n  # a heading inside; that or an article; a menu right below
@@ -141,12 +144,13 @@ class Dom:
             heads[p] |= heads[i] or self.tag[i] in _HEADINGS
             whole[p] |= whole[i] or heads[p] or self.tag[i] in ("article", "main")
             menus[p] |= self.tag[i] == "nav"
-        hard = [False] * n
+        hard, form = [False] * n, [False] * n
         for i in range(1, n):
             p, tag = self.parent[i], self.tag[i]
             # a header below the body's level that holds a heading, and no menu beside it, is the head of a text
             head = tag == "header" and heads[i] and not menus[i] and not menus[p] and self.tag[p] not in ("body", "html", "#root")
-            hard[i] = hard[p] or tag in CUT and not head
+            hard[i] = hard[p] or tag in CUT and tag != "form" and not head
+            form[i] = tag == "form"
         chars = [0] * n
         for (node, _), text in zip(self.parts, texts, strict=True):
             if not hard[node]:
@@ -155,12 +159,13 @@ class Dom:
             chars[self.parent[i]] += chars[i]
         out = [False] * n
         for i in range(1, n):
-            out[i] = hard[i] or out[self.parent[i]]
+            most = whole[i] and 2 * chars[i] > chars[0]
+            out[i] = hard[i] or out[self.parent[i]] or form[i] and not most
             if not out[i] and self.attrs[i] and self.tag[i] not in ("html", "body", "article", "main"):
                 for m in _named.finditer(self.attrs[i]):
                     value = (m[2] or m[3] or m[4] or "").lower()
                     found = [value] if m[1].lower() == "role" else _words.findall(value)
-                    if not COMMENTS.isdisjoint(found) or not (whole[i] and 2 * chars[i] > chars[0]) and not (CUT_ROLES if m[1].lower() == "role" else CUT_WORDS).isdisjoint(found):
+                    if not most and not (CUT_ROLES if m[1].lower() == "role" else CUT_WORDS).isdisjoint(found):
                         out[i] = True
                         break
         return out
@@ -200,18 +205,32 @@ def densities(dom: Dom, out: list[bool], texts: list[str]) -> tuple[list[float],
 
 
 def main_nodes(dom: Dom, out: list[bool], texts: list[str]) -> tuple[int, list[bool], list[bool]]:
-    """The element that holds the main text, the elements under it that are no part of it, and those whose text stands loose between blocks."""
+    """The element under which the main text lies, the elements under it that are no part of it, and those whose text stands loose between blocks."""
     n = len(dom.tag)
     density, total, chars, linked = densities(dom, out, texts)
+    for i in range(1, n):  # an inline child is part of its block
+        if dom.tag[i] not in BLOCK:
+            total[dom.parent[i]] -= density[i]
+    body = next((i for i in range(n) if dom.tag[i] == "body"), 0)
     # of equal sums an article or main, then the first
-    core = max(range(n), key=lambda i: (total[i], dom.tag[i] in ("article", "main"), -i))
+    worth = lambda i: (total[i], dom.tag[i] in ("article", "main"), -i)
+    core = max((i for i in range(n) if total[i] > 1e-9 and density[i] > density[body] and dom.tag[i] not in ("body", "html", "#root")), key=worth, default=body)
     path = [core]
     while dom.parent[path[-1]] >= 0:
         path.append(dom.parent[path[-1]])
-    body = next((k for k, i in enumerate(path) if dom.tag[i] == "body"), len(path) - 1)
-    least = min(density[i] for i in path[: body + 1])
-    on, above = set(path), set(path[1 : body + 1])
+    if core != body and body in path and total[body] - density[path[path.index(body) - 1]] > total[core]:
+        core, path = body, path[path.index(body) :]
+    path = path[: path.index(body) + 1] if body in path else path
+    least = min(density[i] for i in path)
+    on, above = set(path), set(path[1:] if core != body else path)
+    heads = [dom.tag[i] in _HEADINGS and not out[i] for i in range(n)]
+    for i in range(n - 1, 0, -1):
+        heads[dom.parent[i]] |= heads[i]
     left, loose = [False] * n, [i in above for i in range(n)]
+    first: dict[int, int] = {}  # a path element's child on the path
+    for i in path[:-1]:
+        first[dom.parent[i]] = i
+    headed: set[int] = set()  # path elements of which a heading has been met before the path
     for i in range(1, n):
         p = dom.parent[i]
         if i in on:
@@ -220,9 +239,17 @@ def main_nodes(dom: Dom, out: list[bool], texts: list[str]) -> tuple[int, list[b
             left[i], loose[i] = left[p], loose[p]
         elif dom.tag[i] not in BLOCK:
             loose[i] = True  # judged with the text that it stands in
+        elif 2 * linked[i] > chars[i] and (density[i] < least or density[i] == 0):
+            left[i] = True
+        elif p not in first:
+            left[i] = False  # the body is the core
+        elif dom.tag[i] in _HEADINGS:
+            headed.add(p)
         else:
-            left[i] = 2 * linked[i] > chars[i] and (density[i] < least or density[i] == 0)
-    return path[body], left, loose
+            between = p in headed and i < first[p]
+            own = heads[i] or total[i] >= SHARE * total[core]
+            left[i] = not (between or dom.tag[i] in ("article", "main") or own and density[i] >= least)
+    return path[-1], left, loose
 
 
 def extract(page: str | None) -> str:
