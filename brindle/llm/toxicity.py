@@ -20,7 +20,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,14 +93,17 @@ def counted(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarra
     return row, found, n
 
 
+ROWS_OUT = "doc_id long, toxic int, terms binary, n binary"
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = arrow_schema("doc_id long, toxic int, terms array<int>, n array<int>")
+    """Terms and counts as 32-bit integers, one after the other in a binary column each."""
+    schema = arrow_schema(ROWS_OUT)
     for batch in chunks(batches, limit=TEXT):
         row, term, n = counted(batch.column("text"))
-        offs = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int32())] + [pa.ListArray.from_arrays(pa.array(offs), pa.array(x.astype(np.int32))).cast(f.type) for x, f in ((term, schema.field(2)), (n, schema.field(3)))], schema=schema
-        )
+        offs = pa.py_buffer((4 * np.searchsorted(row, np.arange(batch.num_rows + 1))).astype(np.int32))
+        packed = [pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, offs, pa.py_buffer(x.astype("<i4"))]) for x in (term, n)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int32()), *packed], schema=schema)
 
 
 class Machine:
@@ -123,8 +125,9 @@ class _Batch:
     """Some rows of the sample: their terms, each once, and the entries both by row and by term."""
 
     def __init__(self, offsets: np.ndarray, term: np.ndarray, x: np.ndarray, y: np.ndarray):
-        self.terms, at = np.unique(term, return_inverse=True)
-        self.at, self.x, self.y = at.astype(np.int32), x, y
+        """``term`` and ``x`` are kept, not copied: places among the batch's terms take the terms' memory."""
+        self.terms, term[:] = np.unique(term, return_inverse=True)
+        self.at, self.x, self.y = term, x, y
         self.sizes = np.diff(offsets)
         self.rows = np.flatnonzero(self.sizes)
         self.starts = offsets[self.rows]
@@ -147,7 +150,10 @@ def scales(many: int, toxic: np.ndarray, term: np.ndarray, y: np.ndarray, rare:
     By how surely the term alone tells the classes apart (log-odds against their error), or by the rows that
     hold it, whichever is more: else the rows of the sample are known by their many rare words.
     """
-    n, pos = np.bincount(term, minlength=many), np.bincount(term, weights=toxic, minlength=many)
+    n, pos = np.zeros(many, np.int64), np.zeros(many)
+    for k in range(0, len(term), 1 << 19):  # counting widens what it counts
+        n += np.bincount(term[k : k + (1 << 19)], minlength=many)
+        pos += np.bincount(term[k : k + (1 << 19)], weights=toxic[k : k + (1 << 19)], minlength=many)
     a, b = pos + 0.5, n - pos + 0.5
     c, d = y.sum() + 1 - a, len(y) - y.sum() + 1 - b
     z = (np.log(a * d / (b * c)) ** 2 / (1 / a + 1 / b + 1 / c + 1 / d) / sure**2) ** 2
@@ -173,11 +179,19 @@ def train(known: np.ndarray, x: np.ndarray | list[np.ndarray], y: np.ndarray, or
     bias, mb, sb = np.float32(base), 0.0, 0.0
     batches = []
     mixed = rng.permutation(len(y)) if order is None else order[rng.permutation(len(y))]
-    for part in np.array_split(mixed, max(1, -(-len(y) // rows))):
+    # entries in the order of the batches, each batch a part of one array
+    parts = np.array_split(mixed, max(1, -(-len(y) // rows)))
+    inner, cuts = np.empty(len(term), np.int32), [0]
+    for part in parts:
         n = offsets[part + 1] - offsets[part]
         ends = np.append(0, np.cumsum(n))
-        inner = np.repeat(offsets[part] - ends[:-1], n) + np.arange(ends[-1])
-        batches.append(_Batch(ends, term[inner], value[inner].astype(np.float32), y[part]))
+        inner[cuts[-1] : cuts[-1] + ends[-1]] = np.repeat(offsets[part] - ends[:-1], n) + np.arange(ends[-1])
+        cuts.append(cuts[-1] + int(ends[-1]))
+    term = term.astype(np.int32, copy=False)[inner]
+    value = value.astype(np.float32, copy=False)[inner]
+    del inner
+    for part, a, b in zip(parts, cuts, cuts[1:], strict=False):
+        batches.append(_Batch(np.append(0, np.cumsum(offsets[part + 1] - offsets[part])), term[a:b], value[a:b], y[part]))
     del term, value
     # a term that few batches hold is held back by as much a pass as one of all batches
     times = np.zeros(len(known), np.int64)
@@ -215,18 +229,30 @@ def fit(labelled: DataFrame) -> Machine:
     if not n or pos in (0, n):
         share = (pos or 0) / n if n else 0.0
         return Machine(none, 30.0 if share == 1 else -30.0, np.zeros(0), np.zeros((0, RANK)))
-    once = rows.mapInArrow(_rows, "doc_id long, toxic int, terms array<int>, n array<int>").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct("terms", "n")).alias("x"))
-    got = once.select("doc_id", "toxic", "x.terms", "x.n").toArrow()
-    order = pc.sort_indices(got.select(["doc_id"]), [("doc_id", "ascending")]).to_numpy()
-    y = got.column("toxic").to_numpy().astype(np.float32)
-    value = np.log2(1.0 + pc.list_flatten(got.column("n")).to_numpy().astype(np.float32))
-    got = got.drop_columns("n")
-    offsets = np.append(0, np.cumsum(pc.list_value_length(got.column("terms")).to_numpy())).astype(np.int64)
-    term = pc.list_flatten(got.column("terms")).to_numpy()
-    del got
+    once = rows.mapInArrow(_rows, ROWS_OUT).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct("terms", "n")).alias("x"))
+    ids, y, sizes, used = [], [], [], 0
+    term, value = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.float32)
+    # a partition at a time: neither the JVM nor Python holds the sample twice
+    for r in once.select("doc_id", "toxic", "x.terms", "x.n").toLocalIterator():
+        ids.append(r[0])
+        y.append(r[1])
+        sizes.append(len(r[2]) // 4)
+        if used + sizes[-1] > len(term):
+            more = max(len(term) // 8, sizes[-1])
+            term.resize(len(term) + more, refcheck=False)
+            value.resize(len(value) + more, refcheck=False)
+        term[used : used + sizes[-1]] = np.frombuffer(r[2], "<i4")
+        value[used : used + sizes[-1]] = np.log2(1.0 + np.frombuffer(r[3], "<i4").astype(np.float32))
+        used += sizes[-1]
+    order = np.argsort(np.array(ids, np.int64), kind="stable")
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int64)
+    term.resize(used, refcheck=False)
+    value.resize(used, refcheck=False)
+    y = np.array(y, np.float32)
     held = np.zeros(BUCKETS, bool)
     held[term] = True
-    x = [offsets, (np.cumsum(held, dtype=np.int32) - 1)[term], value]
+    np.take(np.cumsum(held, dtype=np.int32) - 1, term, out=term, mode="clip")
+    x = [offsets, term, value]
     del term, value
     return train(np.flatnonzero(held).astype(np.int32), x, y, order)
 
