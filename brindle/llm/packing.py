@@ -1,11 +1,14 @@
 """Cost-balanced packing: texts become sequences of at most ``SEQUENCE`` tokens of about equal cost.
 
-A piece of n tokens costs ``LINEAR * n + QUADRATIC * n * n`` (projections, and attention within the piece).
-A text longer than a sequence is cut evenly into pieces of a quarter sequence at most, others stay whole. Pieces are
+A sequence costs ``LINEAR`` for each of its places, padded or not (projections), and ``QUADRATIC * n * n`` for each piece of n tokens in
+it (attention within the piece): the linear part is the same for all, the quadratic part is what is balanced.
+A text longer than half a sequence is cut evenly into as few pieces of half a sequence at most, as a longer piece by itself would cost
+more than other sequences can; others stay whole. Pieces are
 assigned in descending length, each to the sequence of lowest cost of all that have room for it. One that no
 sequence has room for is halved and tried again, and at ``LEAST`` tokens poured into what room is left. A block of
-about ``BLOCK`` tokens has as many full sequences as its tokens fill, and the rest in sequences of
-powers of two, so every sequence ends full and none is padded. Blocks are packed as they stream by, in the
+about ``BLOCK`` tokens has ``SLACK`` more sequences than its tokens fill, so that cost and not room decides, and is padded by as
+much; one of under ``FEW`` sequences has as many full ones as its tokens fill, and the rest in sequences of
+powers of two, so that each ends full. Blocks are packed as they stream by, in the
 task that reads them: memory is bounded by a block and nothing is shuffled.
 
 Defined results: null and empty texts are their end id alone; repeated rows and ids are texts of
@@ -16,6 +19,7 @@ further columns are ignored. A sequence id holds the task's partition and a coun
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -31,25 +35,32 @@ SEQUENCE, END_ID = 2048, 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Tokens that a block holds at least before it is packed; tokens of a piece that isn't halved.
 BLOCK, LEAST = 2 << 20, 64
+#: Share of sequences beyond those that the tokens fill, and sequences from which a block has them.
+SLACK, FEW = 0.01, 100
 #: Bytes of text that are encoded at once.
 TEXT = 1 << 20
 
 
 def cost(n: int | np.ndarray) -> float | np.ndarray:
-    return LINEAR * n + QUADRATIC * n * n
+    """What a piece adds to its sequence, whose places cost ``LINEAR`` each anyway."""
+    return QUADRATIC * n * n
 
 
 def assign(sizes: np.ndarray, room: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
     """(text, start, length, sequence, offset) of all pieces of the texts of these sizes."""
     total = int(sizes.sum())
     full, rest = total // room, total % room
-    rooms = [room] * full + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
+    if full >= FEW:
+        full = math.ceil(total * (1 + SLACK) / room)
+        rooms = [room] * full
+    else:
+        rooms = [room] * full + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
     left = np.array(rooms)
     # the short ones come when the full ones have no room
     costs = np.where(np.arange(len(rooms)) < full, 0.0, cost(room) * (room + 1))
     pieces = []
     for text, size in enumerate(sizes.tolist()):
-        n = 1 if size <= room else -(-size // (room // 4))
+        n = max(1, -(-size // (room // 2)))
         pieces += [(size * i // n - size * (i + 1) // n, text, size * i // n) for i in range(n)]
     heapq.heapify(pieces)
     found = []
