@@ -82,3 +82,17 @@ def entropy(p: Column | str) -> Column:
 def argmax(v: Column | str) -> Column:
     """Place of the largest value, the first of equals, from 0."""
     return F.array_position(_c(v), F.array_max(_c(v))).cast("int") - 1
+
+
+def sparsemax(v: Column | str) -> Column:
+    """The nearest point of the simplex: the vector less a threshold, floored at 0, so that small entries are exactly 0. Null for an empty vector."""
+    v = _c(v)
+    none = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(0.0).alias("over"), F.lit(1).alias("k"))
+
+    def step(s: Column, x: Column) -> Column:
+        total, n = s["sum"] + x, s["n"] + 1
+        more = 1 + n * x > total
+        return F.struct(total.alias("sum"), n.alias("n"), F.when(more, total).otherwise(s["over"]).alias("over"), F.when(more, n).otherwise(s["k"]).alias("k"))
+
+    cut = F.aggregate(F.reverse(F.array_sort(v)), none, step, lambda s: (s["over"] - 1) / s["k"])
+    return F.when(F.size(v) > 0, F.transform(v, lambda x: F.greatest(x - cut, F.lit(0.0))))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators import aggregate, collapse, inference, kinetics, models, typed
+from brindle.functions import vectors as V
+from brindle.operators import aggregate, bilinear, collapse, decoders, factored, flow, inference, kinetics, laplace, models, typed
 from brindle.plans.base import Registry, drawn_sql, sql
 from brindle.sources import counts as S
 
@@ -180,6 +181,25 @@ def grid_likelihood(spark: SparkSession, d: str) -> DataFrame:
     return kinetics.grid_likelihood(kinetics.split_tracks(_two_tracks(spark, d)), g).withColumn("ll", F.round("ll", 3))
 
 
+def _positions(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers at positions by their nation."""
+    return S.table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell_id"), F.col("s_nationkey").cast("int").alias("pos"), F.lit(1.0).alias("q"))
+
+
+@R.add("x12_feature_rates")
+def feature_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of every gene on a path that rises evenly and one that turns."""
+    at = _positions(spark, d)
+    reads, exposure = laplace.position_reads(kinetics.split_tracks(_two_tracks(spark, d)), at)
+    paths = at.select("pos").distinct().select("pos", (F.col("pos") / 5.0).alias("t"), F.array(F.col("pos") / 24.0 - 0.5, F.sin(F.col("pos") / 4.0)).alias("z"))
+    return laplace.feature_rates(reads, exposure, paths)
+
+
+@R.add("x12_position_reads", sql("SELECT gene, CAST(s_nationkey AS INTEGER) AS pos, CAST(sum(u) AS DOUBLE) AS u, CAST(sum(s) AS DOUBLE) AS s FROM t JOIN supplier ON s_suppkey = cell_id GROUP BY 1, 2", t=_TR))
+def position_reads(spark: SparkSession, d: str) -> DataFrame:
+    return laplace.position_reads(kinetics.split_tracks(_two_tracks(spark, d)), _positions(spark, d))[0]
+
+
 @R.add("x13_time_readout", sql("SELECT cell_id, round(sum(e * t) / sum(e), 5) AS tau FROM (SELECT cell_id, pos, exp(ll - max(ll) OVER (PARTITION BY cell_id)) AS e FROM ll) JOIN po USING (pos) GROUP BY 1", t=_TR, **_GRID))
 def time_readout(spark: SparkSession, d: str) -> DataFrame:
     g, pos = _grid(spark, d)
@@ -244,3 +264,114 @@ def hidden_likelihood(spark: SparkSession, d: str) -> DataFrame:
 @R.add("d1_archetypes")
 def archetypes(spark: SparkSession, d: str) -> DataFrame:
     return inference.archetypes(S.latent(spark, d).withColumnRenamed("cell_id", "id"), S.customer_counts(spark, d), (4, 8))
+
+
+@R.add("m3_count_topics")
+def count_topics(spark: SparkSession, d: str) -> DataFrame:
+    """Topic shares of customers under a negative-binomial decoder."""
+    c = S.customer_counts(spark, d)
+    return decoders.transform(decoders.fit(c, k=3, hidden=8, epochs=2, steps=2)[0], c)
+
+
+@R.add("m3_mixture_dispersions")
+def mixture_dispersions(spark: SparkSession, d: str) -> DataFrame:
+    return decoders.dispersions(decoders.fit(S.customer_counts(spark, d), k=3, hidden=8, decoder="nbmixture", epochs=1, steps=2)[0], spark)
+
+
+@R.add("m7_bilinear")
+def bilinear_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors and biases of parts, with their modules."""
+    sums, sizes = collapse.pseudobulk(S.customer_counts(spark, d), S.customer_cells(spark, d).select("cell_id", F.col("batch").alias("pb")))
+    return bilinear.fit(sums, bilinear.modules_of(sums, sizes), dim=8, rounds=2).features
+
+
+#: A table of two dimensions for parts, for their brands as modules, and a latent for each region.
+_DOT = "a.x * b.x + a.y * b.y"
+_TABLES = dict(
+    f="SELECT p_partkey AS feature_id, CAST(substr(p_brand, 7) AS INTEGER) AS module, (p_partkey % 7 - 3) / 5.0 AS x, (p_partkey % 5 - 2) / 5.0 AS y, (p_partkey % 3) / 10.0 AS b FROM part",
+    m="SELECT DISTINCT CAST(substr(p_brand, 7) AS INTEGER) AS module FROM part", l="SELECT r_regionkey AS id, r_regionkey / 4.0 AS x, 0.5 - r_regionkey / 8.0 AS y FROM region",
+    e="SELECT a.id, module, feature_id, exp(a.x * f.x + a.y * f.y + f.b) AS e FROM l a, f", t="SELECT a.id, module, exp(a.x * (module % 4 - 1) / 3.0 + a.y * (module % 3 - 1) / 3.0) AS e FROM l a, m",
+)
+
+
+@R.add("m7_probabilities", sql("SELECT e.id, e.feature_id, e.module, round(t.p, 9) AS p_module, round(e.e / sum(e.e) OVER (PARTITION BY e.id, e.module), 9) AS p_member FROM e JOIN (SELECT id, module, e / sum(e) OVER (PARTITION BY id) AS p FROM t) t USING (id, module)", **_TABLES))
+def probabilities(spark: SparkSession, d: str) -> DataFrame:
+    """Both levels of the softmax for every part, under a latent a region."""
+    p = S.table(spark, d, "part").select(F.col("p_partkey").alias("feature_id"), F.substring("p_brand", 7, 10).cast("int").alias("module"))
+    key, m, r = F.col("feature_id"), F.col("module"), F.col("r_regionkey")
+    features = p.select("feature_id", "module", F.array((key % 7 - 3) / 5.0, (key % 5 - 2) / 5.0).alias("rho"), ((key % 3) / 10.0).alias("b"))
+    modules = p.select("module").distinct().select("module", F.array((m % 4 - 1) / 3.0, (m % 3 - 1) / 3.0).alias("rho"), F.lit(0.0).alias("b"))
+    latents = S.table(spark, d, "region").select(r.alias("id"), F.array(r / 4.0, 0.5 - r / 8.0).alias("vec"))
+    return bilinear.probabilities(latents, features, modules).withColumn("p_module", F.round("p_module", 9)).withColumn("p_member", F.round("p_member", 9))
+
+
+#: Parts whose number is a multiple of ten are new to a model that has all but those of a remainder of one.
+_OLD = "SELECT p_partkey AS feature_id FROM part WHERE p_partkey % 10 <> 0"
+_NEW = "SELECT DISTINCT feature_id FROM counts WHERE feature_id % 10 <> 1"
+_STATUS = "SELECT coalesce(o.feature_id, n.feature_id) AS feature_id, CASE WHEN o.feature_id IS NULL THEN 'unseen' WHEN n.feature_id IS NULL THEN 'missing' ELSE 'matched' END AS status FROM o FULL JOIN n ON o.feature_id = n.feature_id"
+
+
+def _unseen(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The new data's counts, its alignment with the model, and its profiles over segments."""
+    counts = S.customer_counts(spark, d).where("feature_id % 10 != 1")
+    aligned = bilinear.alignment(S.part_features(spark, d).where("feature_id % 10 != 0"), counts)
+    return counts, aligned, bilinear.profiles(counts, S.customer_cells(spark, d).select("cell_id", F.col("stratum").alias("label")))
+
+
+@R.add("x38_alignment", sql("SELECT * FROM s", "counts", o=_OLD, n=_NEW, s=_STATUS))
+def feature_alignment(spark: SparkSession, d: str) -> DataFrame:
+    return _unseen(spark, d)[1]
+
+
+@R.add(
+    "h12_borrowed_weights",
+    sql(
+        "SELECT a AS feature_id, b AS lender, round(e / sum(e) OVER (PARTITION BY a), 6) AS w FROM (SELECT *, exp(-(d2 - min(d2) OVER (PARTITION BY a)) / (2 * 0.1 * 0.1)) AS e FROM k)",
+        "counts", "cells", o=_OLD, n=_NEW, s=_STATUS,
+        g="SELECT feature_id, stratum, sum(value) AS x FROM counts JOIN cells USING (cell_id) WHERE feature_id % 10 <> 1 GROUP BY 1, 2",
+        z="SELECT f.feature_id, t.stratum, sqrt(coalesce(x, 0) / total) AS x FROM (SELECT feature_id, CAST(sum(x) AS DOUBLE) AS total FROM g GROUP BY 1) f CROSS JOIN (SELECT DISTINCT stratum FROM cells) t LEFT JOIN g ON g.feature_id = f.feature_id AND g.stratum = t.stratum",
+        v="SELECT feature_id, list(x ORDER BY stratum) AS vec FROM z GROUP BY 1",
+        q="SELECT a.feature_id AS a, b.feature_id AS b, round(list_sum([(y[1] - y[2]) * (y[1] - y[2]) FOR y IN list_zip(a.vec, b.vec)]), 9) AS d2 FROM v a JOIN s sa ON sa.feature_id = a.feature_id AND sa.status = 'unseen' JOIN s sb ON sb.status = 'matched' JOIN v b ON b.feature_id = sb.feature_id",
+        k="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d2, b) AS r FROM q) WHERE r <= 10",
+    ),
+)
+def borrowed_weights(spark: SparkSession, d: str) -> DataFrame:
+    _, aligned, profile = _unseen(spark, d)
+    return bilinear.borrowed_weights(profile, aligned).withColumn("w", F.round("w", 6))
+
+
+_VELOCITY = "SELECT cell_id, gene, (0.8 * u - 0.5 * s) / (1.0 + s) AS v, CAST(substr(gene, 2) AS INTEGER) AS g FROM t"
+
+
+@R.add("x14_map_velocity", sql("SELECT cell_id, round(sum(v * (g % 7 - 3) / 10.0), 6) AS vx, round(sum(v * (g % 5 - 2) / 10.0), 6) AS vy FROM v GROUP BY 1", t=_TR, v=_VELOCITY))
+def map_velocity(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers' velocities on a linear map of the genes, by the chain rule."""
+    t = kinetics.split_tracks(_two_tracks(spark, d)).select("cell_id", "gene", F.col("u").cast("double").alias("u"), F.col("s").cast("double").alias("s"), F.lit(0.8).alias("beta"), F.lit(0.5).alias("gamma"))
+    g = F.substring("gene", 2, 10).cast("int")
+    v = flow.through_map(flow.log_velocity(t), t.select("gene").distinct().select("gene", ((g % 7 - 3) / 10.0).alias("x"), ((g % 5 - 2) / 10.0).alias("y")))
+    return v.select("cell_id", F.round("vx", 6).alias("vx"), F.round("vy", 6).alias("vy"))
+
+
+@R.add("x21_memberships", sql("SELECT id, dim, round(greatest(x - (c - 1) / k, 0), 6) AS p FROM s JOIN (SELECT id, max(j) AS k, arg_max(c, j) AS c FROM (SELECT id, row_number() OVER w AS j, sum(x) OVER (w ROWS UNBOUNDED PRECEDING) AS c, x FROM s WINDOW w AS (PARTITION BY id ORDER BY x DESC, dim)) WHERE 1 + j * x > c GROUP BY 1) USING (id)", "latent", "dims", s="SELECT id, dim, 3 * x AS x FROM dims"))
+def memberships(spark: SparkSession, d: str) -> DataFrame:
+    """Points of the simplex nearest to three times each vector: most entries are exactly 0."""
+    p = S.latent(spark, d).select(F.col("cell_id").alias("id"), V.sparsemax(F.transform("vec", lambda x: 3 * x)).alias("p"))
+    return p.select("id", F.posexplode("p").alias("dim", "p")).select("id", F.col("dim").cast("long").alias("dim"), F.round("p", 6).alias("p"))
+
+
+@R.add("x21_factored_weights")
+def factored_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Machine weights of parts over brands as modules."""
+    import numpy as np
+
+    x, _, columns = models.dense(_pb(spark, d), "pb", "feature_id", "total")
+    brand = {r["feature_id"]: r["brand"] for r in S.part_features(spark, d).select("feature_id", "brand").collect()}
+    _, module = np.unique([brand[c] for c in columns], return_inverse=True)
+    f = factored.Factored(np.zeros(len(columns), int), 4, 6, modules=module)
+    factored.fit(x.astype(float), f, epochs=20)
+    return spark.createDataFrame([(int(c), u, float(v)) for c, row in zip(columns, f.weights(), strict=True) for u, v in enumerate(row)], "feature_id long, unit int, w double")
+
+
+@R.add("x16_modality_blocks", "SELECT p_partkey AS feature_id, p_name AS base, p_brand AS modality, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS block FROM part")
+def modality_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return factored.modality_blocks(S.part_features(spark, d).select("feature_id", F.concat_ws("/", "name", "brand").alias("name")))

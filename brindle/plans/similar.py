@@ -9,11 +9,13 @@ from brindle.functions import vectors as V
 from brindle.operators import aggregate as A
 from brindle.operators import cluster as C
 from brindle.operators import communities as Q
+from brindle.operators import flow as O
 from brindle.operators import index as I
 from brindle.operators import neighbours as N
 from brindle.operators import score as P
+from brindle.operators import trajectory as T
 from brindle.operators import view as W
-from brindle.plans.base import Registry, drawn_sql, sql
+from brindle.plans.base import CTES, Registry, drawn_sql, sql
 from brindle.sources import counts as S
 
 R = Registry()
@@ -144,6 +146,63 @@ def modularity(spark: SparkSession, d: str) -> DataFrame:
     return Q.modularity(e, p.select(F.col("id").alias("node"), F.col("label").alias("community"))).select(F.round("modularity", 6).alias("modularity"))
 
 
+#: Passes that SQL relaxes distances for: over the hops of any shortest way in these graphs.
+_HOPS = 14
+
+
+def _ways_sql(name: str, start: str) -> str:
+    """Expressions ``name`` (node, dist): distances from the nodes of ``start`` over the edges e."""
+    out = [f"{name}0 AS MATERIALIZED (SELECT node, 0.0::DOUBLE AS dist FROM ({start}))"]
+    for i in range(1, _HOPS + 1):
+        out.append(f"{name}{i} AS MATERIALIZED (SELECT node, min(dist) AS dist FROM (SELECT node, dist FROM {name}{i - 1} UNION ALL SELECT dst, round(dist + w, 9) FROM {name}{i - 1} JOIN e ON src = node) GROUP BY 1)")
+    return ", ".join([*out, f"{name} AS MATERIALIZED (SELECT * FROM {name}{_HOPS})"])
+
+
+_EDGES = f"latent AS MATERIALIZED ({CTES['latent']}), k AS MATERIALIZED ({_KNN}), e AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT a AS src, b AS dst, round(sqrt(d2), 9) AS w FROM k UNION ALL SELECT b, a, round(sqrt(d2), 9) FROM k))"
+_FARTHEST = "SELECT node FROM ({}) ORDER BY dist DESC, node LIMIT 1"
+_TREE = ", ".join([
+    _EDGES, _ways_sql("r", "SELECT id AS node FROM latent WHERE label = 0"), _ways_sql("a", _FARTHEST.format("SELECT * FROM r")),
+    _ways_sql("b", _FARTHEST.format("SELECT node, min(dist) AS dist FROM (SELECT * FROM r UNION ALL SELECT * FROM a) GROUP BY 1")),
+    "tips AS MATERIALIZED (SELECT 0 AS lineage, node AS tip FROM a WHERE dist = 0 UNION ALL SELECT 1, node FROM b WHERE dist = 0)",
+    "far AS (SELECT lineage, dist AS far FROM tips JOIN r ON node = tip)",
+    "way AS MATERIALIZED (SELECT x.node, x.lineage, round(0.5 * (far + r.dist - x.dist), 9) AS along FROM (SELECT 0 AS lineage, * FROM a UNION ALL SELECT 1, * FROM b) x JOIN far USING (lineage) JOIN r ON r.node = x.node)",
+])
+
+
+def _lines(spark: SparkSession, d: str) -> tuple[list[int], DataFrame]:
+    """Two tips seen from the points of label 0, and how far each point runs along the way to either."""
+    p = _points(spark, d)
+    edges = T.neighbour_edges(p)
+    root = T.geodesics(edges, p.where("label = 0").select(F.lit(0).alias("source"), F.col("id").alias("node"))).select("node", "dist")
+    tips, ways = T.ends(edges, root, 2)
+    return tips, T.shared_way(root, ways, tips)
+
+
+@R.add("x5_geodesics", "WITH " + _EDGES + ", " + _ways_sql("r", "SELECT id AS node FROM latent WHERE label = 0") + " SELECT node, round(dist, 6) AS dist FROM r")
+def geodesics(spark: SparkSession, d: str) -> DataFrame:
+    p = _points(spark, d)
+    return T.geodesics(T.neighbour_edges(p), p.where("label = 0").select(F.lit(0).alias("source"), F.col("id").alias("node"))).select("node", F.round("dist", 6).alias("dist"))
+
+
+@R.add("x5_shared_way", "WITH " + _TREE + " SELECT node, lineage, round(along, 6) AS along FROM way")
+def shared_way(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d)[1].withColumn("along", F.round("along", 6))
+
+
+@R.add(
+    "x5_places",
+    "WITH " + _TREE + """, own AS MATERIALIZED (SELECT node, arg_max(lineage, along - lineage * 1e-12) AS own, max(along) AS progress FROM way GROUP BY 1),
+fork AS (SELECT CASE WHEN lineage = 0 THEN 1e300 ELSE along END AS fork, lineage FROM way WHERE node = (SELECT tip FROM tips WHERE lineage = 0)),
+spread AS (SELECT node, own, progress, f.lineage, f.lineage <> own AND progress <= least(f.fork, g.fork) AS shared FROM own JOIN fork g ON g.lineage = own CROSS JOIN fork f),
+lying AS (SELECT *, bool_or(shared) OVER (PARTITION BY node) AS both_ FROM spread WHERE lineage = own OR shared),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lineage, both_ ORDER BY progress, node) AS i, count(*) OVER (PARTITION BY lineage, both_) AS n, count(*) FILTER (both_) OVER (PARTITION BY lineage) / CAST((SELECT count(*) FROM own) AS DOUBLE) AS trunk FROM lying)
+SELECT node, lineage, round(CASE WHEN both_ THEN trunk * (i - 1) / n ELSE trunk + (1 - trunk) * i / n END, 6) AS t FROM placed""",
+)
+def places(spark: SparkSession, d: str) -> DataFrame:
+    tips, along = _lines(spark, d)
+    return T.places(along, tips).withColumn("t", F.round("t", 6))
+
+
 @R.add("c4_bayesian_merges")
 def bayesian_merges(spark: SparkSession, d: str) -> DataFrame:
     labels = S.customer_cells(spark, d).select("cell_id", F.col("batch").alias("label"))
@@ -420,6 +479,26 @@ def grid_arrows(spark: SparkSession, d: str) -> DataFrame:
     return g.select("gx", "gy", "n", F.round("vx", 6).alias("vx"), F.round("vy", 6).alias("vy"))
 
 
+_ONE = "SELECT k.a AS id, rank, (b.vec[1] - a.vec[1]) AS dx, (b.vec[2] - a.vec[2]) AS dy, sqrt((b.vec[1] - a.vec[1]) ** 2 + (b.vec[2] - a.vec[2]) ** 2) AS len FROM k JOIN latent a ON a.id = k.a JOIN latent b ON b.id = k.b"
+
+
+@R.add("l5_neighbour_velocity", sql("SELECT id, round(sum((11 - rank) / 55.0 * dx / len) - avg(dx / len), 6) AS vx, round(sum((11 - rank) / 55.0 * dy / len) - avg(dy / len), 6) AS vy FROM m WHERE len > 0 GROUP BY 1", "latent", k=_KNN, m=_ONE))
+def neighbour_velocity(spark: SparkSession, d: str) -> DataFrame:
+    """Directions to ten neighbours, the nearer the more, on a map of two dimensions."""
+    p = _points(spark, d)
+    near = N.nearest(p, p, 10, same=True).select("a", "b", ((11 - F.col("rank")) / 55.0).alias("w"))
+    v = O.by_neighbours(near, p.select("id", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y")))
+    return v.select("id", F.round("vx", 6).alias("vx"), F.round("vy", 6).alias("vy"))
+
+
+@R.add("l5_streamlines")
+def streamlines(spark: SparkSession, d: str) -> DataFrame:
+    """A line through the middle of every square."""
+    g = W.grid_arrows(_map(spark, d), 0.1, 3)
+    seeds = g.select((F.col("gx") * 100_000 + F.col("gy")).alias("id"), ((F.col("gx") + 0.5) * 0.1).alias("x"), ((F.col("gy") + 0.5) * 0.1).alias("y"))
+    return O.streamlines(g, seeds, 0.1)
+
+
 @R.add("h19_gram", sql("SELECT CAST(a.dim AS INTEGER) AS i, CAST(b.dim AS INTEGER) AS j, round(sum(a.x * b.x), 5) AS g FROM dims a JOIN dims b ON a.id = b.id AND a.dim <= b.dim GROUP BY 1, 2", "latent", "dims"))
 def gram(spark: SparkSession, d: str) -> DataFrame:
     return W.gram(_points(spark, d)).select("i", "j", F.round("g", 5).alias("g"))
