@@ -96,9 +96,10 @@ def fold_small(labels: DataFrame, points: DataFrame, least: int) -> DataFrame:
 
 def upper_median(values: DataFrame, value: str) -> DataFrame:
     """One row: the element at place n / 2 of the sorted values."""
-    n = values.where(F.col(value).isNotNull())
-    ranked = n.select(value).withColumn("r", F.row_number().over(Window.orderBy(value)) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
-    return ranked.where(F.col("r") == F.floor(F.col("n") / 2)).select(F.col(value).alias("median"))
+    from brindle.operators.rank import placed
+
+    ranked = placed(values.select(value), value)
+    return ranked.where(F.col("__place") == F.floor(F.col("__n") / 2)).select(F.col(value).alias("median"))
 
 
 def drop_low_baseline(features: DataFrame, value: str) -> DataFrame:
@@ -111,10 +112,16 @@ def winsorize(points: DataFrame, width: float) -> DataFrame:
 
     A dimension of under 8 points, or of MAD 1e-12 or less, stays.
     """
-    mid = lambda v: F.element_at(F.sort_array(F.collect_list(v)), (F.floor(F.count(v) / 2) + 1).cast("int"))
-    med = points.groupBy("dim").agg(mid(F.col("value")).alias("med"), F.count("value").alias("n"))
+
+    def middle(rows: DataFrame, name: str) -> DataFrame:
+        # sorted where they can spill; no row holds a dimension
+        one = Window.partitionBy("dim")
+        r = rows.withColumn("r", F.row_number().over(one.orderBy("v"))).withColumn("n", F.count("v").over(one))
+        return r.where(F.col("r") == F.floor(F.col("n") / 2) + 1).select("dim", F.col("v").alias(name), "n")
+
+    med = middle(points.where("value is not null").select("dim", F.col("value").alias("v")), "med")
     with_med = points.join(med, "dim")
-    mad = with_med.groupBy("dim").agg(mid(F.abs(F.col("value") - F.col("med"))).alias("mad"))
+    mad = middle(with_med.where("value is not null").select("dim", F.abs(F.col("value") - F.col("med")).alias("v")), "mad").drop("n")
     reach = F.lit(width * 1.4826) * F.col("mad")
     held = F.least(F.greatest(F.col("value"), F.col("med") - reach), F.col("med") + reach)
     return with_med.join(mad, "dim").select("id", "dim", F.when((F.col("n") < 8) | (F.col("mad") <= 1e-12), F.col("value")).otherwise(held).alias("value"))

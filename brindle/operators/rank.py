@@ -16,6 +16,28 @@ def top_k(rows: DataFrame, by: list[str], value: str, k: int, tie: str) -> DataF
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def placed(rows: DataFrame, value: str, *ties: str, parts: int = 64) -> DataFrame:
+    """The rows with ``__place``, from 0, in order of a number and ``ties``; rows without the number are left out.
+
+    No task sorts all rows: they are dealt to ranges between approximate quantiles, numbered within each, and each range starts where those
+    before it end. A range's rows sort in one task, equal numbers in one range.
+    """
+    live = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    found = live.agg(F.percentile_approx(F.col(value), [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    bounds = sorted(set(found))
+    part = F.lit(0)
+    for b in bounds:
+        part = part + (F.col(value) > F.lit(b)).cast("int")
+    dealt = live.withColumn("__part", part)
+    sizes = {r["__part"]: r["count"] for r in dealt.groupBy("__part").count().collect()}  # ``parts`` rows at most
+    before, starts = 0, []
+    for i in range(len(bounds) + 1):
+        starts.append(F.lit(before).cast("long"))
+        before += sizes.get(i, 0)
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(value, *ties)) - 1
+    return dealt.withColumn("__place", own + F.element_at(F.array(*starts), F.col("__part") + 1)).withColumn("__n", F.lit(before).cast("long")).drop("__part")
+
+
 def average_ranks(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     order, ties = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by, value)
     return rows.withColumn(name, F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
@@ -37,6 +59,9 @@ def corr(x, y):  # noqa: ANN001, ANN201
 
 def nearest_rank(rows: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
     """The element at place ``round(q * (n - 1))`` of each group's sorted values."""
+    if not by:
+        r = placed(rows, value)
+        return r.where(F.col("__place") == F.floor(F.lit(q) * (F.col("__n") - 1) + 0.5)).select(F.col(value).alias("quantile"))
     order, whole = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by)
     r = rows.where(F.col(value).isNotNull()).withColumn("__r", F.row_number().over(order) - 1).withColumn("__n", F.count(F.lit(1)).over(whole))
     return r.where(F.col("__r") == F.floor(F.lit(q) * (F.col("__n") - 1) + 0.5)).select(*by, F.col(value).alias("quantile"))

@@ -139,7 +139,3 @@ def feature_agreement(observed: DataFrame, predicted: DataFrame) -> DataFrame:
 
     both = observed.join(predicted, ["cell_id", "feature_id"], "full").select("feature_id", F.coalesce("value", F.lit(0.0)).cast("double").alias("x"), F.coalesce("rate", F.lit(0.0)).alias("y"))
     return agreement(both, "feature_id").join(both.groupBy("feature_id").agg(F.avg("x").alias("mean_observed")), "feature_id")
-
-
-def training_composition(counts: DataFrame, cells: DataFrame, scored: DataFrame) -> DataFrame:
-    return composition(counts.join(cells.select("cell_id"), "cell_id", "left_semi"), scored)

@@ -17,10 +17,6 @@ def preset_rows(table: DataFrame, features: DataFrame, mode: str) -> DataFrame:
     return features.withColumn("key", match_key("name")).join(old, "key").select("feature_id", "vec", F.lit(mode).alias("mode"))
 
 
-def low_rank(base: np.ndarray, a: np.ndarray, b: np.ndarray, scale: float = 1.0) -> np.ndarray:
-    return base + scale * a @ b
-
-
 def gathered(features: DataFrame, known: DataFrame, groups: DataFrame) -> DataFrame:
     """(feature_id, vec): the known row; else the mean of known rows of its coarse group; else of all.
 

@@ -63,7 +63,11 @@ def dominant(theta: DataFrame) -> DataFrame:
 
 def structure_order(theta: DataFrame) -> DataFrame:
     """(cell_id, topic, place): cells by dominant topic, then by its weight, the largest first."""
-    return dominant(theta).withColumn("place", F.row_number().over(Window.orderBy("topic", F.desc("weight"), "cell_id"))).select("cell_id", "topic", "place")
+    from brindle.operators.rank import placed
+
+    # weights lie between 0 and 1: of a topic, the heavier the earlier
+    d = dominant(theta).withColumn("key", F.col("topic") - F.col("weight"))
+    return placed(d, "key", "topic", "cell_id").select("cell_id", "topic", (F.col("__place") + 1).alias("place"))
 
 
 def heatmap(means: DataFrame, per: int) -> DataFrame:

@@ -283,6 +283,13 @@ def fold_small(spark: SparkSession, d: str) -> DataFrame:
     return filters.fold_small(p.select("cell_id", "label"), p.select("cell_id", "vec"), 50)
 
 
+@R.add("s6_bulk_long", "SELECT name, sample, value FROM (UNPIVOT (SELECT p_name AS name, CAST(p_size AS DOUBLE) AS size, CAST(p_retailprice AS DOUBLE) AS price FROM part) ON size, price INTO NAME sample VALUE value)")
+def bulk_long(spark: SparkSession, d: str) -> DataFrame:
+    """A wide table with a name column, as rows."""
+    p = S.table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").cast("double").alias("price"))
+    return align.bulk_long(p)
+
+
 @R.add(
     "p13_baseline",
     sql(

@@ -186,6 +186,24 @@ def _positions(spark: SparkSession, d: str) -> DataFrame:
     return S.table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell_id"), F.col("s_nationkey").cast("int").alias("pos"), F.lit(1.0).alias("q"))
 
 
+@R.add("x15_mass_table", sql("SELECT cell_id, pos, round(q, 6) AS q FROM (SELECT o_custkey AS cell_id, CAST(o_orderpriority[1] AS INTEGER) AS pos, count(*) / CAST(sum(count(*)) OVER (PARTITION BY o_custkey) AS DOUBLE) AS q FROM orders GROUP BY 1, 2) WHERE q >= 0.15"))
+def mass_table(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of each customer's orders by priority, those of some weight."""
+    n = S.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("cell_id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("pos")).count()
+    q = n.join(n.groupBy("cell_id").agg(F.sum("count").alias("t")), "cell_id").select("cell_id", "pos", (F.col("count") / F.col("t")).alias("q"))
+    return kinetics.mass_table(q, 0.15).withColumn("q", F.round("q", 6))
+
+
+@R.add("x2_rescaled_tracks", sql("SELECT cell_id, gene, round(u / d * k, 6) AS u, round(s / d * k, 6) AS s FROM (SELECT *, sum(u + s) OVER (PARTITION BY cell_id) / sum((u + s) / d) OVER (PARTITION BY cell_id) AS k FROM (SELECT t.*, 1 + (s_nationkey + CAST(substr(gene, 2) AS INTEGER)) % 5 / 10.0 AS d FROM t JOIN supplier ON s_suppkey = cell_id))", t=_TR))
+def rescaled_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """Tracks over a ratio of nation and gene, each supplier at its own total."""
+    tracks = kinetics.split_tracks(_two_tracks(spark, d))
+    cells = S.table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell_id"), F.col("s_nationkey").alias("batch"))
+    delta = cells.select("batch").distinct().crossJoin(tracks.select("gene").distinct()).withColumn("delta", 1 + (F.col("batch") + F.substring("gene", 2, 10).cast("int")) % 5 / 10.0)
+    r = kinetics.rescaled(tracks, cells, delta)
+    return r.select("cell_id", "gene", F.round("u", 6).alias("u"), F.round("s", 6).alias("s"))
+
+
 @R.add("x12_feature_rates")
 def feature_rates(spark: SparkSession, d: str) -> DataFrame:
     """Rates of every gene on a path that rises evenly and one that turns."""

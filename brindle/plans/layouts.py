@@ -21,7 +21,7 @@ def _add(method: str) -> None:
     R.add(f"l3_{method}")(lambda spark, d: layout.layout(_groups(spark, d), method))
 
 
-for _m in layout.METHODS:
+for _m in (*layout.METHODS, *layout.TREES):
     _add(_m)
 
 
@@ -40,6 +40,15 @@ def gathered(spark: SparkSession, d: str) -> DataFrame:
     return g.select("feature_id", F.posexplode("vec").alias("dim", "x")).select("feature_id", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
 
 
+@R.add("m14_preset_rows", sql("SELECT f.id AS feature_id, f.dim, round(o.x, 6) AS x, 'freeze' AS mode FROM dims f JOIN dims o ON o.id = f.id AND o.dim = f.dim WHERE f.id % 4 > 0", "latent", "dims"))
+def preset_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of an earlier table that lacks a quarter of the features, spelled otherwise."""
+    p = S.latent(spark, d)
+    old = p.where("cell_id % 4 > 0").select(F.concat(F.lit("FEATURE"), F.col("cell_id")).alias("name"), "vec")
+    got = start.preset_rows(old, p.select(F.col("cell_id").alias("feature_id"), F.concat(F.lit("feature"), F.col("cell_id")).alias("name")), "freeze")
+    return got.select("feature_id", F.posexplode("vec").alias("dim", "x"), "mode").select("feature_id", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"), "mode")
+
+
 @R.add("r8_gamma_mean", sql("SELECT CAST(batch AS BIGINT) AS pb, feature_id, round((1.0 + t) / (1.0 + n), 6) AS mean FROM (SELECT batch, feature_id, CAST(sum(value) AS DOUBLE) AS t FROM counts JOIN cells USING (cell_id) GROUP BY 1, 2) JOIN (SELECT batch, count(*) AS n FROM cells GROUP BY 1) USING (batch)", "counts", "cells"))
 def gamma_mean(spark: SparkSession, d: str) -> DataFrame:
     s, n = collapse.pseudobulk(S.customer_counts(spark, d), S.customer_cells(spark, d).select("cell_id", F.col("batch").alias("pb")))

@@ -67,12 +67,6 @@ def part_features(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select(F.col("p_partkey").alias("feature_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"))
 
 
-def word_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts of lower-cased words by document."""
-    words = table(spark, folder, "documents").select(F.col("doc_id").alias("cell_id"), F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("feature"))
-    return words.where("feature != ''").groupBy("cell_id", "feature").agg(F.count(F.lit(1)).alias("value"))
-
-
 def latent(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "embeddings")
     return e.select(F.col("vec_id").alias("cell_id"), F.col("embedding").cast("array<double>").alias("vec"), "label")

@@ -40,3 +40,24 @@ def test_starts():
     assert len(set(start.kmeans_seeds(np.eye(5), np.ones(5), 5))) == 5
     p = start.anchor_prior(np.random.default_rng(0).random((6, 4)), [0, 3])
     assert np.allclose(p.sum(1), 1) and p[0].argmax() == 0 and p[3].argmax() == 1
+
+
+def test_a_tree_in_layers():
+    """Parents stand a layer above the middle of their children, and no two subtrees of a node overlap."""
+    rng = np.random.default_rng(1)
+    parent = np.array([-1, *(int(rng.integers(0, i)) for i in range(1, 40))])
+    depth = np.zeros(40, int)
+    for i in range(1, 40):
+        depth[i] = depth[parent[i]] + 1
+    y = layout.layered(depth, parent)
+    under = [{i} for i in range(40)]
+    for i in range(39, 0, -1):
+        under[parent[i]] |= under[i]
+    for i in range(40):
+        kids = [c for c in range(40) if parent[c] == i]
+        if kids:
+            assert y[i, 0] == pytest.approx(np.mean([y[c, 0] for c in kids])) and all(y[c, 1] == y[i, 1] - 1 for c in kids)
+        spans = sorted((min(y[j, 0] for j in under[c]), max(y[j, 0] for j in under[c])) for c in kids)
+        assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+    x = rng.normal(size=(30, 3))
+    assert layout.TREES["layered"](x).shape == (30, 2)
