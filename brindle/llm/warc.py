@@ -38,8 +38,8 @@ EMPTY_MEMBER = "\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00
 STEP = 1 << 12
 #: What ends a header: its blank line, or another record's version line, before which it has no end.
 _head_end = re.compile(rb"\r\n(?:\r\n|WARC/1\.)")
-#: Most records of an archive, each read whole by one task.
-RECORDS = 8192
+#: Compressed bytes of an archive about, and most records; a task reads one whole, and holds one member inflated at a time.
+ARCHIVE, RECORDS = 32 << 20, 8192
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -157,16 +157,18 @@ def _take(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int
     return [x[1:] for x in records], at + 1 if broken else end, wrong and f"{wrong}, {len(records)} records kept"
 
 
-def salvage(data: bytes) -> tuple[list[Found], list[tuple[int, int, str]]]:
-    """(offset, headers, block) of every record that passes, and (start, end, reason) of the gaps between."""
-    records, gaps, at, size = [], [], 0, len(data)
+def salvaged(data: bytes) -> Iterator[Found | tuple[int, int, str]]:
+    """(offset, headers, block) of every record that passes, and (start, end, reason) of the gaps between, a member at a time."""
+    at, size = 0, len(data)
     marks = {MAGIC: -1, VERSION: -1}
     while at < size:
         try:
             found, end, wrong = _take(data, at)
         except Damaged as e:
             found, end, wrong = [], at + 1, str(e)
-        records += [(at, head, block) for head, block in found]
+        for head, block in found:
+            yield at, head, block
+        del found
         start = at
         if wrong and end == at + 1:
             while end < size:
@@ -181,8 +183,13 @@ def salvage(data: bytes) -> tuple[list[Found], list[tuple[int, int, str]]]:
                         end += 1
         at = min(end, size)
         if wrong:
-            gaps.append((start, at, wrong))
-    return records, gaps
+            yield start, at, wrong
+
+
+def salvage(data: bytes) -> tuple[list[Found], list[tuple[int, int, str]]]:
+    """Records and gaps of ``salvaged``, all at once."""
+    every = list(salvaged(data))
+    return [x for x in every if isinstance(x[1], dict)], [x for x in every if not isinstance(x[1], dict)]
 
 
 def roles(pages: DataFrame) -> DataFrame:
@@ -193,20 +200,29 @@ def roles(pages: DataFrame) -> DataFrame:
     return keyed.join(groups, "digest").where("page_id is null or page_id > first").groupBy("page_id", "digest").agg(F.min("first").alias("refers_to"))
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _members(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Members, and the number of the task's archive that each goes to."""
+    archive, used = 0, 0
     for batch in chunks(batches, "html"):
         rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array([_member(make_record(p, u, (h or "").encode("utf-8", "surrogatepass"), r)) for p, u, h, r in rows], pa.binary())], ["value"])
-
-
-def write(pages: DataFrame, path: str) -> None:
-    """A folder of archives, a record a row."""
+        members, where = [], []
+        for p, u, h, r in rows:
+            members.append(_member(make_record(p, u, (h or "").encode("utf-8", "surrogatepass"), r)))
+            if used and used + len(members[-1]) > limit:
+                archive, used = archive + 1, 0
+            used += len(members[-1])
+            where.append(archive)
+        yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary()), pa.array(where, pa.int32())], ["value", "archive"])
+
+
+def write(pages: DataFrame, path: str, limit: int = ARCHIVE) -> None:
+    """A folder of archives, a record a row, each of ``limit`` compressed bytes and ``RECORDS`` records at most, or of one record."""
     digest = F.sha2(F.coalesce("html", F.lit("")), 256)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("digest", digest)
     other = roles(pages).withColumnsRenamed({"page_id": "id", "digest": "d"})
     joined = rows.join(other, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")), "left")
-    made = joined.select("page_id", "url", "html", "refers_to").mapInArrow(_members, "value binary")
-    made.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", RECORDS).option("lineSep", EMPTY_MEMBER).option("encoding", "ISO-8859-1").text(path)
+    made = joined.select("page_id", "url", "html", "refers_to").mapInArrow(partial(_members, limit=limit), "value binary, archive int")
+    made.select(F.col("value").cast("string").alias("value"), "archive").write.partitionBy("archive").option("maxRecordsPerFile", RECORDS).option("lineSep", EMPTY_MEMBER).option("encoding", "ISO-8859-1").text(path)
 
 
 RECORD = "file string, offset long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -223,7 +239,9 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool = True) -> Itera
         for i in range(batch.num_rows):
             name = batch.column("path")[i].as_py()
             rows, held = [], 0
-            for at, head, block in salvage(batch.column("content")[i].as_py())[0]:
+            for at, head, block in salvaged(batch.column("content")[i].as_py()):
+                if not isinstance(head, dict):
+                    continue  # a gap
                 kind = head.get("warc-type", "")
                 payload = None if kind == "revisit" else _payload(block)
                 if payload is not None:
@@ -243,11 +261,11 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool = True) -> Itera
 def _gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            yield record_batch([(name, *g) for g in salvage(data.as_py())[1]], arrow_schema(GAP))
+            yield record_batch([(name, *g) for g in salvaged(data.as_py()) if not isinstance(g[1], dict)], arrow_schema(GAP))
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("path", "content")
 
 
 def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
