@@ -4,11 +4,12 @@ Leaves are pieces: a paragraph (a ``\\n``-ended line) is cut after a word whose
 multiple of ``PIECE``, so that an edit moves no cut elsewhere and one-paragraph texts have
 branches too. Pieces hash into paragraphs, paragraphs into sections (ended by a blank
 paragraph, or by a paragraph whose digest is a multiple of ``SECTION``), sections into the
-root. Equal roots mean equal texts; descending where digests differ locates edits
-(``differences``).
+root. A digest is that of its children's printed digests alone, so any branch can be checked by itself
+(``verified``). Equal roots mean equal texts; descending where digests differ measures what is
+shared (``likeness``) and locates edits (``differences``).
 
 A fingerprint is text: ``root|section;section``, a section ``digest/paragraph/paragraph``, a
-paragraph ``digest:length-leaf,length-leaf``.
+paragraph ``digest:length-leaf,length-leaf``. Leaves have 64 bits, branches 96, the root 256.
 
 Defined results: null and empty texts have the tree of the empty text, alike 1.0 to one another
 and 0.0 to any text; repeated rows and ids have a row each; ids that tie follow one another by
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import arrow_schema, record_batch, table
+from brindle.llm.common import arrow_schema, chunks, record_batch, table
 
 #: Mean words in a piece; mean paragraphs in a section; longest piece in words.
 PIECE, SECTION, PIECE_MAX = 6, 8, 64
@@ -55,42 +56,75 @@ def pieces(paragraph: bytes) -> list[bytes]:
     return found
 
 
+def parent(children: list[str], size: int = 24) -> str:
+    """A digest of the printed digests of its children alone."""
+    return _hash("/".join(children).encode())[:size]
+
+
 def fingerprint(text: str | None) -> str:
     paragraphs = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
     sections: list[list[tuple[str, str]]] = [[]]
     for p in paragraphs:
-        leaves = [(len(x), _hash(x)[:10]) for x in pieces(p)]
-        digest = _hash("".join(h for _, h in leaves).encode() + b"/%d" % len(p) + p)
-        sections[-1].append((digest[:12], ",".join(f"{n:x}-{h}" for n, h in leaves)))
+        leaves = [f"{len(x):x}-{_hash(x)[:16]}" for x in pieces(p)]
+        digest = parent(leaves)
+        sections[-1].append((digest, ",".join(leaves)))
         if not p.strip() or int(digest[:8], 16) % SECTION == 0:
             sections.append([])
-    tops, told = [], []
-    for s in sections:
-        if s:
-            tops.append(top := _hash("/".join(d for d, _ in s).encode())[:12])
-            told.append("/".join([top, *(f"{d}:{x}" for d, x in s)]))
-    root = _hash("|".join(tops).encode() + b"\0" + "\n".join(told).encode())
-    return f"{root}|{';'.join(told)}"
-
-
-def leaves(fp: str) -> Counter:
-    """The leaves of a fingerprint with their lengths in bytes: how much text stands under each digest."""
-    found: Counter = Counter()
+    told = [(parent([d for d, _ in s]), s) for s in sections if s]
+    root = parent([d for d, _ in told], 64)
+    return f"{root}|{';'.join('/'.join([top, *(f'{d}:{x}' for d, x in s)]) for top, s in told)}"
+
+
+def sections_of(fp: str) -> list[tuple[str, list[tuple[str, str]]]]:
+    """(digest, paragraphs) of each section, a paragraph (digest, its leaves as printed)."""
+    found = []
     for section in fp.partition("|")[2].split(";"):
-        for paragraph in section.split("/")[1:]:
-            for leaf in filter(None, paragraph.partition(":")[2].split(",")):
-                found[leaf] += int(leaf.partition("-")[0], 16)
+        top, *rest = section.split("/")
+        found.append((top, [(p[:24], p[25:]) for p in rest]))
     return found
 
 
-def likeness(a: str, b: str, in_a: Counter | None = None, in_b: Counter | None = None) -> float:
-    """Bytes under leaves that both trees have, of the mean of both totals; 1.0 for equal roots."""
+def verified(fp: str) -> bool:
+    """Whether every digest of a fingerprint is that of its children."""
+    told = sections_of(fp)
+    return fp[:64] == parent([d for d, _ in told], 64) and all(top == parent([d for d, _ in s]) and all(d == parent(x.split(",") if x else []) for d, x in s) for top, s in told)
+
+
+def _bytes(leaves: str) -> int:
+    return sum(int(x.partition("-")[0], 16) for x in leaves.split(",")) if leaves else 0
+
+
+def _apart(a: list, b: list) -> tuple[list, list, list]:
+    """What both lists of (digest, ..) hold, as often as both do, and the rest of either."""
+    free: dict[str, list] = {}
+    for x in b:
+        free.setdefault(x[0], []).append(x)
+    both, left = [], []
+    for x in a:
+        if free.get(x[0]):
+            free[x[0]].pop()
+            both.append(x)
+        else:
+            left.append(x)
+    return both, left, [x for rest in free.values() for x in rest]
+
+
+def likeness(a: str, b: str) -> float:
+    """Bytes under branches that both trees have, of the mean of both totals; 1.0 for equal roots.
+
+    Equal sections count whole, the others are descended to their paragraphs, and of these those that differ to their leaves.
+    """
     if a[:64] == b[:64]:
         return 1.0
-    x, y = in_a if in_a is not None else leaves(a), in_b if in_b is not None else leaves(b)
-    total = x.total() + y.total()
-    x, y = (x, y) if len(x) <= len(y) else (y, x)
-    return 2.0 * sum(min(n, y[k]) for k, n in x.items() if k in y) / total if total else 0.0
+    weigh = lambda paragraphs: sum(_bytes(x) for _, x in paragraphs)
+    both, x, y = _apart(sections_of(a), sections_of(b))
+    shared = sum(weigh(s) for _, s in both)
+    equal, p, q = _apart([d for _, s in x for d in s], [d for _, s in y for d in s])
+    shared += weigh(equal)
+    rest_a, rest_b = (Counter(leaf for _, s in t for leaf in s.split(",") if leaf) for t in (p, q))
+    common = sum(n * int(leaf.partition("-")[0], 16) for leaf, n in (rest_a & rest_b).items())
+    total = 2 * shared + weigh(p) + weigh(q)
+    return 2.0 * (shared + common) / total if total else 0.0
 
 
 def differences(a: str, b: str) -> list[tuple[int, int]]:
@@ -119,7 +153,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edits string"
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,17 +162,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     before = None
     rows: list[tuple] = []
     held = 0
-    for batch in batches:
+    for batch in chunks(batches):
         for part, doc_id, text, copied in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             if before and before[0] == part and before[4]:
                 continue  # further rows that tie with the head
             text = text or ""
             own = fingerprint(text)
-            this = (part, doc_id, text, own, copied, leaves(own))
+            this = (part, doc_id, text, own, copied)
             if before and before[0] == part:
                 changed = edited(before[2], text)
                 fp = fingerprint(changed)
-                rows.append((before[1], len(before[2]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), before[3], fp, likeness(before[3], fp, before[5]), likeness(before[3], own, before[5], this[5])))
+                rows.append((before[1], len(before[2]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), before[3], fp, likeness(before[3], fp), likeness(before[3], own), ",".join(f"{i}.{j}" for i, j in differences(before[3], fp))))
                 held += len(before[3]) + len(fp)
             before = this
             if held > 4 << 20:
@@ -149,7 +183,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprints of all texts, and their likeness to the edited text's and to the next document's.
+    """Fingerprints of all texts, their likeness to the edited text's and to the next document's, and where the edited text differs (``section.paragraph``, from 0).
 
     One shuffle: ids are cut into ranges, each range also gets the first row of the range
     that follows, so every row meets its successor in its own task.
