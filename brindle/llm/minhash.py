@@ -7,11 +7,13 @@
    is tried against the list's least, which ties large groups of near copies together. A pair passes if sizes allow
    the similarity and the union's sketch estimates enough in common (``ENOUGH``).
 3. What passed makes groups. A long list whose classes all lie in one group is done. Of the others, classes of
-   different groups may still be alike: these lists are refined by a second retained value, and where still longer than
-   ``LISTS[1]`` by a third; refined lists within one group are done, and of all others all pairs of different groups are tried, in
-   ranges of set size and blocks of ``LISTS[2]`` by as many where they are longer. No list is left out: two sets of similarity 0.8 share 4
-   of 16 retained values or more but for 2 cases in 10 million, and pass a sketch of 32 but for 2 in 10 million. So classes with fewer values
-   in such lists are done, and pairs and triples are those that any four values hold one of (``PAIRS``, ``THIRDS``): about a third of all pairs and two fifths of all triples.
+   different groups may still be alike. Two sets of similarity 0.8 share 4 of 16 retained values or more but for 2 cases in 10 million,
+   and pass a sketch of 32 but for 2 in 10 million. So classes with fewer values in such lists are done, and with a class's values from the shortest list to the longest,
+   the first that two such classes share is none of the last three of either: each class stays in the lists of the others only. Of a list then of at most ``DIRECT`` classes
+   all pairs of different groups are tried. Classes of longer ones have their values, from the first of such a list on, refined by a second, and where a list is still longer than
+   ``LISTS[1]`` by a third; pairs and triples are those that any four values hold one of (``PAIRS``, ``THIRDS``): about a third of all pairs and two fifths of all triples,
+   so about 40 pairs a class at most as a rule. Refined lists within one group are done, and of all others all pairs of different groups are tried, in
+   ranges of set size and blocks of ``LISTS[2]`` by as many where they are longer. No list is left out.
 4. All pairs of a group are compared on the full sets, so links are exact. A group of over ``CLUSTER`` classes is cut into
    blocks of about as many; each block is compared within itself and with about ``HEADS`` classes of the group that all
    blocks get. Mostly one component then holds nearly all; the classes outside the largest component are
@@ -25,6 +27,7 @@ rows that share a doc_id are one node; an empty table gives an empty result; fur
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,8 @@ KEPT, K, CLUSTER, HEADS = 32, 16, 400, 8
 ENOUGH = {16: 4, 32: 13}
 #: Most classes of a list of which all pairs are tried at once, by number of values.
 LISTS = (32, 2048, 4096)
+#: Most classes of a list of one value of which all pairs are tried once groups are known; refining it makes more rows than that costs.
+DIRECT = 512
 #: Most group members that are broadcast (about 60 bytes each), and most sketches (about 160); salts of a join that isn't broadcast.
 SMALL, SKETCHES, SALTS = 200_000, 30_000, 16
 #: Of ``hot``: pairs of values alike modulo 3, and the third values for a pair (x, y): greater and alike, or the next residue.
@@ -251,13 +256,19 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     first = _tried(short, percent, K).union(contracted(_with_least(long, classes, percent)))
     groups = materialize(connected(first), "groups")
     left = long.select("key", "cid", "n").join(groups, F.col("cid") == F.col("node"), "left").select("key", "cid", "n", F.coalesce("label", "cid").alias("label"))
-    mixed = _counted(left, "mixed").groupBy("cid", "n", "label").agg(F.sort_array(F.collect_set("key")).alias("hot")).where(f"size(hot) >= {ENOUGH[K]}")
-    mixed = materialize(mixed, "hot")
+    mixed = _counted(left, "mixed").groupBy("cid", "n", "label").agg(F.sort_array(F.collect_set(F.struct("many", "key"))).alias("hot")).where(f"size(hot) >= {ENOUGH[K]}")
+    mixed = materialize(mixed.select("cid", "n", "label", F.expr("transform(hot, x -> x.key)").alias("hot")), "hot")
+    # the first value that two classes share has ENOUGH - 1 after it in both
+    single = _counted(mixed.select("cid", "n", "label", F.explode(F.expr(f"slice(hot, 1, size(hot) - {ENOUGH[K] - 1})")).alias("key")), "postings1")
+    far = single.where(f"many > {DIRECT}").groupBy("cid").agg(F.collect_set("key").alias("far"))
+    hot = "slice(hot, array_min(transform(far, x -> cast(array_position(hot, x) as int))), size(hot))"
+    mixed = materialize(mixed.join(far, "cid").select("cid", "n", "label", F.sort_array(F.expr(hot)).alias("hot")), "far")
     pairs = mixed.select("cid", "n", "label", F.explode(F.expr(PAIRS)).alias("p"))
     two = _counted(pairs.select("cid", "n", "label", F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.xxhash64("p.x", "p.y").alias("key")), "postings2")
     more = two.where(f"many > {LISTS[1]}").select("cid", "n", "label", "x", "y").join(mixed.select("cid", "hot"), "cid").select("cid", "n", "label", "x", "y", F.explode(F.expr(THIRDS)).alias("z"))
     three = _counted(more.select("cid", "n", "label", F.xxhash64("x", "y", "z").alias("key")), "postings3")
-    refined = two.where(f"many <= {LISTS[1]}").select("key", "many", "cid", "n", "label").union(three.select("key", "many", "cid", "n", "label"))
+    parts = [single.where(f"many <= {DIRECT}"), two.where(f"many <= {LISTS[1]}"), three]
+    refined = reduce(DataFrame.union, [x.select("key", "many", "cid", "n", "label") for x in parts])
     later = materialize(_tried(_blocked(_sketched_lists(refined, classes), percent), percent, KEPT).distinct(), "later")
     if later.isEmpty():
         return groups
