@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import arrow_schema, bounded_sample, chunks, table, vocabulary, words
+from brindle.llm.common import arrow_schema, bounded_sample, chunks, release, table, vocabulary, words
 
 #: Most labelled rows that the model is fitted on; hash buckets; factors of a term; passes of the fit; rows of a step;
 #: rows of a term (a tenth of the sample at most) at which its factors go half as far; standard errors at which its weight does.
@@ -93,6 +93,12 @@ def counted(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarra
     return row, found, n
 
 
+def _idle() -> None:
+    """The worker may stay while other work needs its memory."""
+    _seen.clear()
+    release()
+
+
 ROWS_OUT = "doc_id long, toxic int, terms binary, n binary"
 
 
@@ -104,6 +110,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offs = pa.py_buffer((4 * np.searchsorted(row, np.arange(batch.num_rows + 1))).astype(np.int32))
         packed = [pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, offs, pa.py_buffer(x.astype("<i4"))]) for x in (term, n)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int32()), *packed], schema=schema)
+    batch = None
+    _idle()
 
 
 class Machine:
@@ -267,7 +275,8 @@ def _scored(machine: Machine) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             row, term, n = counted(batch.column("text"), machine.known)
             got = machine.scores(row, term, n, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(got)], schema=arrow_schema(OUT))
-        _seen.clear()  # the worker may stay while other work needs its memory
+        batch = None
+        _idle()
 
     return score
 
@@ -299,7 +308,8 @@ def _clean(machine: Machine, threshold: float) -> Callable[[Iterator[pa.RecordBa
         for batch in chunks(batches, limit=TEXT):
             got = machine.scores(*counted(batch.column("text"), machine.known), batch.num_rows)
             yield batch.filter(pa.array(got < threshold))
-        _seen.clear()
+        batch = None
+        _idle()
 
     return keep
 
