@@ -1,9 +1,9 @@
 """Token-ID files: ids of all documents in ascending doc_id order, range-coded in checked blocks.
 
 A file is a run of segments, a segment a row that Spark's text writer puts down, closed by a line end:
-``TIDS`` and a format byte; as little-endian uint64 the numbers of documents, ids, blocks, and bytes of index and of codes;
-the index (zlib: doc_ids as int64, null as the least int64, and id counts as int64); of each block the number of ids, the crc32 of its ids and the
-length of its code as uint32; the codes; the crc32 of all before it. Files sort by the numbers in their
+``TIDS`` and a format byte; as little-endian uint64 the numbers of documents, ids, blocks, and bytes of index, of prior and of codes;
+the index (zlib: doc_ids as int64, null as the least int64, and id counts as int64); the prior of the segment's ids (zlib: shares of all ids
+as uint32); of each block the number of ids, the crc32 of its ids and the length of its code as uint32; the codes; the crc32 of all before it. Files sort by the numbers in their
 names (the task's, then the file's in it) as their documents do by id.
 
 Defined results: null and empty texts are their end id alone; rows of equal ids follow one another by
@@ -28,8 +28,8 @@ from brindle.llm import rangecoder
 from brindle.llm.common import arrow_schema, chunks, new_path, table
 from brindle.llm.tokens import default_path, encoder
 
-MAGIC, END_ID = b"TIDS\x01", 0
-_HEAD = struct.Struct("<5s5Q")
+MAGIC, END_ID = b"TIDS\x02", 0
+_HEAD = struct.Struct("<5s6Q")
 #: Ids that a segment holds about: as many blocks as the coder takes at once.
 SEGMENT = rangecoder.BLOCK * rangecoder.LANES
 #: Segments of a file, which one task reads whole (about 10 MB each).
@@ -45,11 +45,13 @@ def file_order(path: str) -> tuple[int, int]:
 
 
 def make_segment(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    blocks = rangecoder.encode(ids)
+    freq = rangecoder.prior(ids)
+    blocks = rangecoder.encode(ids, freq)
+    prior = zlib.compress(freq.astype("<u4").tobytes())
     index = zlib.compress(doc_ids.astype("<i8").tobytes() + counts.astype("<i8").tobytes(), 3)
     table_ = b"".join(struct.pack("<3I", n, crc, len(code)) for n, crc, code in blocks)
     codes = b"".join(code for *_, code in blocks)
-    data = _HEAD.pack(MAGIC, len(doc_ids), len(ids), len(blocks), len(index), len(codes)) + index + table_ + codes
+    data = _HEAD.pack(MAGIC, len(doc_ids), len(ids), len(blocks), len(index), len(prior), len(codes)) + index + prior + table_ + codes
     return data + struct.pack("<I", zlib.crc32(data))
 
 
@@ -60,22 +62,25 @@ def _spans(data: bytes) -> Iterator[tuple[int, tuple[int, ...]]]:
         if magic != MAGIC:
             raise rangecoder.Corrupt(f"no segment at {at}")
         yield at, tuple(n)
-        at += _HEAD.size + n[3] + 12 * n[2] + n[4] + 4 + 1
+        at += _HEAD.size + n[3] + n[4] + 12 * n[2] + n[5] + 4 + 1
 
 
 def read_segments(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """doc_ids, id counts and ids of each segment; raises Corrupt where a check fails."""
-    for at, (docs, total, n_blocks, index_size, code_size) in _spans(data):
+    for at, (docs, total, n_blocks, index_size, prior_size, code_size) in _spans(data):
         start = at + _HEAD.size
-        end = start + index_size + 12 * n_blocks + code_size
+        table_at = start + index_size + prior_size
+        code_at = table_at + 12 * n_blocks
+        end = code_at + code_size
         if struct.unpack_from("<I", data, end)[0] != zlib.crc32(memoryview(data)[at:end]):
             raise rangecoder.Corrupt(f"checksum of the segment at {at}")
         index = np.frombuffer(zlib.decompress(data[start : start + index_size]), "<i8")
-        blocks, code_at = [], start + index_size + 12 * n_blocks
-        for n, crc, size in struct.iter_unpack("<3I", data[start + index_size : code_at]):
+        freq = np.frombuffer(zlib.decompress(data[start + index_size : table_at]), "<u4")
+        blocks = []
+        for n, crc, size in struct.iter_unpack("<3I", data[table_at:code_at]):
             blocks.append((n, crc, data[code_at : code_at + size]))
             code_at += size
-        ids = rangecoder.decode(blocks)
+        ids = rangecoder.decode(blocks, freq)
         if len(ids) != total:
             raise rangecoder.Corrupt(f"number of ids at {at}")
         yield index[:docs], index[docs:], ids

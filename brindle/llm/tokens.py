@@ -13,9 +13,10 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces that a worker remembers; the longest piece it remembers, in bytes.
-MEMORY, PIECE = 400_000, 64
+MEMORY, PIECE = 600_000, 64
 #: First bytes of UTF-8 sequences that may be blanks beyond ASCII.
 _UNSURE = np.zeros(256, bool)
 _UNSURE[: 0x20 + 1] = True
@@ -55,48 +56,80 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[bytes, int] = {}
+        # the pieces that are remembered, and their places in starts and sizes
+        self.known, self.places = pa.array([], pa.large_binary()), np.zeros(0, np.int64)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.starts, self.sizes = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
         self.used = self.count = 0
 
+    def _forget(self) -> None:
+        """Keeps the half of the memory that was met first, where frequent pieces are, if it is small enough."""
+        count = min(self.count, MEMORY // 2)
+        used = int(self.starts[count - 1] + self.sizes[count - 1]) if count else 0
+        if used > 8 * MEMORY:
+            self._reset()
+            return
+        kept = self.places < count
+        self.known, self.places = self.known.filter(pa.array(kept)), self.places[kept]
+        self.count, self.used = count, used
+
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[bytes]) -> None:
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        """The pieces' places in starts and sizes."""
+        places = np.zeros(len(pieces), np.int64)
         spaced, others = [], []
-        for p in pieces:
-            (spaced if self.cuts and p[0] == 0x20 and p[1:2] > b" " else others).append(p)
+        for i, p in enumerate(pieces):
+            (spaced if self.cuts and p[0] == 0x20 and p[1:2] > b" " else others).append(i)
         if spaced:
-            data = np.array([i for ids in self._ids([b"".join(spaced[k : k + JOINED]).decode("utf-8", "replace") for k in range(0, len(spaced), JOINED)]) for i in ids], np.uint32)
-            ends = np.cumsum(np.fromiter(map(len, spaced), np.int64, len(spaced)))
+            own = [pieces[i] for i in spaced]
+            data = np.array([i for ids in self._ids([b"".join(own[k : k + JOINED]).decode("utf-8", "replace") for k in range(0, len(own), JOINED)]) for i in ids], np.uint32)
+            ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
             reached = np.cumsum(self.bytes[data])
             stop = np.searchsorted(reached, ends, side="left") + 1
             if reached[-1] == ends[-1] and np.array_equal(reached[stop - 1], ends):
-                self._keep(spaced, data, np.diff(stop, prepend=0))
+                places[spaced] = self._keep(data, np.diff(stop, prepend=0))
             else:  # bytes that aren't UTF-8
                 others += spaced
         for k in range(0, len(others), 4096):
-            got = self._ids([p.decode("utf-8", "replace") for p in others[k : k + 4096]])
+            got = self._ids([pieces[i].decode("utf-8", "replace") for i in others[k : k + 4096]])
             sizes = np.fromiter(map(len, got), np.int64, len(got))
-            self._keep(others[k : k + 4096], np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum())), sizes)
+            places[others[k : k + 4096]] = self._keep(np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum())), sizes)
+        return places
 
-    def _keep(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while self.count + len(pieces) > len(self.starts):
+        while self.count + len(sizes) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.sizes))
         self.pool[self.used : self.used + len(ids)] = ids
-        self.starts[self.count : self.count + len(pieces)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[self.count : self.count + len(pieces)] = sizes
-        self.known.update(zip(pieces, range(self.count, self.count + len(pieces)), strict=True))
+        places = np.arange(self.count, self.count + len(sizes))
+        self.starts[places] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[places] = sizes
         self.used += len(ids)
-        self.count += len(pieces)
+        self.count += len(sizes)
+        return places
+
+    def _places(self, pieces: pa.LargeBinaryArray) -> np.ndarray:
+        """Places of distinct pieces; those that the worker hasn't met are learnt."""
+        found = pc.index_in(pieces, value_set=self.known)
+        missing = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+        places = np.append(self.places, 0)[found.fill_null(len(self.places)).to_numpy()]
+        if len(missing):
+            new = pieces.take(pa.array(missing))
+            offsets = np.frombuffer(new.buffers()[1], np.int64)[new.offset : new.offset + len(new) + 1]
+            raw, ends = new.buffers()[2].to_pybytes(), offsets.tolist()
+            places[missing] = self._learn([raw[a:b] for a, b in zip(ends, ends[1:], strict=False)])
+            short = np.diff(offsets) <= PIECE
+            self.known = pa.concat_arrays([self.known, new.filter(pa.array(short))])
+            self.places = np.append(self.places, places[missing][short])
+        return places
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: none) as uint32, ``end`` after each text if given, and the texts' offsets."""
         if self.count > MEMORY or self.used > 16 * MEMORY:
-            self._reset()
+            self._forget()
         texts = texts.fill_null("").cast(pa.large_string())
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         low = int(offsets[0])
@@ -123,13 +156,7 @@ class Encoder:
         pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), data])
         coded = pieces.dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False)
-        distinct = coded.dictionary.to_pylist()
-        if missing := [p for p in distinct if p not in self.known]:
-            self._learn(missing)
-        at = np.fromiter((self.known[p] for p in distinct), np.int64, len(distinct))[code]
-        for p in missing:
-            if len(p) > PIECE:
-                del self.known[p]
+        at = self._places(coded.dictionary)[code]
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         # ids before each text: those of the pieces that start before it
