@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from brindle.operators import kinetics, score, view
+from brindle.operators import kinetics, mixtures, score, view
 
 
 def _tracks(spark, n, genes=6, seed=3):
@@ -51,3 +51,15 @@ def test_topic_rates_shuffle_no_pairs(spark):
     assert np.allclose([got[1, 7], got[1, 8], got[2, 7]], [0.5 + 0.5 * np.e, 0.5 / np.e, np.e])
     plan = r._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join Cross") < plan.index("Aggregate")
+
+
+def test_profiles_do_not_pass_through_the_driver(spark, monkeypatch):
+    profiles = spark.createDataFrame([(n, g, float(1 + (g + i) % 3)) for i, n in enumerate("ab") for g in range(40)], "label string, feature_id long, rate double")
+    bulk = spark.createDataFrame([(s, g, float(3 + g % 4)) for s in (1, 2) for g in range(0, 60, 2)], "sample long, feature_id long, value double")
+    monkeypatch.setattr(type(profiles), "toPandas", lambda self: pytest.fail("a table came to the driver"))
+    draws = mixtures.gibbs(bulk, profiles, warmup=5, draws=5, dispersion=10.0).collect()
+    assert len(draws) == 2 * 2 * 5 * 2 and all(r["u"] > 0 for r in draws)
+    split = {}
+    for r in mixtures.expression(bulk, profiles, warmup=5, draws=5).collect():
+        split[r["sample"], r["feature_id"]] = split.get((r["sample"], r["feature_id"]), 0.0) + r["value"]
+    assert len(split) == 40 and all(abs(v - (3 + g % 4)) < 1e-9 for (_, g), v in split.items())  # features 40 to 58 have no rates
